@@ -10,6 +10,23 @@ from pyspark.sql import functions as F
 from quern.sources import load
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    from .neardup import near_duplicates
+    from .spans import expand_pairs
+
+    pairs, members = near_duplicates(load(spark, folder, "rag_chunks", "id", "content"), "id", "content")
+    found = pairs.select(F.col("rep_a").alias("id_a"), F.col("rep_b").alias("id_b"))
+    return expand_pairs(found, members).distinct()
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    from .vectors import similar_vectors
+
+    table = load(spark, folder, "vector_chunks", "chunk_id", "embedding", "embedding_model", "embedding_dim")
+    near = similar_vectors(table, "chunk_id", "embedding", ["embedding_model"], "embedding_dim", k=10, floor=0.9)
+    return near.select(F.least("id", "other").alias("chunk_id_a"), F.greatest("id", "other").alias("chunk_id_b")).distinct()
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     from .tokenize import encode_texts
 
@@ -41,7 +58,7 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_ids, p8_found, p9_found, p9_shared)}
+    return {f.__name__: f for f in (p1_found, p2_found, p7_ids, p8_found, p9_found, p9_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
