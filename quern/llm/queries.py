@@ -27,6 +27,46 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.least("id", "other").alias("chunk_id_a"), F.greatest("id", "other").alias("chunk_id_b")).distinct()
 
 
+def _walked(spark: SparkSession, folder: str) -> DataFrame:
+    from .fuse import rank_walk
+
+    table = load(spark, folder, "ranked_candidates", "request_id", "chunk_id", "rerank_score", "vector_score", "final_top_k")
+    return rank_walk(table, "request_id", "chunk_id", ["rerank_score", "vector_score"], {"final_top_k": F.max("final_top_k")})
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    from .fuse import first_of_group
+
+    order = [F.col("place_rerank_score") + F.col("place_vector_score"), F.col("place_rerank_score"), F.col("chunk_id")]
+    return first_of_group(_walked(spark, folder), "request_id", "chunk_id", order, "final_top_k").select("request_id", "chunk_id")
+
+
+def p3_walk(spark: SparkSession, folder: str) -> DataFrame:
+    from .fuse import first_of_group
+
+    order = [F.desc(F.round("stationarity", 9)), F.asc("place_rerank_score"), F.asc("chunk_id")]
+    return first_of_group(_walked(spark, folder), "request_id", "chunk_id", order, "final_top_k").select("request_id", "chunk_id", "stationarity")
+
+
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    from .pack import oversized_pieces
+
+    return oversized_pieces(
+        load(spark, folder, "blocks", "block_id", "document_id", "text"),
+        load(spark, folder, "parent_chunks", "parent_id", "document_id", "text"),
+        load(spark, folder, "rag_documents", "package_id", "doc_type"),
+        load(spark, folder, "chunker_configs", "template", "child_max_tokens", "overlap_tokens"),
+    )
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder).where("piece = 1").select("item_kind", "item_id").distinct()
+
+
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder)
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     from .tokenize import encode_texts
 
@@ -58,8 +98,42 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p7_ids, p8_found, p9_found, p9_shared)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_walk, p5_found, p5_pieces, p7_ids, p8_found, p9_found, p9_shared)}
+
+
+_P2 = """
+WITH u AS (SELECT chunk_id, embedding_model AS m, embedding_dim AS d, min(embedding)::DOUBLE[] AS e FROM vector_chunks
+  WHERE embedding IS NOT NULL AND len(embedding) = embedding_dim AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) GROUP BY ALL),
+n AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM u a JOIN u b ON a.m = b.m AND a.d = b.d AND a.chunk_id <> b.chunk_id),
+r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM n)
+SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r WHERE k <= 10 AND c >= 0.9"""
+
+_P3 = """
+WITH c AS (SELECT request_id, chunk_id, max(CASE WHEN NOT isnan(rerank_score) THEN rerank_score END) AS r,
+    max(CASE WHEN NOT isnan(vector_score) THEN vector_score END) AS v, max(final_top_k) AS k FROM ranked_candidates GROUP BY ALL),
+p AS (SELECT *, rank() OVER (PARTITION BY request_id ORDER BY r DESC NULLS LAST) AS pr, rank() OVER (PARTITION BY request_id ORDER BY v DESC NULLS LAST) AS pv FROM c)
+SELECT request_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY pr + pv, pr, chunk_id) AS n FROM p) WHERE n <= k"""
+
+_P5 = r"""
+WITH i AS (SELECT 'block' AS item_kind, block_id AS item_id, document_id, text FROM blocks UNION ALL SELECT 'parent', parent_id, document_id, text FROM parent_chunks),
+e AS (SELECT *, len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{f900}-\x{faff}\x{20000}-\x{2a6df}]'))
+    + floor(1.3::DOUBLE * len(regexp_extract_all(text, '[a-zA-Z0-9]+(?:[-''][a-zA-Z0-9]+)*'))) AS n FROM i)
+SELECT DISTINCT item_kind, item_id FROM e LEFT JOIN rag_documents d ON d.package_id = e.document_id LEFT JOIN chunker_configs c ON c.template = d.doc_type
+WHERE n > coalesce(c.child_max_tokens, (SELECT child_max_tokens FROM chunker_configs WHERE template = 'generic_structured'))"""
+
+_P8 = r"""
+WITH d AS (SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_replace(lower(passage), '[^\p{L}\p{N}]', '', 'g') AS t FROM eval_items),
+dw AS (SELECT doc_id, substr(t, k::BIGINT, 60) AS w FROM d, unnest(range(1, length(t) - 58)) AS u(k)),
+iw AS (SELECT item_id, substr(t, k::BIGINT, 60) AS w FROM i, unnest(range(1, length(t) - 58)) AS u(k))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (w)"""
+
+_P9 = """
+WITH g AS (SELECT DISTINCT doc_id, md5(substr(text, k::BIGINT, 200)) AS w FROM documents, unnest(range(1, length(text) - 198)) AS u(k) WHERE text IS NOT NULL),
+s AS (SELECT w FROM g GROUP BY w HAVING count(*) > 1), h AS (SELECT g.* FROM g JOIN s USING (w))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM h a JOIN h b ON a.w = b.w AND a.doc_id < b.doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": _P2, "p3_found": _P3, "p5_found": _P5, "p8_found": _P8, "p9_found": _P9}
