@@ -67,6 +67,20 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
 
 
+def _scanned(spark: SparkSession, folder: str) -> DataFrame:
+    from .scans import scanned_faults
+
+    return scanned_faults(load(spark, folder, "blocks", "document_id", "block_id", "page_number", "block_type", "text", "bbox"), load(spark, folder, "rag_documents", "package_id", "source_uri"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _scanned(spark, folder).select("block_id").distinct()
+
+
+def p6_text(spark: SparkSession, folder: str) -> DataFrame:
+    return _scanned(spark, folder).select("block_id", "kinds", "clean")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     from .tokenize import encode_texts
 
@@ -98,7 +112,7 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_walk, p5_found, p5_pieces, p7_ids, p8_found, p9_found, p9_shared)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_walk, p5_found, p5_pieces, p6_found, p6_text, p7_ids, p8_found, p9_found, p9_shared)}
 
 
 _P2 = """
