@@ -48,6 +48,20 @@ def p3_walk(spark: SparkSession, folder: str) -> DataFrame:
     return first_of_group(_walked(spark, folder), "request_id", "chunk_id", order, "final_top_k").select("request_id", "chunk_id", "stationarity")
 
 
+def _marked(spark: SparkSession, folder: str) -> DataFrame:
+    from .markup import markup_residue
+
+    return markup_residue(load(spark, folder, "blocks", "block_id", "block_type", "text"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _marked(spark, folder).select("block_id").distinct()
+
+
+def p4_text(spark: SparkSession, folder: str) -> DataFrame:
+    return _marked(spark, folder).select("block_id", "marks", "clean").distinct()
+
+
 def _pieces(spark: SparkSession, folder: str) -> DataFrame:
     from .pack import oversized_pieces
 
@@ -112,7 +126,7 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_walk, p5_found, p5_pieces, p6_found, p6_text, p7_ids, p8_found, p9_found, p9_shared)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_walk, p4_found, p4_text, p5_found, p5_pieces, p6_found, p6_text, p7_ids, p8_found, p9_found, p9_shared)}
 
 
 _P2 = """
