@@ -6,8 +6,8 @@ cut into chunks; every chunk gives one key for each choice of ``errors``
 symbols that may differ (those are left out of the key). If two signatures
 differ in at most (chunks x (errors + 1) - 1) symbols, one chunk differs in at
 most ``errors`` by pigeonhole, so the two share a key: the join loses no pair
-up to that distance. Joined pairs are first held against ``reach`` on the whole
-signatures, then checked exactly on the texts.
+up to that distance. Joined pairs are first held against ``reach`` on the low
+NARROW bits of all symbols, then checked exactly on the texts.
 
 Equal texts are searched once, under their least id.
 """
@@ -27,7 +27,7 @@ from quern.session import ship_package
 
 from .chars import U64, Hashes, alnum_table, codes, mix, slices
 
-BITS = 16
+BITS, NARROW = 16, 4
 _GOLD = U64(0x9E3779B97F4A7C15)
 
 
@@ -100,6 +100,20 @@ def chunk_keys(sig: np.ndarray, chunk: int, errors: int) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
+def narrow(sig: np.ndarray) -> np.ndarray:
+    """The low NARROW bits of every symbol, two symbols to a byte."""
+    low = (sig & ((1 << NARROW) - 1)).astype(np.uint8)
+    if low.shape[1] % 2:
+        low = np.pad(low, ((0, 0), (0, 1)))
+    return low[:, ::2] | (low[:, 1::2] << NARROW)
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of symbols that differ between narrow signatures."""
+    x = a ^ b
+    return ((x & 15) != 0).sum(axis=1) + ((x >> NARROW) != 0).sum(axis=1)
+
+
 def overlaps(left: list[str], right: list[str]) -> np.ndarray:
     """Common pairs of each two texts over the larger number of pairs."""
     n = len(left)
@@ -115,7 +129,7 @@ def overlaps(left: list[str], right: list[str]) -> np.ndarray:
 
 
 def near_duplicates(
-    df: DataFrame, key: str, text: str, similarity: float = 0.7, least_tokens: int = 20, chunks: int = 8, chunk: int = 5, errors: int = 1, reach: int = 28
+    df: DataFrame, key: str, text: str, similarity: float = 0.7, least_tokens: int = 20, chunks: int = 8, chunk: int = 5, errors: int = 1, reach: int = 26
 ) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): pairs rep_a < rep_b, similarity of different texts that
     are alike, and rep, id of every text, rep being the least id with the same
@@ -159,16 +173,20 @@ def near_duplicates(
         .select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"))
         .distinct()
     )
-    sides = reps.select("rep", "sig")
-    both = joined.join(sides.select(F.col("rep").alias("rep_a"), F.col("sig").alias("sig_a")), "rep_a").join(sides.select(F.col("rep").alias("rep_b"), F.col("sig").alias("sig_b")), "rep_b")
+
+    def narrowed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), _rows(narrow(_matrix(batch.column("sig"), symbols)))], ["rep", "low"])
+
+    sides = reps.select("rep", "sig").mapInArrow(narrowed, f"rep {kind}, low binary")
+    both = joined.join(sides.select(F.col("rep").alias("rep_a"), F.col("low").alias("low_a")), "rep_a").join(sides.select(F.col("rep").alias("rep_b"), F.col("low").alias("low_b")), "rep_b")
 
     def close(batches):
         for batch in batches:
-            differ = (_matrix(batch.column("sig_a"), symbols) != _matrix(batch.column("sig_b"), symbols)).sum(axis=1)
-            kept = batch.take(pa.array(np.flatnonzero(differ <= reach)))
+            kept = batch.take(pa.array(np.flatnonzero(distance(*(_bytes(batch.column(c)) for c in ("low_a", "low_b"))) <= reach)))
             yield pa.RecordBatch.from_arrays([kept.column("rep_a"), kept.column("rep_b")], ["rep_a", "rep_b"])
 
-    near = both.select("rep_a", "rep_b", "sig_a", "sig_b").mapInArrow(close, f"rep_a {kind}, rep_b {kind}")
+    near = both.select("rep_a", "rep_b", "low_a", "low_b").mapInArrow(close, f"rep_a {kind}, rep_b {kind}")
     texts = rows.select("id", "text")  # a repeated row repeats a pair, which the last step undoes
     checked = near.join(texts.select(F.col("id").alias("rep_a"), F.col("text").alias("text_a")), "rep_a").join(
         texts.select(F.col("id").alias("rep_b"), F.col("text").alias("text_b")), "rep_b"
@@ -189,9 +207,14 @@ def near_duplicates(
 
 
 def _rows(sig: np.ndarray) -> pa.Array:
-    width = sig.shape[1] * 2
+    width = sig.shape[1] * sig.itemsize
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(sig), [None, pa.py_buffer(np.ascontiguousarray(sig).tobytes())]).cast(pa.binary())
 
 
+def _bytes(column: pa.Array) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1) if rows else np.zeros((0, 1), np.uint8)
+
+
 def _matrix(column: pa.Array, symbols: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, symbols)
