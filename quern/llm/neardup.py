@@ -29,6 +29,8 @@ from .chars import U64, Hashes, alnum_table, codes, mix, slices
 
 BITS, NARROW = 16, 4
 _GOLD = U64(0x9E3779B97F4A7C15)
+#: Keys have 48 bits; two that collide cost one more check of a pair.
+_KEY_MASK = U64((1 << 48) - 1)
 
 
 @lru_cache(maxsize=1)
@@ -96,7 +98,7 @@ def chunk_keys(sig: np.ndarray, chunk: int, errors: int) -> np.ndarray:
             key = np.full(len(sig), len(columns) + 1, U64)
             for s in kept:
                 key = mix(key * _GOLD + sig[:, s].astype(U64))
-            columns.append(key)
+            columns.append(key & _KEY_MASK)
     return np.stack(columns, axis=1)
 
 
@@ -171,6 +173,7 @@ def near_duplicates(
     joined = (
         a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")))
         .select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"))
+        .repartition("rep_a")  # serves both the distinct and the next join
         .distinct()
     )
 
