@@ -1 +1,5 @@
-"""functions."""
+"""Column functions."""
+
+from . import text
+
+__all__ = ["text"]

@@ -6,14 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function (spark, folder) -> DataFrame under its name."""
+
+    def add(f):
+        _QUERIES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from . import documents, governance, retrieval  # noqa: F401
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    _load()
+    return {k: f for k, (f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return {k: s for k, (_, s) in _QUERIES.items() if s}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    raise NotImplementedError
+    _load()
+    return _QUERIES["vector_topk_visible"][0](spark, folder)
