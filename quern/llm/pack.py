@@ -101,6 +101,12 @@ class Outline:
             return SENTENCE
         return CLAUSE if _CLAUSE.search(gap) else GAP
 
+    def cut(self, i: int) -> int:
+        """Where a piece that begins with token i begins: at its line's start if a line ends before it, so that marks stay with it."""
+        s = self.spans[i][0]
+        previous = self.spans[i - 1][1] if i else 0
+        return max(self.text.rfind("\n", previous, s), self.text.rfind("\r", previous, s), -1) + 1 or s
+
     def cost(self, i: int, j: int) -> int:
         c = self.cjk[j] - self.cjk[i]
         return c + int((j - i - c) * PER_WORD)
@@ -155,15 +161,15 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int]
         ranges = o.tree_pack(0, n, max(1, limit - overlap))
     out = []
     for k, (i, j) in enumerate(ranges):
-        start = 0 if k == 0 else o.spans[i][0]
-        end = len(text) if k == len(ranges) - 1 else o.spans[j][0]
+        start = 0 if k == 0 else o.cut(i)
+        end = len(text) if k == len(ranges) - 1 else o.cut(j)
         b = i
         if k:
             while b > ranges[k - 1][0] and o.cost(b - 1, i) <= overlap and o.cost(b - 1, j) <= limit:
                 b -= 1
             while b < i and o.rank[b] == 0 and b > 0:
                 b += 1
-        out.append((o.spans[b][0] if b < i else start, start, end, o.cost(b, j)))
+        out.append((o.cut(b) if b < i else start, start, end, o.cost(b, j)))
     return out
 
 
