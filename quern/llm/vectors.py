@@ -104,7 +104,7 @@ def similar_vectors(df: DataFrame, key: str, vector: str, kind: list[str], dim:
     no part. Vectors of different ``kind`` or ``dim`` are never compared. Only
     those with a cosine of at least ``floor`` are given. Ties go to the smaller
     key. Rows with a null key or kind are left out; rows with one key are one
-    record. Other columns are not read.
+    record. Keys are integers. Other columns are not read.
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -196,7 +196,8 @@ def similar_vectors(df: DataFrame, key: str, vector: str, kind: list[str], dim:
         else:
             q = o = np.zeros(0, np.int64)
             c = np.zeros(0)
-        return pa.table({"rep": pa.array(q), "other_rep": pa.array(o), "cosine": pa.array(c)})
+        kind = table.schema.field("rep").type
+        return pa.table({"rep": pa.array(q).cast(kind), "other_rep": pa.array(o).cast(kind), "cosine": pa.array(c)})
 
     found = base.unionByName(query).groupBy("space", "cell", "b", "q").applyInArrow(find, f"rep {id_kind}, other_rep {id_kind}, cosine double")
     # a group of copies is its least k + 1 ids for whoever looks for it, itself included
