@@ -53,10 +53,10 @@ def nearest_for_each(chunks: DataFrame, key: str, vector: str, requests: DataFra
     for block in range(blocks):
         rows = requests.where(F.pmod(F.xxhash64(request_key), F.lit(blocks)) == block).select(request_key, request_vector).toArrow()
         ids, vectors = rows.column(0), _unit(rows.column(1), dim or 1)
-        shared = spark.sparkContext.broadcast((ids.to_pylist(), vectors))
+        shared = spark.sparkContext.broadcast((ids.to_pylist(), ids.type, vectors))
 
         def run(batches, shared=shared):
-            names, q = shared.value
+            names, kind, q = shared.value
             for batch in batches:
                 x = _unit(pa.chunked_array([batch.column(1)]), q.shape[1])
                 here = np.asarray(batch.column(0).to_pylist(), dtype=object)
@@ -68,7 +68,7 @@ def nearest_for_each(chunks: DataFrame, key: str, vector: str, requests: DataFra
                         cut = np.partition(s[at], -k)[-k]
                         at = at[s[at] >= cut]
                     if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), batch.column(0).take(pa.array(at)), pa.array(s[at])], ["request", "key", "score"])
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), kind), batch.column(0).take(pa.array(at)), pa.array(s[at])], ["request", "key", "score"])
 
         part = chunks.select(key, vector).mapInArrow(run, f"request {kinds[0]}, key {kinds[1]}, score double")
         out = part if out is None else out.unionByName(part)
