@@ -166,7 +166,7 @@ def markdown_table(rows: Column) -> Column:
     return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, 1_000_000)), "\n"))
 
 
-def lock_id(tenant: Column, kb: Column, uri: Column, seed: int = 0x5265636F72) -> Column:
+def lock_id(tenant: Column, kb: Column, uri: Column, seed: int = 0x51A7C0DE) -> Column:
     """A 63-bit number for the one writer of a source."""
     digest = F.substring(F.sha2(F.concat_ws(":", tenant, F.lit("kb"), F.coalesce(kb.cast("string"), F.lit("")), uri), 256), 1, 15)
     return F.conv(digest, 16, 10).cast("bigint").bitwiseXOR(F.lit(seed))
