@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import layout as L
 from quern.functions import text as T
 from quern.operators import blocks as B
-from quern.operators import chunkers, postprocess, stats
+from quern.operators import chunkers, postprocess, stats, validate
 from quern.sources import files, load
 
 from .registry import query
@@ -202,3 +203,87 @@ def finished_chunks(spark, folder):
 @query()
 def chunk_quality(spark, folder):
     return stats.quality(postprocess.finish_chunks(_drafts(spark, folder), load(spark, folder, "chunker_configs")))
+
+
+@query(f"""WITH b AS (SELECT document_id, page_number, CASE WHEN len(p) > 0 THEN p ELSE ['Document'] END AS p FROM (SELECT document_id, page_number,
+  list_filter(list_transform(coalesce(heading_path, []::VARCHAR[]), lambda x: trim(x)), lambda x: x <> '') AS p FROM {_BLOCKS} JOIN (SELECT DISTINCT block_id, document_id, heading_path FROM blocks) USING (block_id, document_id))),
+s AS (SELECT document_id, page_number, p[1:n::BIGINT] AS p FROM b, unnest(range(1, len(p) + 1)) AS u(n))
+SELECT document_id, substr(sha256('section:' || document_id || ':' || array_to_string(p, ' > ')), 1, 32) AS section_id,
+  CASE WHEN len(p) > 1 THEN substr(sha256('section:' || document_id || ':' || array_to_string(p[1:-2], ' > ')), 1, 32) END AS parent_section_id, p[-1] AS title, len(p)::INT AS level, min(page_number) AS page_start, max(page_number) AS page_end
+FROM s GROUP BY document_id, p""")
+def section_tree(spark, folder):
+    return validate.section_tree(_blocks(spark, folder))
+
+
+@query("""SELECT 'duplicate_block' AS rule, block_id AS key FROM blocks GROUP BY document_id, block_id HAVING count(*) > 1
+UNION ALL SELECT 'page_number', block_id FROM blocks WHERE coalesce(page_number <= 0, true) UNION ALL SELECT 'empty_box', block_id FROM blocks WHERE bbox.x0 = bbox.x1 OR bbox.y0 = bbox.y1""")
+def document_faults(spark, folder):
+    return validate.document_faults(load(spark, folder, "blocks", "document_id", "block_id", "page_number", "bbox"))
+
+
+@query("""WITH v AS (SELECT chunk_id::VARCHAR AS key, embedding AS e, embedding_model AS m, embedding_dim AS d, CASE embedding_model WHEN 'text-embed-64' THEN 64 WHEN 'compact-embed-48' THEN 48 END AS k FROM vector_chunks)
+SELECT 'unknown_model' AS rule, key FROM v WHERE k IS NULL UNION ALL SELECT 'stated_dim', key FROM v WHERE d <> k UNION ALL SELECT 'length', key FROM v WHERE e IS NULL OR coalesce(len(e) <> d, true)
+UNION ALL SELECT 'not_finite', key FROM v WHERE NOT list_bool_and(list_transform(e, lambda x: isfinite(x)))""")
+def vector_faults(spark, folder):
+    return validate.vector_faults(load(spark, folder, "vector_chunks", "chunk_id", "embedding", "embedding_model", "embedding_dim"), {"text-embed-64": 64, "compact-embed-48": 48})
+
+
+_PAGES = f"p AS (SELECT document_id, page_number, string_agg(text, chr(10) ORDER BY reading_order, block_id) AS t FROM {_BLOCKS} WHERE text <> '' GROUP BY 1, 2)"
+
+
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _blocks(spark, folder).where("text <> ''")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "block_id", "text"))), lambda x: x["text"])  # of one page
+    return rows.groupBy("document_id", "page_number").agg(F.array_join(texts, "\n").alias("t"))
+
+
+@query(rf"""WITH {_PAGES}, g AS (SELECT *, CASE WHEN regexp_matches(lag(t) OVER w, '[。！？；.!?;）)」』"]\s*$') THEN 2 ELSE 0 END AS gap FROM p WINDOW w AS (PARTITION BY document_id ORDER BY page_number)),
+s AS (SELECT *, (coalesce(sum(length(t) + gap) OVER (PARTITION BY document_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + gap)::BIGINT AS start FROM g)
+SELECT document_id, page_number, start, start + length(t) AS stop FROM s""")
+def page_offsets(spark, folder):
+    return validate.page_offsets(_pages(spark, folder), "t")
+
+
+_HINTS = ", ".join(f"CASE WHEN regexp_matches(lower(t), $${'|'.join(w)}$$) THEN '{n}' END" for n, w in L.DOMAINS)
+
+
+@query(f"""WITH {_PAGES}, h AS (SELECT document_id, page_number, list_filter([{_HINTS}], lambda x: x IS NOT NULL) AS h FROM p)
+SELECT document_id, page_number, CASE WHEN len(h) > 1 AND list_contains(h, 'Troubleshooting') THEN 'Troubleshooting' ELSE h[1] END AS domain FROM h""")
+def page_domains(spark, folder):
+    return _pages(spark, folder).select("document_id", "page_number", L.domain_hint(F.col("t")).alias("domain"))
+
+
+@query()
+def merged_lines(spark, folder):
+    """Paragraphs of the blocks whose lines are wrapped."""
+    return _blocks(spark, folder).where(F.col("text").contains("\n")).select("block_id", F.posexplode(L.merge_lines(F.col("text"))).alias("n", "paragraph"))
+
+
+@query()
+def media_captions(spark, folder):
+    names = ("document_id", "block_id", "page_number", "reading_order", "block_type", "text", "caption")
+    return validate.captions(load(spark, folder, "blocks", *names).dropDuplicates(["document_id", "block_id"]))
+
+
+@query()
+def split_markers(spark, folder):
+    return validate.split_markers(_blocks(spark, folder))
+
+
+@query()
+def chunk_faults(spark, folder):
+    drafts = _drafts(spark, folder)
+    return validate.chunk_faults(drafts, chunkers.parents_of(drafts), _blocks(spark, folder))
+
+
+@query()
+def article_parts(spark, folder):
+    laws = _drafts(spark, folder).where("template in ('laws', 'contract_terms')")
+    article = F.when(F.regexp_extract("text", r"第[^\s]{1,8}条", 0) != "", F.regexp_extract("text", r"第[^\s]{1,8}条", 0))
+    return validate.article_parts(laws.withColumn("article", article), "article").select("document_id", "chunk_id", "article", "part", "parts")
+
+
+@query()
+def clean_pages(spark, folder):
+    rows = _blocks(spark, folder)
+    return validate.without_running_lines(rows, B.header_footer_lines(rows)).select("block_id", "text")
