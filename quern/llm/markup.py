@@ -44,7 +44,7 @@ _KINDS = (
     ("begin_end", r"\\(?:begin|end)\s*\{[^{}\n]*\}(?:\{[^{}\n]*\}|\[[^\[\]\n]*\])*"),
     ("tex_line", r"\\\\(?:\s*\\hline)?|\\hline\b"),
     ("tex_math", r"\\[()\[\]]|\$\$"),
-    ("tex_dollar", r"(?<![\w$\\])\$[^\s$\d](?:[^$\n]{0,80}[^\s$])?\$(?![\w$])"),
+    ("tex_dollar", r"(?<![A-Za-z0-9_$\\])\$[^\s$\d](?:[^$\n]{0,80}[^\s$])?\$(?![A-Za-z0-9_$])"),
     ("tex_command", r"~?\\[A-Za-z]+\*?(?:\[[^\[\]\n]*\])?(?:\{[^{}\n]*\})*"),
     ("tex_group", r"\{\\[a-z]+\s[^{}\n]*\}"),
     ("tex_tie", r"(?<=[\p{L}.])~(?=[\p{L}\\])"),
@@ -67,10 +67,10 @@ _KINDS = (
     ("md_quote", r"^[ \t]*>+(?=[ \t])"),
     ("wiki_bold", r"'{2,5}"),
     ("md_strong", r"\*{2,3}(?=\S)|(?<=\S)\*{2,3}|^\*{2}(?=[ \t])"),
-    ("md_bold_", r"(?<![\p{L}\d_])_{2}(?=\S)|(?<=\S)_{2}(?![\p{L}\d_])"),
+    ("md_bold_", r"(?<![\p{Latin}\d_])_{2}(?=\S)|(?<=\S)_{2}(?![\p{Latin}\d_])"),
     ("md_strike", r"~~"),
     ("md_code", r"`"),
-    ("md_emphasis", r"(?<![\p{L}\d_*])[*_](?=[^\s*_])|(?<=[^\s*_])[*_](?![\p{L}\d_*])"),
+    ("md_emphasis", r"(?<![\p{Latin}\d_*])[*_](?=[^\s*_])|(?<=[^\s*_])[*_](?![\p{Latin}\d_*])"),
     ("md_bullet", r"^[ \t]*[*+][ \t]+(?=\S)|^[ \t]*-[ \t]+(?=\S)"),
     ("tex_amp", r"(?<= )&(?= )"),
     ("angle", r"[<>]"),
@@ -239,11 +239,15 @@ def clean_text(text: str, nodes: list[Node], label: np.ndarray) -> str:
             continue
         out.append(text[at : n.start])
         at = n.end
-        out.append(_plain(n))
+        begins = not text[: n.start].strip(" \t") or text[: n.start].rstrip(" \t")[-1:] in ("\n", "\r")
+        out.append("" if begins and n.kind == "md_row" else _plain(n))
+        if begins and n.kind in ("md_table_rule", "wiki_table") and text[at : at + 1] == "\n":
+            at += 1  # the line of a rule goes with it
         if n.kind == "tag" and n.name in ("script", "style") and not n.close and n.mate > i:
             at = nodes[n.mate].start
     out.append(text[at:])
     s = "".join(out)
+    s = regex.sub(r" *\t *", "\t", s)
     s = regex.sub(r"[ \t]+\n", "\n", regex.sub(r"\n{3,}", "\n\n", s))
     return regex.sub(r"(?<=\S) {2,}(?=\S)", " ", s).strip()
 
@@ -374,7 +378,8 @@ def training_texts(count: int = TRAINING_TEXTS, seed: int = 11):
         else:
             dirty = rng.random() < 0.5
             for _ in range(rng.integers(1, 6)):
-                parts.append((prose() + " ", False))
+                said = prose()
+                parts.append((said if said[-1] == "。" and rng.random() < 0.7 else said + " ", False))
                 if rng.random() < 0.5:
                     parts.append((fill(str(rng.choice(_PLAIN))), False))
                     parts.append((" ", False))

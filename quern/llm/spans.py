@@ -3,8 +3,12 @@
 Every document gives the anchors of its text: the k-character windows whose
 hash is the least of some w windows in a row. Two texts that share k + w - 1
 characters share an anchor, so a join on anchor hashes misses no stretch of
-``least`` = k + w - 1 characters. Each joined pair is extended along the
-diagonals of its seeds and only true repeats of ``least`` characters stay.
+``least`` = k + w - 1 characters. Of the ``least`` characters around a shared
+anchor at least half of what is beyond it lies on one side, so the join is on
+the anchor with that half before it and on the anchor with that half after it:
+a passage that many texts share, but that is too short, joins nothing. Each
+joined pair is extended along the diagonals of its seeds and only true repeats
+of ``least`` characters stay.
 
 Texts that are equal are searched once and expanded at the end.
 """
@@ -35,9 +39,12 @@ def _sliding(x: np.ndarray, w: int, op: np.ufunc, fill: np.uint64) -> np.ndarray
     return op(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def winnow(texts: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def winnow(texts: list[str], k: int, w: int, side: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of the texts: index of the text, position in it, hash.
 
+    With ``side``, each anchor gives a hash with ``side`` characters before it
+    and one with as many after it, where the text has them.
+
     Of a run of neighbouring anchors with one hash (a text that repeats a
     character) the first is kept.
     """
@@ -45,7 +52,8 @@ def winnow(texts: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndarray, np
     none = np.zeros(0, np.int64)
     if len(a) < k + w - 1:
         return none, none, np.zeros(0, np.uint64)
-    h = Hashes(a).windows(k)
+    hashes = Hashes(a)
+    h = hashes.windows(k)
     ends = offsets[1:]
     text = np.repeat(np.arange(len(texts)), np.diff(offsets))[: len(h)]
     h = np.where(np.arange(len(h)) + k <= ends[text], h, _TOP)
@@ -57,7 +65,14 @@ def winnow(texts: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndarray, np
     keep = (picked == h) & (h != _TOP)
     keep[1:] &= ~((h[1:] == h[:-1]) & keep[:-1] & (text[1:] == text[:-1]))
     at = np.flatnonzero(keep)
-    return text[at], at - offsets[text[at]], h[at]
+    if not side:
+        return text[at], at - offsets[text[at]], h[at]
+    before, after = at[at - side >= offsets[text[at]]], at[at + k + side <= ends[text[at]]]
+    values = np.concatenate([hashes.of(before - side, before + k), ~hashes.of(after, after + k + side)])
+    both = np.concatenate([before, after])
+    order = np.argsort(both, kind="stable")
+    both = both[order]
+    return text[both], both - offsets[text[both]], values[order]
 
 
 def repeats(a: np.ndarray, b: np.ndarray, seeds: set[int], least: int) -> list[tuple[int, int, int]]:
@@ -96,7 +111,7 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 200, anchor: i
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for i, j in slices(texts):
-                t, pos, h = winnow(texts[i:j], k, w)
+                t, pos, h = winnow(texts[i:j], k, w, -(-(w - 1) // 2))
                 bounds = np.searchsorted(t, np.arange(j - i + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
