@@ -121,7 +121,14 @@ def layout_noise(spark, folder):
     return B.layout_noise(_blocks(spark, folder)).select("block_id", "noise")
 
 
-@query()
+_SHAPE = rf"lower(regexp_replace(trim(regexp_replace(line, '{_WS}+', ' ', 'g')), '[0-9]+', '#', 'g'))"
+
+
+@query(rf"""WITH b AS {_BLOCKS}, l AS (SELECT document_id, page_number, reading_order, block_id, i AS n, {_SHAPE} AS shape
+  FROM (SELECT document_id, page_number, reading_order, block_id, i, p[i::BIGINT] AS line FROM (SELECT *, string_split_regex(text, '\r\n|\n|\r') AS p FROM b WHERE length(text) > 0), unnest(range(1, len(p) + 1)) AS u(i))),
+k AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_number ORDER BY reading_order, block_id, n) AS a, row_number() OVER (PARTITION BY document_id, page_number ORDER BY reading_order DESC, block_id DESC, n DESC) AS z FROM l WHERE shape <> ''),
+t AS (SELECT document_id, count(DISTINCT page_number) AS total FROM b GROUP BY 1 HAVING count(DISTINCT page_number) >= 3)
+SELECT document_id, shape, count(DISTINCT page_number)::INT AS pages FROM k JOIN t USING (document_id) WHERE a <= 3 OR z <= 3 GROUP BY document_id, shape, total HAVING count(DISTINCT page_number) >= greatest(floor(total * 0.5), 1)""")
 def header_footer_lines(spark, folder):
     return B.header_footer_lines(_blocks(spark, folder))
 
@@ -141,9 +148,20 @@ def document_type(spark, folder):
     return B.document_types(_blocks(spark, folder))
 
 
-@query()
+_NUM = "[零一二三四五六七八九十百千万0-9][ \\t]*"
+_STRUCTURED = rf"(?i)^[ \t]*(?:[0-9]+(?:\.[0-9]+){{0,4}}[ \t]+[^ \t]+|chapter[ \t]+[0-9]+\b|section[ \t]+[0-9]+\b|part[ \t]+[0-9]+\b|appendix\b|第[ \t]*(?:{_NUM})+[章节目篇卷])"
+
+
+@query(rf"""WITH b AS {_BLOCKS}, l AS (SELECT *, regexp_replace(regexp_extract(coalesce(text, ''), '^{_WS}*([^\n\r]*)', 1), '^{_WS}+|{_WS}+$', '', 'g') AS line FROM b),
+f AS (SELECT *, regexp_matches(line, '[。！？…；.!?]$') AS ends, regexp_matches(line, '{_STRUCTURED}') AS structured, regexp_matches(line, '^第[ \t]*(?:{_NUM})+[条款章节]{{1,2}}(?:[ \t]|$)') AND length(line) <= 40 AS legal,
+  line = '' OR regexp_matches(line, '^[，、；：…—]') OR regexp_matches(line, '^[0-9]{{4}}[ \t]*[年/.-][ \t]*[0-9]{{1,2}}') OR length(line) > 80 AS barred FROM l),
+h AS (SELECT *, NOT barred AND ((block_type IN ('heading', 'title') AND (structured OR (NOT ends AND length(line) <= 30))) OR (block_type IN ('paragraph', 'text') AND NOT ends AND (legal OR structured))) AS head FROM f),
+c AS (SELECT block_id, last_value(CASE WHEN head THEN line END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page_number, reading_order, block_id ROWS UNBOUNDED PRECEDING) AS t FROM h),
+n AS (SELECT *, regexp_extract(t, '^[ \t]*([0-9]+(?:\.[0-9]+){{0,5}})[ \t]+[^ \t]+', 1) AS number, regexp_extract(t, '^[ \t]*第[ \t]*(?:{_NUM})+([章节目篇卷条款])', 1) AS mark FROM c)
+SELECT block_id, t AS section_title, coalesce(CASE WHEN t IS NULL THEN NULL WHEN number <> '' THEN least(6, length(number) - length(replace(number, '.', '')) + 1) WHEN mark IN ('章', '篇', '卷') THEN 1 WHEN mark IN ('节', '目', '条') THEN 2 WHEN mark <> '' THEN 3
+  WHEN regexp_matches(lower(t), '^(?:chapter |part |appendix)') THEN 1 WHEN starts_with(lower(t), 'section ') THEN 2 ELSE 1 END, 0)::INT AS section_level FROM n""")
 def heading_carry(spark, folder):
-    return B.heading_carry(_blocks(spark, folder)).select("block_id", "section_title", "section_level")
+    return B.heading_carry(_blocks(spark, folder)).select("block_id", "section_title", F.coalesce("section_level", F.lit(0)).alias("section_level"))
 
 
 @query()
@@ -259,7 +277,9 @@ def merged_lines(spark, folder):
     return _blocks(spark, folder).where(F.col("text").contains("\n")).select("block_id", F.posexplode(L.merge_lines(F.col("text"))).alias("n", "paragraph"))
 
 
-@query()
+@query("""WITH b AS (SELECT DISTINCT document_id, block_id, page_number, reading_order, block_type, text, caption FROM blocks), w AS (SELECT *,
+  lag(block_type) OVER o AS lt, lag(trim(coalesce(text, ''))) OVER o AS lx, lead(block_type) OVER o AS rt, lead(trim(coalesce(text, ''))) OVER o AS rx FROM b WINDOW o AS (PARTITION BY document_id, page_number ORDER BY reading_order, block_id))
+SELECT document_id, block_id, coalesce(concat_ws(chr(10) || chr(10), nullif(trim(caption), ''), CASE WHEN lt = 'caption' THEN lx END, CASE WHEN rt = 'caption' THEN rx END), '') AS caption FROM w WHERE block_type IN ('table', 'figure')""")
 def media_captions(spark, folder):
     names = ("document_id", "block_id", "page_number", "reading_order", "block_type", "text", "caption")
     return validate.captions(load(spark, folder, "blocks", *names).dropDuplicates(["document_id", "block_id"]))

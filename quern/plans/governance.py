@@ -44,11 +44,20 @@ def already_stored(spark, folder):
     return store.already_stored(docs.select("id", *store.SOURCE, "content_hash"), docs).select("id", F.coalesce("known_id", F.lit(-1)).alias("known_id"))
 
 
-@query()
+_SAME = "k.tenant_id IS NOT DISTINCT FROM i.tenant_id AND k.knowledge_base_id IS NOT DISTINCT FROM i.knowledge_base_id AND k.source_uri IS NOT DISTINCT FROM i.source_uri"
+
+
+@query(f"""WITH i AS (SELECT tenant_id, knowledge_base_id, source_uri, sha256(content_hash || '#2') AS content_hash, updated_at AS came FROM rag_documents
+  UNION ALL SELECT tenant_id, knowledge_base_id, source_uri, content_hash, created_at FROM rag_documents),
+n AS (SELECT i.*, row_number() OVER (PARTITION BY tenant_id, knowledge_base_id, source_uri, content_hash ORDER BY came) = 1
+  AND NOT EXISTS (SELECT 1 FROM rag_documents k WHERE {_SAME} AND k.content_hash = i.content_hash AND k.status IN ('active', 'superseded')) AS fresh FROM i),
+c AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY tenant_id, knowledge_base_id, source_uri ORDER BY came, content_hash ROWS UNBOUNDED PRECEDING) AS nth, sum(fresh::INT) OVER (PARTITION BY tenant_id, knowledge_base_id, source_uri) AS total FROM n)
+SELECT i.source_uri, i.content_hash, epoch_us(i.came) AS arrived_us, CASE WHEN NOT fresh THEN 'skipped_duplicate' WHEN nth = total THEN 'active' ELSE 'superseded' END AS outcome,
+  (CASE WHEN fresh THEN (SELECT max(version) FROM rag_documents k WHERE {_SAME}) + nth ELSE 0 END)::INT AS version FROM c i""")
 def stage_ingest(spark, folder):
     docs = _documents(spark, folder)
     incoming = docs.select(*store.SOURCE, F.sha2(F.concat("content_hash", F.lit("#2")), 256).alias("content_hash"), F.col("updated_at").alias("arrived_at")).unionByName(docs.select(*store.SOURCE, "content_hash", F.col("created_at").alias("arrived_at")))
-    return store.stage_ingest(incoming, docs)
+    return store.stage_ingest(incoming, docs).select("source_uri", "content_hash", F.unix_micros("arrived_at").alias("arrived_us"), "outcome", F.coalesce("version", F.lit(0)).alias("version"))
 
 
 @query("""SELECT id, CASE WHEN status = 'active' AND EXISTS (SELECT 1 FROM rag_documents s WHERE s.status = 'superseded' AND s.tenant_id = d.tenant_id AND s.source_uri = d.source_uri AND s.knowledge_base_id IS NOT DISTINCT FROM d.knowledge_base_id)
