@@ -59,16 +59,15 @@ def nearest_for_each(chunks: DataFrame, key: str, vector: str, requests: DataFra
             names, kind, q = shared.value
             for batch in batches:
                 x = _unit(pa.chunked_array([batch.column(1)]), q.shape[1])
-                here = np.asarray(batch.column(0).to_pylist(), dtype=object)
-                score = x @ q.T
-                for j, name in enumerate(names):
-                    s = score[:, j]
-                    at = np.flatnonzero(~np.isnan(s)) if itself else np.flatnonzero(~np.isnan(s) & (here != name))
-                    if len(at) > k:
-                        cut = np.partition(s[at], -k)[-k]
-                        at = at[s[at] >= cut]
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), kind), batch.column(0).take(pa.array(at)), pa.array(s[at])], ["request", "key", "score"])
+                here, there = np.asarray(batch.column(0)), np.asarray(pa.array(names, kind))
+                for j in range(0, len(q), 512):
+                    score = x @ q[j : j + 512].T
+                    score[np.isnan(score)] = -np.inf
+                    if not itself:
+                        score[here[:, None] == there[None, j : j + 512]] = -np.inf
+                    cut = np.partition(score, -k, axis=0)[-k] if len(score) > k else np.full(score.shape[1], -np.inf)
+                    row, column = np.nonzero((score >= cut) & (score > -np.inf))  # ties at the cut all stay
+                    yield pa.RecordBatch.from_arrays([pa.array(names, kind).take(pa.array(j + column)), batch.column(0).take(pa.array(row)), pa.array(score[row, column])], ["request", "key", "score"])
 
         part = chunks.select(key, vector).mapInArrow(run, f"request {kinds[0]}, key {kinds[1]}, score double")
         out = part if out is None else out.unionByName(part)
