@@ -66,3 +66,22 @@ def visible(tenant: str, department: str, level: str, filters: dict | None = Non
 def contains_text(needle: str, columns: Iterable[str]) -> Column:
     """Any of the columns holds the needle, whatever its case; % and _ in it stay wildcards."""
     return reduce(lambda a, b: a | b, (F.col(c).ilike(f"%{needle}%") for c in columns))
+
+
+#: Suffixes that are ingested, and the limits of a document.
+SUFFIXES = ("txt", "md", "markdown", "csv", "tsv", "pdf")
+MOST_BYTES, MOST_CHUNKS, MOST_TOP_K, MOST_FINAL_K = 100 * 1024 * 1024, 20_000, 50, 8
+
+
+def admit(suffix: Column, length: Column) -> Column:
+    """Why a file is not ingested; null if it is."""
+    return F.when(~F.coalesce(F.lower(suffix).isin(*SUFFIXES), F.lit(False)), "suffix").when(length > MOST_BYTES, "size").when(length <= 0, "empty")
+
+
+def top_k(requested: int | None, most: int) -> int:
+    """The requested number of results within the configured one."""
+    if requested is None:
+        return most
+    if not 0 < requested <= most:
+        raise ValueError(f"at most {most} results can be asked for")
+    return requested

@@ -215,3 +215,19 @@ def citation_check(spark, folder):
     rows = load(spark, folder, "blocks", "block_id", "text").where(F.col("text").rlike(r"\[\d{1,9}\]")).distinct()
     ok = T.check_citations(F.col("text"), F.array(F.lit(1), F.lit(2), F.lit(3)))
     return rows.select("block_id", ok["valid"].alias("valid"), ok["reason"].alias("reason"))
+
+
+@query()
+def retrieve_batch(spark, folder):
+    """Every held-out question through the whole chain, with the built-in embedder."""
+    from quern.operators.embed import embed
+    from quern.operators.pipeline import answer_contexts
+
+    asked = load(spark, folder, "eval_items", "item_id", "question").withColumnRenamed("item_id", "request_id")
+    requests = asked.join(embed(asked, "request_id", "question").select("request_id", F.col("embedding").alias("vector")), "request_id")
+    chunks = load(spark, folder, "rag_chunks", "id", "document_id", "parent_key", "content", "tenant_id", "department", "access_level", "status", "source_uri", "doc_type", "page_start", "page_end", "heading_path")
+    vectors = embed(chunks.select("id", "content").distinct(), "id", "content").select(F.col("id").alias("chunk_id"), "embedding")
+    parents = load(spark, folder, "parent_chunks", "parent_id", "text").groupBy(F.col("parent_id").alias("parent_key")).agg(F.max("text").alias("parent_text"))
+    titles = load(spark, folder, "rag_documents", "id", "title").groupBy(F.col("id").alias("document_id")).agg(F.max("title").alias("title"))
+    out = answer_contexts(requests, chunks, vectors, parents, titles, filters.visible(TENANT, DEPARTMENT, LEVEL), top_k=20)
+    return out.select("request_id", "status", "reason", "confidence", "context", "tokens", F.size("references").alias("references"), F.size("hits").alias("hits"))
