@@ -129,6 +129,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_walk, p4_found, p4_text, p5_found, p5_pieces, p6_found, p6_text, p7_ids, p8_found, p9_found, p9_shared)}
 
 
+_P1 = r"""
+WITH c AS (SELECT DISTINCT id, content FROM rag_chunks WHERE content IS NOT NULL),
+t AS (SELECT id, content, regexp_extract_all(regexp_replace(lower(content), '([\x{4e00}-\x{9fff}])', ' \1 ', 'g'), '[\p{L}\p{N}]+') AS t FROM c),
+d AS (SELECT min(id) AS rep, content, any_value(t) AS t FROM t WHERE len(t) >= 20 GROUP BY content),
+g AS (SELECT rep, len(t) - 1 AS n, t[i::BIGINT] || ' ' || t[i::BIGINT + 1] AS p FROM d, unnest(range(1, len(t))) AS u(i)),
+k AS (SELECT rep, n, p, count(*) AS k FROM g GROUP BY ALL),
+s AS (SELECT a.rep AS x, b.rep AS y FROM k a JOIN k b ON a.p = b.p AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING sum(least(a.k, b.k)) >= 0.7 * greatest(a.n, b.n)),
+m AS (SELECT t.id, d.rep FROM t JOIN d USING (content))
+SELECT DISTINCT least(p.id, q.id) AS id_a, greatest(p.id, q.id) AS id_b FROM (SELECT x, y FROM s UNION ALL SELECT rep, rep FROM d) s JOIN m p ON p.rep = s.x JOIN m q ON q.rep = s.y WHERE p.id <> q.id"""
+
 _P2 = """
 WITH u AS (SELECT chunk_id, embedding_model AS m, embedding_dim AS d, min(embedding)::DOUBLE[] AS e FROM vector_chunks
   WHERE embedding IS NOT NULL AND len(embedding) = embedding_dim AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))
@@ -164,4 +174,4 @@ SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM h a JOIN h b ON
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p3_found": _P3, "p5_found": _P5, "p8_found": _P8, "p9_found": _P9}
+    return {"p1_found": _P1, "p2_found": _P2, "p3_found": _P3, "p5_found": _P5, "p8_found": _P8, "p9_found": _P9}
