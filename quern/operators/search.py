@@ -31,10 +31,17 @@ def usable(vector: str, dim: str | None = None) -> Column:
     return ok & (F.size(e) == F.col(dim)) if dim else ok
 
 
-def nearest(chunks: DataFrame, key: str, vector: str, request: list[float], k: int) -> DataFrame:
-    """key, score, rank of the k most similar rows to one request vector; ties by key."""
+def nearest(chunks: DataFrame, key: str, vector: str, request: list[float], k: int, repeated: bool = False) -> DataFrame:
+    """key, score, rank of the k most similar rows to one request vector; ties by key.
+
+    Rows of one key are one row if ``repeated`` says that there may be several:
+    then keys and scores are grouped, never vectors.
+    """
     q = F.array(*(F.lit(float(x)) for x in request))
-    scored = chunks.select(F.col(key), cosine(F.col(vector), q).alias("score")).where("score is not null").orderBy(F.desc("score"), F.asc(key)).limit(k)
+    scored = chunks.select(F.col(key), cosine(F.col(vector), q).alias("score")).where("score is not null")
+    if repeated:
+        scored = scored.groupBy(key).agg(F.max("score").alias("score"))
+    scored = scored.orderBy(F.desc("score"), F.asc(key)).limit(k)
     return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.asc(key))))  # k rows
 
 

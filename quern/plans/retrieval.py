@@ -29,7 +29,7 @@ def _chunks(spark: SparkSession, folder: str, *more: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
     rows = load(spark, folder, "vector_chunks", "chunk_id", "embedding", "embedding_model", "embedding_dim").where(search.usable("embedding", "embedding_dim"))
-    return rows.where("embedding_model = 'text-embed-64'").select("chunk_id", "embedding").distinct()
+    return rows.where("embedding_model = 'text-embed-64'").select("chunk_id", "embedding")
 
 
 _VECTORS = """(SELECT DISTINCT chunk_id, embedding::DOUBLE[] AS e FROM vector_chunks WHERE embedding_model = 'text-embed-64' AND embedding IS NOT NULL AND len(embedding) = embedding_dim
@@ -87,8 +87,8 @@ SELECT chunk_id, round(s, 6) AS score, row_number() OVER (ORDER BY s DESC, chunk
 def vector_topk_visible(spark, folder):
     vectors = _vectors(spark, folder)
     request = vectors.orderBy("chunk_id").select("embedding").first()  # one vector
-    shown = _chunks(spark, folder).where(filters.visible(TENANT, DEPARTMENT, LEVEL)).select(F.col("id").alias("chunk_id")).distinct()
-    found = search.nearest(vectors.join(shown, "chunk_id", "left_semi"), "chunk_id", "embedding", request[0] if request else [], 10)
+    shown = load(spark, folder, "rag_chunks", "id", "tenant_id", "department", "access_level", "status").where(filters.visible(TENANT, DEPARTMENT, LEVEL)).select(F.col("id").alias("chunk_id"))
+    found = search.nearest(vectors.join(shown, "chunk_id", "left_semi"), "chunk_id", "embedding", request[0] if request else [], 10, repeated=True)
     return found.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
