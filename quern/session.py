@@ -34,13 +34,12 @@ def local_session(cpus: int | str = "*", app: str = "quern", **conf: str) -> Spa
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give this package to the executors' Python workers, once per application.
+    """Give this package to the Python workers, once per application.
 
-    Workers of a local master import it from the driver's own path.
+    Workers don't share the driver's import path, not even those of a local
+    master.
     """
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local":
-        return
     if getattr(sc, "_quern_shipped", False):
         return
     buffer = io.BytesIO()
