@@ -35,4 +35,4 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     _load()
-    return _QUERIES["vector_topk_visible"][0](spark, folder)
+    return _QUERIES["vector_topk"][0](spark, folder)

@@ -40,4 +40,5 @@ def test_every_sql_has_its_query():
 
 
 def test_entry(spark, duck):
-    assert entry.entry(spark).columns == ["chunk_id", "score", "rank"]
+    df = entry.entry(spark)
+    assert df.columns == ["vec_id", "score", "rank"] and df.count() == 10
