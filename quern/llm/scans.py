@@ -50,6 +50,10 @@ _CODE = regex.compile(r"(?<![\p{L}\d])\p{Lu}{1,3}-\d{1,5}\p{Lu}?(?![\p{L}\d])")
 _CJKS = regex.compile(r"[一-鿿]+")
 _CUT = regex.compile(rf"(\p{{L}}+)[{_HYPHENS}][^\S\r\n]*\r?\n[^\S\r\n]*(\p{{L}}+)")
 _SPACED = regex.compile(r"(?<![\p{L}\d'’])(?:\p{Latin}[ \n]){3,}\p{Latin}(?![\p{L}\d])")
+#: A chunk that can be part of a word broken by blanks, and what may stand around the word.
+_BROKEN = regex.compile(r"(?P<lead>[\"'“„«(\[]*)(?P<letters>\p{Latin}+)(?P<tail>[\"'”“»).,;:!?…\]]*)")
+_SPACED_CJK = regex.compile(r"(?<![一-鿿])[一-鿿](?:[ \u3000][一-鿿])+(?![一-鿿])")
+_GAP_CJK = regex.compile(r"(?<=[一-鿿])[ \u3000](?=[一-鿿])")
 _SIGNS = regex.compile(r"[\W\d]+")
 _LINE_END = regex.compile(r"\r\n|\n|\r")
 _NO_LETTER = regex.compile(r"[^\p{L}]")
@@ -106,6 +110,13 @@ class Lexicon:
         self.known = {c for c, n in letters.items() if n * 200_000 >= total}
         self._memo: dict[tuple[str, bool], tuple[str, ...] | None] = {}
         self.chunks: dict[str, list] = {}
+        self.shapes: dict[str, tuple[int, str, int, float] | None] = {}
+        self.longest = max(map(len, words), default=0)
+
+    def cohesion(self, a: str, b: str) -> float:
+        """How far two CJK characters belong together: 1 if neither stands without the other."""
+        n = self.pairs.get(a + b, 0)
+        return n / max(1.0, (self.letters.get(a, 0) * self.letters.get(b, 0)) ** 0.5)
 
     def has(self, word: str) -> bool:
         return word in self.words or word.lower() in self.words
@@ -192,6 +203,9 @@ def word_faults(text: str, lex: Lexicon) -> list[tuple[int, int, str, str]]:
         word = m.group().replace(" ", "").replace("\n", "")
         got = lex.decode(word, single=True)
         out.append((*m.span(), "spaced", " ".join(got) if got else word))
+    broken = broken_words(text, lex, [(s, e) for s, e, _, _ in out])
+    out += broken
+    taken += [(s, e) for s, e, _, _ in broken]
     for m in _CHUNK.finditer(text):
         s, e = m.span()
         if taken and any(s < y and e > x for x, y in taken):
@@ -200,6 +214,102 @@ def word_faults(text: str, lex: Lexicon) -> list[tuple[int, int, str, str]]:
     return out
 
 
+#: Cost of a chunk that is no word, and of a blank or line end left out between two chunks.
+_NO_WORD, _DROPPED = 4.0, 0.5
+#: The words of one letter.
+_ONE_LETTER = frozenset("aàyoiô")
+
+
+def broken_words(text: str, lex: Lexicon, taken: list[tuple[int, int]]) -> list[tuple[int, int, str, str]]:
+    """Words that blanks or line ends without a hyphen break, by dynamic programming over the chunks.
+
+    A blank may be left out at a cost wherever that turns something that is no
+    word into words. Blank lines, signs and capitals inside end a word.
+    """
+    chunks = [(m.start(), m.end(), _shape(m.group(), lex)) for m in _CHUNK.finditer(text)]
+    odd = [k for k, (_, _, x) in enumerate(chunks) if x is not None and x[3] == _NO_WORD]
+    out: list[tuple[int, int, str, str]] = []
+
+    def tied(k: int) -> bool:
+        """Whether only blanks part the letters of chunk k from those of the one before."""
+        (_, e, x), (s, f, y) = chunks[k - 1], chunks[k]
+        return x is not None and y is not None and not x[2] and not y[0] and text.count("\n", e, s) <= 1 and not any(s < b and f > a for a, b in taken)
+
+    upto = -1
+    for k in odd:
+        if k <= upto or any(chunks[k][0] < b and chunks[k][1] > a for a, b in taken):
+            continue
+        i, j = k, k + 1
+        while i > 0 and tied(i):
+            i -= 1
+        while j < len(chunks) and tied(j):
+            j += 1
+        upto = j - 1
+        out += _rejoined([(s + x[0], s + x[0] + len(x[1]), x[1], x[3]) for s, _, x in chunks[i:j]], text, lex)
+    return out
+
+
+def _shape(chunk: str, lex: Lexicon) -> tuple[int, str, int, float] | None:
+    """Length of the signs before, letters, length of the signs after, cost as a word of its own."""
+    if chunk in lex.shapes:
+        return lex.shapes[chunk]
+    x = _BROKEN.fullmatch(chunk)
+    found = None
+    if x is not None:
+        w = x["letters"]
+        word = lex.has(w) and (len(w) > 1 or w.lower() in _ONE_LETTER)
+        found = (len(x["lead"]), w, len(x["tail"]), 1.0 if word else 1.5 if w.islower() and lex.decode(w) else _NO_WORD)
+    if len(lex.shapes) > 300_000:
+        lex.shapes.clear()
+    lex.shapes[chunk] = found
+    return found
+
+
+def _rejoined(stretch: list[tuple[int, int, str, float]], text: str, lex: Lexicon) -> list[tuple[int, int, str, str]]:
+    n = len(stretch)
+    if n < 2:
+        return []
+    own = [x[3] for x in stretch]
+    best: list[tuple[float, int, str | None]] = [(0.0, 0, None)]
+    for j in range(1, n + 1):
+        now: tuple[float, int, str | None] = (best[j - 1][0] + own[j - 1], j - 1, None)
+        joined, odd = stretch[j - 1][2], own[j - 1] == _NO_WORD
+        ends: list[int] = []  # where the blanks were, from the end
+        for i in range(j - 2, -1, -1):
+            if not (stretch[i + 1][2].islower() or joined.isupper() and stretch[i][2].isupper()):
+                break
+            ends.append(len(joined))
+            joined = stretch[i][2] + joined
+            odd |= own[i] == _NO_WORD
+            if len(joined) > 2 * lex.longest:
+                break
+            drop = best[i][0] + _DROPPED * (j - i - 1)
+            if not odd or len(joined) < 3 or drop + 1 >= now[0]:
+                continue
+            if lex.has(joined):
+                now = (drop + 1, i, joined)
+            elif joined.islower() and (got := lex.decode(joined)) and drop + len(got) + 1 < now[0] and _bridged(got, ends):
+                now = (drop + len(got) + 1, i, " ".join(got))
+        best.append(now)
+    out, j = [], n
+    while j:
+        _, i, word = best[j]
+        if word is not None:
+            kind = "cut" if "\n" in text[stretch[i][0] : stretch[j - 1][1]] else "spaced"
+            out.append((stretch[i][0], stretch[j - 1][1], kind, word))
+        j = i
+    return out[::-1]
+
+
+def _bridged(words: tuple[str, ...], ends: list[int]) -> bool:
+    """Whether every blank, counted from the end, was inside a word of some length, and no word is a letter."""
+    at, inside = 0, 0
+    for w in reversed(words):
+        inside += sum(at < x < at + len(w) for x in ends) if len(w) >= 4 else 0
+        at += len(w)
+    return inside == len(ends) and min(map(len, words)) >= 2
+
+
 def _chunk_faults(chunk: str, lex: Lexicon) -> list[tuple[int, int, str, str]]:
     """Faults of what stands between white space, by position in it; each distinct chunk is looked at once."""
     known = lex.chunks.get(chunk)
@@ -269,6 +379,15 @@ def _elided(word: str, lex: Lexicon) -> bool:
 def cjk_faults(text: str, lex: Lexicon) -> list[tuple[int, int, str, str]]:
     """Misread CJK characters. A line end inside Chinese text is none: its lines are broken at any character."""
     out = []
+    for m in _SPACED_CJK.finditer(text):
+        word = m.group()[::2]
+        if any(lex.pairs.get(word[i : i + 2], 0) for i in range(len(word) - 1)):
+            out.append((*m.span(), "spaced", word))
+    done = [(s, e) for s, e, _, _ in out]
+    for m in _GAP_CJK.finditer(text):
+        s, e = m.span()
+        if lex.cohesion(text[s - 1], text[e]) >= 0.2 and not any(s < y and e > x for x, y in done):
+            out.append((s, e, "spaced", ""))
     flat = [(i, c) for i, c in enumerate(text) if c not in "\r\n"]
     for k, (i, c) in enumerate(flat):
         true = CJK_CONFUSIONS.get(c)

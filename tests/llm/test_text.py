@@ -189,3 +189,20 @@ def test_scanned_faults_end_to_end(spark):
     assert set(out) == {"h1", "h2", "h3", "h4", "n1", "n2"}
     assert out["n1"].clean == f"{body} {body}" and out["h1"].clean == ""
     assert scanned_faults(blocks.where("false"), docs).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "clean"),
+    [
+        ("the certi ficate settles", "spaced", "the certificate settles"), ("the certi\nficate settles", "cut", "the certificate settles"), ("t h e valve", "spaced", "the valve"),
+        ("the per missionof a valve", "spaced", "the permission of a valve"), ("责 任 登记", "spaced", "责任 登记"), ("未经责 任", "spaced", "未经责任"),
+    ],
+)
+def test_words_broken_by_blanks_and_line_ends(text, kind, clean):
+    kinds, out = repair(text, set(), lexicon())
+    assert kind in kinds and out == clean
+
+
+@pytest.mark.parametrize("text", ["the valve report", "Mor lu settles", "the report. ment", "die nicht au delà"])
+def test_blanks_between_whole_words_stay(text):
+    assert repair(text, set(), lexicon()) == ([], text)
