@@ -69,6 +69,8 @@ _ELISION = regex.compile(r"['’]")
 _ENGLISH = regex.compile(r"['’](?:s|t|re|ve|ll|d)$")
 _CLOSING = regex.compile(r"[.!?。！？:：;；][\"'”’»)\]]*\s*$")
 _ONE_END = regex.compile(r"(?<!\n)\n(?!\n)")
+_LAST_WORD = regex.compile(rf"(?<word>\p{{Latin}}+)(?<hyphen>[{_HYPHENS}]?)[^\S\n]*$")
+_FIRST_WORD = regex.compile(r"[^\S\n]*(?<word>\p{Latin}+)")
 _BLANK = regex.compile(r"\n[^\S\n]*\n")
 _CHUNK = regex.compile(r"\S+")
 _LETTER, _LATIN = regex.compile(r"\p{L}"), regex.compile(r"\p{Latin}")
@@ -447,6 +449,17 @@ def _closed(line: str) -> bool:
     return _CLOSING.search(line) is not None
 
 
+def _join_end(body: str, at: int, lex: Lexicon) -> str:
+    """What becomes of the line end at ``at`` in Chinese text: it stays after a hyphen in a word, is a blank between Latin words, else goes."""
+    left, right = _LAST_WORD.search(body, 0, at), _FIRST_WORD.match(body, at + 1)
+    if left is None or right is None:
+        return ""
+    if left["hyphen"]:
+        return "\n"
+    a, b = left["word"], right["word"]
+    return " " if lex.has(a) and lex.has(b) and not lex.has(a + b) else ""
+
+
 def repair(text: str, drop: set[int], lex: Lexicon) -> tuple[list[str], str]:
     """Kinds of faults of a block's text, and the text without them as paragraphs."""
     lines = split_lines(text)
@@ -454,7 +467,7 @@ def repair(text: str, drop: set[int], lex: Lexicon) -> tuple[list[str], str]:
     kinds = ["furniture"] * bool(gone)
     body = "\n".join(x for i, x in enumerate(lines) if i not in gone)
     if sum(map(len, _CJKS.findall(body))) * 3 > len(body):
-        body = _ONE_END.sub("", body)  # Chinese lines end anywhere, also inside a name
+        body = _ONE_END.sub(lambda m: _join_end(body, m.start(), lex), body)  # Chinese lines end anywhere, also inside a name
     faults = word_faults(body, lex) + (cjk_faults(body, lex) if _CJKS.search(body) else [])
     kinds += sorted({k for _, _, k, _ in faults})
     out, at = [], 0

@@ -206,3 +206,14 @@ def test_words_broken_by_blanks_and_line_ends(text, kind, clean):
 @pytest.mark.parametrize("text", ["the valve report", "Mor lu settles", "the report. ment", "die nicht au delà"])
 def test_blanks_between_whole_words_stay(text):
     assert repair(text, set(), lexicon()) == ([], text)
+
+
+@pytest.mark.parametrize(
+    ("text", "kinds", "clean"),
+    [
+        ("未经责任登记大约已经责任 services tech-\nniques 登记责任大约未经已经登记", ["cut"], "未经责任登记大约已经责任 services techniques 登记责任大约未经已经登记"),
+        ("大约责任登记未经责任登记 the\nvalve 已经登记大约", [], "大约责任登记未经责任登记 the valve 已经登记大约"), ("已经登记大约责任\n登记未经", [], "已经登记大约责任登记未经"),
+    ],
+)
+def test_latin_words_at_line_ends_of_chinese_text(text, kinds, clean):
+    assert repair(text, set(), lexicon()) == (kinds, clean)
