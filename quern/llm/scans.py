@@ -16,6 +16,7 @@ Paragraph ends are then chosen by a second dynamic programme over the lines.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from functools import lru_cache
 
@@ -35,6 +36,26 @@ CONFUSIONS = (
     ("rn", "m"), ("m", "rn"), ("vv", "w"), ("cl", "d"), ("ii", "u"), ("li", "h"), ("c", "e"), ("e", "c"), ("b", "h"), ("h", "b"), ("ri", "n"), ("nn", "m"),
     ("1", "l"), ("1", "i"), ("0", "o"), ("5", "s"), ("9", "g"), ("8", "b"), ("6", "b"), ("@", "a"), ("†", "t"), ("ſ", "s"), ("ſ", "f"), ("í", "i"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("|", "l"), ("$", "s"), ("€", "e"),
 )
+
+
+def _by_first() -> dict[str, list[tuple[str, str, int]]]:
+    """Confusions, also one within what another gives (misread, true, how many), by their first character."""
+    found = {(a, b): 1 for a, b in CONFUSIONS}
+    for a, b in CONFUSIONS:
+        for c, d in CONFUSIONS:
+            at = c.find(b)
+            while at >= 0:
+                whole = c[:at] + a + c[at + len(b) :]
+                if whole != d:
+                    found.setdefault((whole, d), 2)
+                at = c.find(b, at + 1)
+    out: dict[str, list[tuple[str, str, int]]] = {}
+    for (a, b), n in found.items():
+        out.setdefault(a[0], []).append((a, b, n))
+    return out
+
+
+_BY_FIRST = _by_first()
 #: CJK characters and what they are misread for.
 CJK_CONFUSIONS = {
     "贵": "责", "软": "款", "豋": "登", "很": "限", "末": "未", "夭": "天", "汪": "证", "己": "已", "扳": "板", "囗": "口", "络": "终", "各": "备", "帐": "账", "读": "续", "柜": "拒",
@@ -44,6 +65,10 @@ CJK_CONFUSIONS = {
 CJK_UNREAD = frozenset("囗豋夭佼曰")
 #: Occurrences that make a word of clean text part of the lexicon, and the most entries that are sent to workers.
 LEAST_COUNT, LEXICON_ENTRIES = 3, 2_000_000
+#: Shares of all words of clean text: a word of the lexicon, a word that may be part of a joined run, the same of one or two letters. LEAST_COUNT is the floor.
+LEAST_SHARE, COMMON_SHARE, SHORT_SHARE = 3e-7, 3.3e-5, 3.3e-4
+#: Cost a letter up to which a long run still counts as read.
+_COST_A_LETTER = 0.6
 _HYPHENS = "-‐‑­¬"
 _WORD = regex.compile(r"\p{L}+(?:[-'’]\p{L}+)*")
 _CODE = regex.compile(r"(?<![\p{L}\d])\p{Lu}{1,3}-\d{1,5}\p{Lu}?(?![\p{L}\d])")
@@ -108,12 +133,14 @@ class Lexicon:
 
     def __init__(self, words: dict[str, int], letters: dict[str, int], pairs: dict[str, int]):
         self.words, self.letters, self.pairs = words, letters, pairs
-        total = sum(letters.values())
-        self.known = {c for c, n in letters.items() if n * 200_000 >= total}
+        sum_letters = sum(letters.values())
+        self.known = {c for c, n in letters.items() if n * 200_000 >= sum_letters}
         self._memo: dict[tuple[str, bool], tuple[str, ...] | None] = {}
         self.chunks: dict[str, list] = {}
         self.shapes: dict[str, tuple[int, str, int, float] | None] = {}
-        self.longest = max(map(len, words), default=0)
+        self.order = sorted(words)
+        total = sum(words.values())
+        self.common, self.common_short = max(LEAST_COUNT, COMMON_SHARE * total), max(LEAST_COUNT, SHORT_SHARE * total)
 
     def cohesion(self, a: str, b: str) -> float:
         """How far two CJK characters belong together: 1 if neither stands without the other."""
@@ -123,29 +150,39 @@ class Lexicon:
     def has(self, word: str) -> bool:
         return word in self.words or word.lower() in self.words
 
-    def readings(self, segment: str, most: int = 2) -> list[tuple[int, str]]:
-        """Lexicon words that ``segment`` can be a misreading of, with the number of confusions."""
-        out, seen = [], {segment: 0}
-        frontier = [segment]
-        for depth in range(most + 1):
-            nxt = []
-            for form in frontier:
-                if form in self.words:
-                    out.append((depth, form))
-                if depth < most:
-                    for wrong, right in CONFUSIONS:
-                        at = form.find(wrong)
-                        while at >= 0:
-                            variant = form[:at] + right + form[at + len(wrong) :]
-                            if variant not in seen:
-                                seen[variant] = depth + 1
-                                nxt.append(variant)
-                            at = form.find(wrong, at + 1)
-            if out or len(nxt) > 600:
-                break
-            frontier = nxt
+    def starts(self, run: str, at: int, most: int) -> dict[tuple[int, str], int]:
+        """(end, lexicon word) of all that can be read from ``at`` on with at most ``most`` confusions, and how many it takes.
+
+        Only beginnings of words are followed, so neither the run nor the words have to be short.
+        """
+        words, out = self.order, {}
+        seen = {(at, ""): 0}
+        todo = [(at, "")]
+        while todo:
+            state = todo.pop()
+            pos, form = state
+            wrong = seen[state]
+            if form in self.words:
+                out[state] = wrong
+            if pos == len(run):
+                continue
+            steps = [(pos + 1, form + run[pos], wrong)]
+            for misread, true, n in _BY_FIRST.get(run[pos], ()):
+                if wrong + n <= most and run.startswith(misread, pos):
+                    steps.append((pos + len(misread), form + true, wrong + n))
+            for end, longer, n in steps:
+                k = bisect_left(words, longer)
+                if k < len(words) and words[k].startswith(longer) and n < seen.get((end, longer), most + 1):
+                    seen[end, longer] = n
+                    todo.append((end, longer))
         return out
 
+    def readings(self, segment: str, most: int = 2) -> list[tuple[int, str]]:
+        """Lexicon words that ``segment`` can be a misreading of, with the least number of confusions."""
+        found = [(n, word) for (end, word), n in self.starts(segment, 0, most).items() if end == len(segment)]
+        least = min((n for n, _ in found), default=0)
+        return sorted(x for x in found if x[0] == least)
+
     def decode(self, run: str, whole: bool = False, single: bool = False) -> tuple[str, ...] | None:
         """The cheapest reading of a run of characters as lexicon words; None if there is none.
 
@@ -158,23 +195,27 @@ class Lexicon:
         if (key, single) in self._memo:
             return self._memo[key, single]
         n = len(key)
-        best: list[tuple[float, tuple[str, ...]] | None] = [None] * (n + 1)
-        best[0] = (0.0, ())
-        if n <= 80:
-            for j in range(1, n + 1):
-                for i in range(max(0, j - 26), j):
-                    if best[i] is None or (j - i == 1 and n > 1 and not single):
-                        continue
-                    short = j - i <= 2
-                    options = [(0, key[i:j])] if key[i:j] in self.words else [] if short else self.readings(key[i:j], 2 if i == 0 and j == n else 1)
-                    for wrong, word in options:
-                        if i or j < n:  # a part of a joined run has to be a common word
-                            if self.words[word] < 20:
-                                continue
-                        cost = best[i][0] + 1 + wrong + (1.5 if short else 0)
-                        if best[j] is None or cost < best[j][0]:
-                            best[j] = (cost, (*best[i][1], word))
-        found = best[n][1] if best[n] is not None and best[n][0] <= 6 else None
+        best: list[tuple[float, int, str] | None] = [None] * (n + 1)  # cost, where the last word begins, the word
+        best[0] = (0.0, 0, "")
+        for i in range(n):
+            if best[i] is None:
+                continue
+            options = self.starts(key, i, 2 if i == 0 else 1)
+            for (j, word), wrong in options.items():
+                part = i > 0 or j < n
+                short = j - i <= 2
+                if (j - i == 1 and n > 1 and not single) or (short and wrong) or (part and (wrong > 1 or self.words[word] < (self.common_short if short else self.common))):
+                    continue  # a part of a joined run has to be a common word
+                cost = best[i][0] + 1 + wrong + (1.5 if short else 0)
+                if best[j] is None or cost < best[j][0] or (cost == best[j][0] and i == best[j][1] and self.words[word] > self.words[best[j][2]]):
+                    best[j] = (cost, i, word)
+        found = None
+        if n and best[n] is not None and best[n][0] <= max(6, _COST_A_LETTER * n):
+            words, j = [], n
+            while j:
+                words.append(best[j][2])
+                j = best[j][1]
+            found = tuple(words[::-1])
         if len(self._memo) > 300_000:
             self._memo.clear()
         self._memo[key, single] = found
@@ -283,8 +324,6 @@ def _rejoined(stretch: list[tuple[int, int, str, float]], text: str, lex: Lexico
             ends.append(len(joined))
             joined = stretch[i][2] + joined
             odd |= own[i] == _NO_WORD
-            if len(joined) > 2 * lex.longest:
-                break
             drop = best[i][0] + _DROPPED * (j - i - 1)
             if not odd or len(joined) < 3 or drop + 1 >= now[0]:
                 continue
@@ -368,7 +407,7 @@ def _fault(word: str, lex: Lexicon) -> tuple[str, str] | None:
                 return ("joined" if len(got) > 1 else "misread"), word.replace(p, " ".join(got))
         else:
             got = [w for d, w in lex.readings(p.lower(), 2) if d]
-            if got and max(lex.words[w] for w in got) >= 10:
+            if got and max(lex.words[w] for w in got) >= lex.common / 2:
                 return "misread", word.replace(p, max(got, key=lambda w: lex.words[w]).capitalize())
     return None
 
@@ -574,7 +613,8 @@ def _lexicon(clean: DataFrame) -> Lexicon:
         yield flush()
 
     counts = settle(clean.select("text").mapInArrow(count, "kind string, entry string, n bigint").groupBy("kind", "entry").agg(F.sum("n").alias("n")), "lexicon")
-    least = LEAST_COUNT
+    total = counts.where("kind = 'w'").agg(F.sum("n")).first()[0] or 0
+    least = max(LEAST_COUNT, round(LEAST_SHARE * total))
     while counts.where(F.col("n") >= least).count() > LEXICON_ENTRIES:
         least *= 2
     found: dict[str, dict[str, int]] = {"w": {}, "c": {}, "p": {}}

@@ -217,3 +217,18 @@ def test_blanks_between_whole_words_stay(text):
 )
 def test_latin_words_at_line_ends_of_chinese_text(text, kinds, clean):
     assert repair(text, set(), lexicon()) == (kinds, clean)
+
+
+def test_decoder_has_no_bound_of_length():
+    lex = lexicon()
+    assert lex.decode("thevalvereportneversettlestheservices") == ("the", "valve", "report", "never", "settles", "the", "services")
+    assert lex.decode("thevalve" * 15) == ("the", "valve") * 15
+    long = Lexicon({"donaudampfschiffahrtsgesellschaftskapitän": 50, "nicht": 50}, {c: 1000 for c in "abcdefghijklmnopqrstuvwxyzä"}, {})
+    assert long.decode("donaudarnpfschiffahrtsgesellschaftskapitän", whole=True) == ("donaudampfschiffahrtsgesellschaftskapitän",)
+    assert long.decode("nichtdonaudampfschiffahrtsgesellschaftskapitän") == ("nicht", "donaudampfschiffahrtsgesellschaftskapitän")
+    assert lex.decode("vlk" * 3_000) is None
+
+
+def test_parts_of_a_joined_run_are_common_by_share():
+    small, large = ({w: n for w in ("subscription", "report")} | {"the": 20_000 * n} for n in (5, 500))
+    assert Lexicon(small, {}, {}).decode("subscriptionreport") == Lexicon(large, {}, {}).decode("subscriptionreport")
