@@ -231,3 +231,13 @@ def test_layout_items_and_html_tables(spark):
     assert got == [(1, "heading", "Top", ["Top"]), (1, "paragraph", "body", ["Top"]), (2, "heading", "Sub", ["Top", "Sub"]), (2, "table", "a\tb", ["Top", "Sub"]), (1, "figure", "[Figure]", ["Top", "Sub"])]
     html = spark.createDataFrame([("x", "<table><tr><th>a</th></tr><tr><td>1</td></tr></table>"), ("y", "<p>no</p>"), ("z", None)], "id string, html string")
     assert [r.markdown for r in files.html_tables(html, "id", "html").collect()] == ["| a |\n| --- |\n| 1 |"]
+
+
+def test_long_documents_are_mended_across_every_parent(spark):
+    n = 5_300
+    rows = [("d1", "t", f"p{i:05d}", f"c{i}", "text", f"this sentence number {i} runs on" if i == 4_999 else f"then part {i} ends here.", i, i, 500, 0) for i in range(n)]
+    chunks = spark.createDataFrame(rows, "document_id string, template string, parent_id string, chunk_id string, chunk_type string, text string, page_start int, page_end int, token_count int, chunk_index int")
+    configs = spark.createDataFrame([("t", 1000, 2)], "template string, child_max_tokens int, child_min_tokens int")
+    out = postprocess.finish_chunks(chunks, configs).collect()
+    assert len(out) == n - 1
+    assert [r.text for r in out if r.chunk_id == "c4999"] == ["this sentence number 4999 runs on then part 5000 ends here."]
