@@ -84,7 +84,7 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
 def _scanned(spark: SparkSession, folder: str) -> DataFrame:
     from .scans import scanned_faults
 
-    return scanned_faults(load(spark, folder, "blocks", "document_id", "block_id", "page_number", "block_type", "text", "bbox"), load(spark, folder, "rag_documents", "package_id", "source_uri"))
+    return scanned_faults(load(spark, folder, "blocks", "document_id", "block_id", "page_number", "reading_order", "block_type", "text", "bbox"), load(spark, folder, "rag_documents", "package_id", "source_uri"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

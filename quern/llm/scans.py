@@ -3,13 +3,16 @@
 Three sources of evidence, each counted over the whole corpus first:
 
 * furniture: the skeletons (letters only, with confusable letters made one) of
-  what stands at a document's page edges; lines with such a skeleton, or with
-  the form of a page number, are taken out wherever they stand;
+  what stands in a document's page margins, or opens or closes most of its
+  pages; lines with such a skeleton, or with the form of a page number, are
+  taken out wherever they stand;
 * a lexicon of the words, letters and CJK pairs of documents that are not
   scans;
-* a decoder that reads a run of characters as words of that lexicon, allowing
-  splits, merges, confusions and line-end hyphens at a cost each, by dynamic
-  programming over the characters.
+* a decoder over the de-lined stream of a body: its letters with every blank,
+  line end and hyphen at a line end as something that may be there by mistake.
+  One dynamic programme chooses where words begin and end, at a cost for each
+  blank or line end left out, each boundary put in, each confusion, and each
+  word that the lexicon lacks.
 
 Paragraph ends are then chosen by a second dynamic programme over the lines.
 """
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from quern.durable import settle
 from quern.session import ship_package
 
-#: Page edges in points from the top: a block with its middle beyond them is furniture.
+#: Page edges in points from the top: a block with its middle beyond them stands in the margin.
 TOP_EDGE, BOTTOM_EDGE = 90.0, 700.0
 #: How scanners misread, as misread form and true form.
 CONFUSIONS = (
@@ -63,20 +66,21 @@ CJK_CONFUSIONS = {
 }
 #: CJK characters that stand for any unread one.
 CJK_UNREAD = frozenset("囗豋夭佼曰")
-#: Occurrences that make a word of clean text part of the lexicon, and the most entries that are sent to workers.
-LEAST_COUNT, LEXICON_ENTRIES = 3, 2_000_000
-#: Shares of all words of clean text: a word of the lexicon, a word that may be part of a joined run, the same of one or two letters. LEAST_COUNT is the floor.
-LEAST_SHARE, COMMON_SHARE, SHORT_SHARE = 3e-7, 3.3e-5, 3.3e-4
+#: Shares of all words of clean text: a word of the lexicon (so there are 1 / LEAST_SHARE at most, and as many letters and
+#: CJK pairs), a word that may be part of a joined run, the same of one or two letters; share of all CJK pairs of one that tells a misreading.
+LEAST_SHARE, COMMON_SHARE, SHORT_SHARE, PAIR_SHARE = 1e-6, 3.3e-5, 3.3e-4, 5e-6
 #: Cost a letter up to which a long run still counts as read.
 _COST_A_LETTER = 0.6
 _HYPHENS = "-‐‑­¬"
 _WORD = regex.compile(r"\p{L}+(?:[-'’]\p{L}+)*")
 _CODE = regex.compile(r"(?<![\p{L}\d])\p{Lu}{1,3}-\d{1,5}\p{Lu}?(?![\p{L}\d])")
 _CJKS = regex.compile(r"[一-鿿]+")
-_CUT = regex.compile(rf"(\p{{L}}+)[{_HYPHENS}][^\S\r\n]*\r?\n[^\S\r\n]*(\p{{L}}+)")
-_SPACED = regex.compile(r"(?<![\p{L}\d'’])(?:\p{Latin}[ \n]){3,}\p{Latin}(?![\p{L}\d])")
-#: A chunk that can be part of a word broken by blanks, and what may stand around the word.
-_BROKEN = regex.compile(r"(?P<lead>[\"'“„«(\[]*)(?P<letters>\p{Latin}+)(?P<tail>[\"'”“»).,;:!?…\]]*)")
+_RUN = regex.compile(r"\p{Latin}+")
+#: What may part two halves of a word: a hyphen at a line end, a line end, one blank, several.
+_GAP = regex.compile(rf"(?P<hyphen>[{_HYPHENS}][^\S\n]*\n[^\S\n]*)|(?P<line>[^\S\n]*\n[^\S\n]*)|(?P<blank>[^\S\n])|(?P<wide>[^\S\n]+)")
+_ONE_SIGN = {"\n": "line", " ": "blank", "\t": "blank", "\xa0": "blank", "\u3000": "blank"}
+#: What may stand before and after a word, between it and white space.
+_LEAD, _TAIL = frozenset("\"'“„«(["), frozenset("\"'”“»).,;:!?…]")
 _SPACED_CJK = regex.compile(r"(?<![一-鿿])[一-鿿](?:[ \u3000][一-鿿])+(?![一-鿿])")
 _GAP_CJK = regex.compile(r"(?<=[一-鿿])[ \u3000](?=[一-鿿])")
 _SIGNS = regex.compile(r"[\W\d]+")
@@ -101,7 +105,7 @@ _CHUNK = regex.compile(r"\S+")
 _LETTER, _LATIN = regex.compile(r"\p{L}"), regex.compile(r"\p{Latin}")
 _PART = regex.compile(r"[^一-鿿\u3000-〿＀-￯/\\<>=&#{}()\[\]]+")
 _ROMAN = r"(?=[ivxlc])(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
-_NUMBER = r"[0-9lIoOSi]*[0-9][0-9lIoOSi]*"
+_NUMBER = r"(?=[lIoOSi]*[0-9])[0-9lIoOSi]++"
 _PAGE = regex.compile(
     rf"\s*(?:[\[(·•\-–—|. ]*\s*(?:{_NUMBER}|{_ROMAN})\s*[\])·•\-–—|. ]*|(?:p|pp|pg|page|seite|s)\s*\.?\s*{_NUMBER}(?:\s*(?:of|sur|von|de|/)\s*{_NUMBER})?|{_NUMBER}\s*/\s*{_NUMBER}|第\s*{_NUMBER}\s*页(?:\s*[,，/]?\s*共\s*{_NUMBER}\s*页)?)\s*",
     regex.I,
@@ -111,7 +115,7 @@ _CJK_CANON = str.maketrans({a: min(a, b) for a, b in CJK_CONFUSIONS.items()})
 
 
 def is_page_number(line: str) -> bool:
-    return len(line) <= 40 and bool(line.strip()) and _PAGE.fullmatch(line) is not None
+    return bool(line.strip()) and _PAGE.fullmatch(line) is not None
 
 
 def skeleton(line: str) -> str:
@@ -137,10 +141,11 @@ class Lexicon:
         self.known = {c for c, n in letters.items() if n * 200_000 >= sum_letters}
         self._memo: dict[tuple[str, bool], tuple[str, ...] | None] = {}
         self.chunks: dict[str, list] = {}
-        self.shapes: dict[str, tuple[int, str, int, float] | None] = {}
+        self.costs: dict[str, float] = {}
         self.order = sorted(words)
         total = sum(words.values())
-        self.common, self.common_short = max(LEAST_COUNT, COMMON_SHARE * total), max(LEAST_COUNT, SHORT_SHARE * total)
+        self.common, self.common_short = COMMON_SHARE * total, SHORT_SHARE * total
+        self.telling = PAIR_SHARE * sum(pairs.values())
 
     def cohesion(self, a: str, b: str) -> float:
         """How far two CJK characters belong together: 1 if neither stands without the other."""
@@ -236,108 +241,157 @@ def clean_counts(text: str, words: Counter, letters: Counter, pairs: Counter) ->
 
 def word_faults(text: str, lex: Lexicon) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, repair) of what is wrong with the words of a text without furniture."""
-    out = []
-    for m in _CUT.finditer(text):
-        left, right = m.groups()
-        if not (lex.has(f"{left}-{right}") and not lex.has(left + right)):
-            out.append((*m.span(), "cut", left + right))
+    out = stream_faults(text, lex)
     taken = [(s, e) for s, e, _, _ in out]
-    for m in _SPACED.finditer(text):
-        word = m.group().replace(" ", "").replace("\n", "")
-        got = lex.decode(word, single=True)
-        out.append((*m.span(), "spaced", " ".join(got) if got else word))
-    broken = broken_words(text, lex, [(s, e) for s, e, _, _ in out])
-    out += broken
-    taken += [(s, e) for s, e, _, _ in broken]
+    at = 0
     for m in _CHUNK.finditer(text):
         s, e = m.span()
-        if taken and any(s < y and e > x for x, y in taken):
+        while at < len(taken) and taken[at][1] <= s:
+            at += 1
+        if at < len(taken) and taken[at][0] < e:
             continue
         out += [(s + i, s + j, kind, fixed) for i, j, kind, fixed in _chunk_faults(m.group(), lex)]
     return out
 
 
-#: Cost of a chunk that is no word, and of a blank or line end left out between two chunks.
-_NO_WORD, _DROPPED = 4.0, 0.5
+#: Cost of a run of letters that is no word, of a blank or line end left out, and of a hyphen that stays at a line end.
+_NO_WORD, _DROPPED, _KEPT = 4.0, 0.5, 4.1
 #: The words of one letter.
 _ONE_LETTER = frozenset("aàyoiô")
 
 
-def broken_words(text: str, lex: Lexicon, taken: list[tuple[int, int]]) -> list[tuple[int, int, str, str]]:
-    """Words that blanks or line ends without a hyphen break, by dynamic programming over the chunks.
+class _Piece:
+    """A run of letters of the stream, what parts it from the run before, and its cost as a word of its own."""
+
+    __slots__ = ("cost", "end", "gap", "letters", "solid", "start")
+
+    def __init__(self, start: int, end: int, letters: str, gap: str | None, cost: float):
+        self.start, self.end, self.letters, self.gap, self.cost = start, end, letters, gap, cost
+        self.solid = False  # part of something with digits or signs: only a hyphen can join it
+
+    def look_around(self, text: str) -> None:
+        a, b = self.start, self.end
+        while a > 0 and text[a - 1] in _LEAD:
+            a -= 1
+        while b < len(text) and text[b] in _TAIL:
+            b += 1
+        self.solid = (a > 0 and not text[a - 1].isspace() and self.gap != "hyphen") or (b < len(text) and not text[b].isspace() and _GAP.match(text, self.end) is None)
+        if self.solid:
+            self.cost = 1.0
+
+
+def stream_faults(text: str, lex: Lexicon) -> list[tuple[int, int, str, str]]:
+    """What is wrong where words are parted: joint segmentation of the stream of letters, blanks, line ends and hyphens.
 
-    A blank may be left out at a cost wherever that turns something that is no
-    word into words. Blank lines, signs and capitals inside end a word.
+    Only stretches with something that is no word, or with a hyphen at a line
+    end, are decoded: where every run is a word the reading as it stands is
+    the cheapest. Blank lines and other signs end a stretch.
     """
-    chunks = [(m.start(), m.end(), _shape(m.group(), lex)) for m in _CHUNK.finditer(text)]
-    odd = [k for k, (_, _, x) in enumerate(chunks) if x is not None and x[3] == _NO_WORD]
     out: list[tuple[int, int, str, str]] = []
+    stretch: list[_Piece] = []
+    costs = lex.costs
+    previous, reason = -1, False
+
+    def close() -> None:
+        nonlocal reason
+        if reason and len(stretch) > 1:
+            for p in stretch:
+                p.look_around(text)
+            if any(p.cost == _NO_WORD or (k and p.gap == "hyphen") for k, p in enumerate(stretch)):
+                out.extend(_segment(stretch, lex))
+        stretch.clear()
+        reason = False
+
+    for m in _RUN.finditer(text):
+        s, e = m.span()
+        letters = m.group()
+        gap = None
+        if previous >= 0:
+            if s - previous == 1:
+                gap = _ONE_SIGN.get(text[previous])
+            elif (g := _GAP.fullmatch(text, previous, s)) is not None:
+                gap = g.lastgroup
+        if gap is None:
+            close()
+        cost = costs.get(letters) or _own_cost(letters, lex)
+        reason = reason or cost == _NO_WORD or gap == "hyphen"
+        stretch.append(_Piece(s, e, letters, gap, cost))
+        previous = e
+    close()
+    return out
 
-    def tied(k: int) -> bool:
-        """Whether only blanks part the letters of chunk k from those of the one before."""
-        (_, e, x), (s, f, y) = chunks[k - 1], chunks[k]
-        return x is not None and y is not None and not x[2] and not y[0] and text.count("\n", e, s) <= 1 and not any(s < b and f > a for a, b in taken)
 
-    upto = -1
-    for k in odd:
-        if k <= upto or any(chunks[k][0] < b and chunks[k][1] > a for a, b in taken):
-            continue
-        i, j = k, k + 1
-        while i > 0 and tied(i):
-            i -= 1
-        while j < len(chunks) and tied(j):
-            j += 1
-        upto = j - 1
-        out += _rejoined([(s + x[0], s + x[0] + len(x[1]), x[1], x[3]) for s, _, x in chunks[i:j]], text, lex)
-    return out
+def _own_cost(letters: str, lex: Lexicon) -> float:
+    known = lex.costs.get(letters)
+    if known is None:
+        word = lex.has(letters) and (len(letters) > 1 or letters.lower() in _ONE_LETTER)
+        known = 1.0 if word else 1.5 if len(letters) > 1 and letters.islower() and lex.decode(letters) else _NO_WORD
+        if len(lex.costs) > 300_000:
+            lex.costs.clear()
+        lex.costs[letters] = known
+    return known
 
 
-def _shape(chunk: str, lex: Lexicon) -> tuple[int, str, int, float] | None:
-    """Length of the signs before, letters, length of the signs after, cost as a word of its own."""
-    if chunk in lex.shapes:
-        return lex.shapes[chunk]
-    x = _BROKEN.fullmatch(chunk)
-    found = None
-    if x is not None:
-        w = x["letters"]
-        word = lex.has(w) and (len(w) > 1 or w.lower() in _ONE_LETTER)
-        found = (len(x["lead"]), w, len(x["tail"]), 1.0 if word else 1.5 if w.islower() and lex.decode(w) else _NO_WORD)
-    if len(lex.shapes) > 300_000:
-        lex.shapes.clear()
-    lex.shapes[chunk] = found
-    return found
-
-
-def _rejoined(stretch: list[tuple[int, int, str, float]], text: str, lex: Lexicon) -> list[tuple[int, int, str, str]]:
-    n = len(stretch)
-    if n < 2:
-        return []
-    own = [x[3] for x in stretch]
+def _compound(a: str, b: str, lex: Lexicon) -> bool:
+    return lex.has(f"{a}-{b}") and not lex.has(a + b)
+
+
+def _segment(run: list[_Piece], lex: Lexicon) -> list[tuple[int, int, str, str]]:
+    """The cheapest segmentation of a stretch into words; those that are not as they stand are given back."""
+    n = len(run)
     best: list[tuple[float, int, str | None]] = [(0.0, 0, None)]
+    odd_upto = -1  # the last piece that gives a reason to join
     for j in range(1, n + 1):
-        now: tuple[float, int, str | None] = (best[j - 1][0] + own[j - 1], j - 1, None)
-        joined, odd = stretch[j - 1][2], own[j - 1] == _NO_WORD
+        last = run[j - 1]
+        kept = 0.0
+        if j > 1 and last.gap == "hyphen":
+            kept = 0.0 if _compound(run[j - 2].letters, last.letters, lex) else _KEPT
+        now: tuple[float, int, str | None] = (best[j - 1][0] + last.cost + kept, j - 1, None)
+        if last.cost == _NO_WORD or last.gap == "hyphen":
+            odd_upto = j - 1
+        joined, dropped, odd, cut, blanks = last.letters, 0.0, last.cost == _NO_WORD, False, False
+        single, spaced = len(joined) == 1, True
         ends: list[int] = []  # where the blanks were, from the end
         for i in range(j - 2, -1, -1):
-            if not (stretch[i + 1][2].islower() or joined.isupper() and stretch[i][2].isupper()):
+            a, b = run[i], run[i + 1]
+            if odd_upto < 0:
                 break
-            ends.append(len(joined))
-            joined = stretch[i][2] + joined
-            odd |= own[i] == _NO_WORD
-            drop = best[i][0] + _DROPPED * (j - i - 1)
-            if not odd or len(joined) < 3 or drop + 1 >= now[0]:
+            single = single and len(a.letters) == 1
+            spaced = spaced and b.gap in ("blank", "line")
+            if b.gap == "hyphen":
+                if _compound(a.letters, b.letters, lex):
+                    break
+                cut = True
+            else:
+                if a.solid or b.solid or not (b.letters.islower() or joined.isupper() and a.letters.isupper() or single):
+                    break
+                dropped += _DROPPED
+                blanks = True
+                ends.append(len(joined))
+            joined = a.letters + joined
+            odd |= a.cost == _NO_WORD
+            so_far = best[i][0] + dropped
+            spelt = single and spaced and len(joined) > 3
+            if spelt:
+                so_far -= dropped / 2  # a blank after every letter is one mistake
+            if not (odd or cut) or len(joined) < 3 or so_far + 1 >= now[0]:
                 continue
-            if lex.has(joined):
-                now = (drop + 1, i, joined)
-            elif joined.islower() and (got := lex.decode(joined)) and drop + len(got) + 1 < now[0] and _bridged(got, ends):
-                now = (drop + len(got) + 1, i, " ".join(got))
+            if spelt:
+                got = lex.decode(joined, single=True)
+                now = (so_far + 1, i, " ".join(got) if got else joined)
+            elif lex.has(joined):
+                now = (so_far + 1, i, joined)
+            elif joined.islower() and (got := lex.decode(joined)) and so_far + len(got) + 1 < now[0] and _bridged(got, ends):
+                now = (so_far + len(got) + 1, i, " ".join(got))
+            elif cut and not blanks and so_far + _NO_WORD < now[0]:
+                now = (so_far + _NO_WORD, i, joined)
         best.append(now)
     out, j = [], n
     while j:
         _, i, word = best[j]
         if word is not None:
-            kind = "cut" if "\n" in text[stretch[i][0] : stretch[j - 1][1]] else "spaced"
-            out.append((stretch[i][0], stretch[j - 1][1], kind, word))
+            kind = "spaced" if all(p.gap in ("blank", "wide") for p in run[i + 1 : j]) else "cut"
+            out.append((run[i].start, run[j - 1].end, kind, word))
         j = i
     return out[::-1]
 
@@ -440,7 +494,7 @@ def cjk_faults(text: str, lex: Lexicon) -> list[tuple[int, int, str, str]]:
         before = flat[k - 1][1] if k else " "
         after = flat[k + 1][1] if k + 1 < len(flat) else " "
         for now, then in ((before + c, before + true), (c + after, true + after)):
-            if lex.pairs.get(then, 0) >= 5 and lex.pairs.get(now, 0) * 50 < lex.pairs[then]:
+            if lex.pairs.get(then, 0) >= max(1, lex.telling) and lex.pairs.get(now, 0) * 50 < lex.pairs[then]:
                 other = lex.pairs.get(c + after if now[1] == c else before + c, 0)
                 if other * 10 < lex.pairs[then]:
                     out.append((i, i + 1, "misread", true))
@@ -522,18 +576,26 @@ def repair(text: str, drop: set[int], lex: Lexicon) -> tuple[list[str], str]:
 def scanned_faults(blocks: DataFrame, documents: DataFrame, suffix: str = ".pdf") -> DataFrame:
     """document_id, block_id, kinds, clean of every block of scanned documents that has something wrong.
 
-    ``clean`` is "" for blocks that are furniture altogether. Null and empty
-    texts have nothing wrong; blocks delivered twice are one block; blocks
-    without a document are not scanned; a missing or partial box counts as
-    unknown, and then the block's type and the document's own furniture decide.
+    What stands in the margin of its page and doesn't end a sentence is
+    furniture, and so is every line of the document that looks like it; so is
+    what opens or closes at least half of the document's pages (three at least)
+    inside blocks of text or in blocks of unknown place, and never stands alone
+    within the page as a minor heading does.
+    ``clean`` is "" for blocks that are furniture altogether. Numbers in tables
+    are none. Null and empty texts have nothing wrong; blocks delivered twice
+    are one block; blocks without a document are not scanned; a missing or
+    partial box counts as unknown, and then the block's type and the document's
+    other furniture decide.
     """
     ship_package(blocks.sparkSession)
     flags = documents.groupBy(F.col("package_id").alias("document_id")).agg(F.max(F.coalesce(F.col("source_uri").endswith(suffix), F.lit(False))).alias("scan"))
     middle = (F.col("bbox.y0") + F.col("bbox.y1")) / 2
     typed = F.col("block_type").isin("header", "footer", "page_number")
+    margin = F.when(middle.isNotNull(), (middle <= TOP_EDGE) | (middle >= BOTTOM_EDGE)).otherwise(F.when(typed, True))
+    order = F.col("reading_order") if "reading_order" in blocks.columns else F.lit(0)
     rows = (
         blocks.where(F.length("text") > 0)
-        .select("document_id", "block_id", "page_number", "block_type", "text", F.when(middle.isNotNull(), (middle <= TOP_EDGE) | (middle >= BOTTOM_EDGE)).otherwise(F.when(typed, True)).alias("edge"))
+        .select("document_id", "block_id", "page_number", "block_type", "text", order.alias("reading_order"), margin.alias("edge"))
         .join(flags, "document_id", "left")
         .withColumn("scan", F.coalesce("scan", F.lit(False)))
         .dropDuplicates(["document_id", "block_id"])
@@ -543,58 +605,69 @@ def scanned_faults(blocks: DataFrame, documents: DataFrame, suffix: str = ".pdf"
     lexicon = blocks.sparkSession.sparkContext.broadcast(_lexicon(every.where("not scan")))
 
     def lines(batches):
+        """Lines that can be furniture; ``edge``: in the margin; ``alone``: all of a block within the page; ``first``, ``last``: of their block."""
         for batch in batches:
-            keep, number, mark = [], [], []
+            keep, number, mark, side, alone, first, last = [], [], [], [], [], [], []
             for r, (t, kind, edge) in enumerate(zip(batch.column("text").to_pylist(), batch.column("block_type").to_pylist(), batch.column("edge").to_pylist(), strict=True)):
-                if edge is True:
-                    continue
+                whole = in_margin(t, edge)
                 parts = split_lines(t)
+                if kind == "table" and len(parts) > 1 and not whole:
+                    continue
                 for i, line in enumerate(parts):
-                    if kind == "table" and len(parts) > 1 or len(line) > 160:
-                        continue
-                    page = is_page_number(line)
+                    page = (whole or kind != "table") and is_page_number(line)
                     s = "" if page else skeleton(line)
                     if page or s:
                         keep.append(r)
                         number.append(i)
                         mark.append("#" if page else s)
+                        side.append(whole)
+                        alone.append(edge is False and len(parts) == 1)
+                        first.append(i == 0)
+                        last.append(i == len(parts) - 1)
             own = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([own.column("document_id"), own.column("block_id"), pa.array(number, pa.int32()), pa.array(mark, pa.string())], ["document_id", "block_id", "line", "mark"])
-
-    def edges(batches):
-        for batch in batches:
-            marks = [[skeleton(x) for x in split_lines(t)] for t in batch.column("text").to_pylist()]
-            pairs = [(d, m) for d, ms in zip(batch.column("document_id").to_pylist(), marks, strict=True) for m in ms if m]
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in pairs], pa.string()), pa.array([m for _, m in pairs], pa.string())], ["document_id", "mark"])
-
-    furniture = scans.where("edge").select("document_id", "text").mapInArrow(edges, "document_id string, mark string").distinct()
-    candidates = scans.select("document_id", "block_id", "block_type", "text", "edge").mapInArrow(lines, "document_id string, block_id string, line int, mark string")
-    numbers = candidates.where("mark = '#'").select("document_id", "block_id", "line")
-    running = candidates.where("mark <> '#'").join(furniture, ["document_id", "mark"], "left_semi").select("document_id", "block_id", "line")
+            names = ["document_id", "block_id", "page_number", "reading_order"]
+            yield pa.RecordBatch.from_arrays([*(own.column(n) for n in names), pa.array(number, pa.int32()), pa.array(mark, pa.string()), *(pa.array(x, pa.bool_()) for x in (side, alone, first, last))], [*names, "line", "mark", "edge", "alone", "first", "last"])
+
+    found = "document_id string, block_id string, page_number int, reading_order int, line int, mark string, edge boolean, alone boolean, first boolean, last boolean"
+    candidates = settle(scans.select("document_id", "block_id", "page_number", "reading_order", "block_type", "text", "edge").mapInArrow(lines, found), "lines")
+    inner = candidates.where("not edge")
+    words = candidates.where("mark <> '#'")
+    ends = scans.where("edge is null or not edge").groupBy("document_id", "page_number").agg(F.min(F.struct("reading_order", "block_id"))["block_id"].alias("top"), F.max(F.struct("reading_order", "block_id"))["block_id"].alias("bottom"))
+    pages = ends.groupBy("document_id").agg(F.count("*").alias("pages"))
+    outer = words.where("not edge and (first or last)").join(ends, ["document_id", "page_number"]).where((F.col("first") & (F.col("block_id") == F.col("top"))) | (F.col("last") & (F.col("block_id") == F.col("bottom"))))
+    again = outer.groupBy("document_id", "mark").agg(F.countDistinct("page_number").alias("n")).join(pages, "document_id").where("n >= 3 and n * 2 >= pages").select("document_id", "mark").join(words.where("alone"), ["document_id", "mark"], "left_anti")
+    furniture = words.where("edge").select("document_id", "mark").unionByName(again).distinct()
+    numbers = inner.where("mark = '#'").select("document_id", "block_id", "line")
+    running = inner.where("mark <> '#'").join(furniture, ["document_id", "mark"], "left_semi").select("document_id", "block_id", "line")
     drops = numbers.unionByName(running).groupBy("document_id", "block_id").agg(F.collect_set("line").alias("drop"))  # lines of one block
 
     def mend(batches):
         lex = lexicon.value
         for batch in batches:
             keep, kinds, clean = [], [], []
-            for r, (t, kind, edge, drop) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "block_type", "edge", "drop")), strict=True)):
-                if edge:
-                    found, text = ["furniture"], ""
+            for r, (t, edge, drop) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "edge", "drop")), strict=True)):
+                if in_margin(t, edge):
+                    faults, text = ["furniture"], ""
                 else:
-                    found, text = repair(t, set(drop or ()), lex)
-                if found:
+                    faults, text = repair(t, set(drop or ()), lex)
+                if faults:
                     keep.append(r)
-                    kinds.append(found)
+                    kinds.append(faults)
                     clean.append(text)
             own = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([own.column("document_id"), own.column("block_id"), pa.array(kinds, pa.list_(pa.string())), pa.array(clean, pa.string())], ["document_id", "block_id", "kinds", "clean"])
 
-    ready = scans.join(drops, ["document_id", "block_id"], "left").select("document_id", "block_id", "block_type", "text", "edge", "drop")
+    ready = scans.join(drops, ["document_id", "block_id"], "left").select("document_id", "block_id", "text", "edge", "drop")
     return ready.mapInArrow(mend, "document_id string, block_id string, kinds array<string>, clean string")
 
 
+def in_margin(text: str, edge: bool | None) -> bool:
+    """Whether a block is furniture by where it stands: in the margin, and no sentence."""
+    return edge is True and not _closed(text)
+
+
 def _lexicon(clean: DataFrame) -> Lexicon:
-    """Counts over all clean texts; the least count rises until the entries fit a broadcast."""
+    """Counts over all clean texts; entries below LEAST_SHARE of their kind are left out, which bounds them at every size."""
 
     def count(batches):
         words, letters, pairs = Counter(), Counter(), Counter()
@@ -613,11 +686,9 @@ def _lexicon(clean: DataFrame) -> Lexicon:
         yield flush()
 
     counts = settle(clean.select("text").mapInArrow(count, "kind string, entry string, n bigint").groupBy("kind", "entry").agg(F.sum("n").alias("n")), "lexicon")
-    total = counts.where("kind = 'w'").agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST_COUNT, round(LEAST_SHARE * total))
-    while counts.where(F.col("n") >= least).count() > LEXICON_ENTRIES:
-        least *= 2
+    totals = {r.kind: r.n for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # three kinds
     found: dict[str, dict[str, int]] = {"w": {}, "c": {}, "p": {}}
-    for r in counts.where(F.col("n") >= least).toLocalIterator():
+    share = F.create_map(*(F.lit(x) for k in found for x in (k, LEAST_SHARE * (totals.get(k) or 0))))
+    for r in counts.where(F.col("n") >= F.element_at(share, F.col("kind"))).toLocalIterator():
         found[r.kind][r.entry] = r.n
     return Lexicon(found["w"], found["c"], found["p"])

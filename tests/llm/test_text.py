@@ -232,3 +232,30 @@ def test_decoder_has_no_bound_of_length():
 def test_parts_of_a_joined_run_are_common_by_share():
     small, large = ({w: n for w in ("subscription", "report")} | {"the": 20_000 * n} for n in (5, 500))
     assert Lexicon(small, {}, {}).decode("subscriptionreport") == Lexicon(large, {}, {}).decode("subscriptionreport")
+
+
+@pytest.mark.parametrize(
+    ("text", "clean"),
+    [
+        ("the certifi-\ncatc settles", "the certificate settles"), ("the subscriptionfirm-\nware settles", "the subscription firmware settles"), ("the certi ficate of permis-\nsion", "the certificate of permission"),
+        ("the v a l v e report", "the valve report"), ("the " + "valve " * 40 + "certi ficate", "the " + "valve " * 40 + "certificate"), ("subscription" * 12, " ".join(["subscription"] * 12)),
+    ],
+)
+def test_joint_decoding_of_splits_merges_hyphens_and_confusions(text, clean):
+    kinds, out = repair(text, set(), lexicon())
+    assert kinds and out == clean
+
+
+def test_body_in_the_margin_and_numbers_in_tables_are_no_furniture(spark):
+    body = "the valve report never settles the certificate of permission."
+    low, mid = (60.0, 720.0, 540.0, 760.0), (60.0, 300.0, 540.0, 340.0)
+    texts = [f"the {w} never settles. " * 200 + f"the {w} settles." for w in ("valve", "report", "certificate", "firmware")]
+    rows = [("low", "scan", 1, 9, "paragraph", body, low), ("cell", "scan", 1, 3, "table", "47", mid), ("foot", "scan", 1, 10, "paragraph", "Morlu · report", low)]
+    rows += [(f"head{p}", "other", p, 1, "heading", "Scope", mid) for p in (1, 2, 3, 4)]
+    rows += [(f"run{p}", "third", p, 1, "paragraph", f"Morlu permission {p}\n" + own, mid) for p, own in enumerate(texts, 1)]
+    rows += [(f"c{i}", "clean", 1, i, "paragraph", f"{body} {body} firmware Scope Morlu", None) for i in range(20)]
+    blocks = spark.createDataFrame(rows, "block_id string, document_id string, page_number int, reading_order int, block_type string, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>")
+    docs = spark.createDataFrame([("scan", "a.pdf"), ("other", "b.pdf"), ("third", "c.pdf"), ("clean", "a.md")], "package_id string, source_uri string")
+    out = {r.block_id: r for r in scanned_faults(blocks, docs).collect()}
+    assert set(out) == {"foot", "run1", "run2", "run3", "run4"}
+    assert out["run1"].kinds == ["furniture"] and out["run1"].clean == texts[0]
