@@ -155,6 +155,15 @@ class Lexicon:
     def has(self, word: str) -> bool:
         return word in self.words or word.lower() in self.words
 
+    def begins(self, form: str) -> bool:
+        k = bisect_left(self.order, form)
+        return k < len(self.order) and self.order[k].startswith(form)
+
+    def goes_on(self, a: str, b: str) -> bool:
+        """Whether a word can begin with ``a`` and go on with ``b``, as it stands or misread."""
+        a = a.lower()
+        return self.begins(a + b[0].lower()) or any(b.startswith(x) and self.begins(a + y[0]) for x, y, _ in _BY_FIRST.get(b[0], ()))
+
     def starts(self, run: str, at: int, most: int) -> dict[tuple[int, str], int]:
         """(end, lexicon word) of all that can be read from ``at`` on with at most ``most`` confusions, and how many it takes.
 
@@ -297,8 +306,15 @@ def stream_faults(text: str, lex: Lexicon) -> list[tuple[int, int, str, str]]:
         if reason and len(stretch) > 1:
             for p in stretch:
                 p.look_around(text)
-            if any(p.cost == _NO_WORD or (k and p.gap == "hyphen") for k, p in enumerate(stretch)):
-                out.extend(_segment(stretch, lex))
+            run = []
+            for p in stretch:
+                if run and p.gap == "hyphen" and lex.has(run[-1].letters + p.letters):  # no reading is cheaper
+                    run[-1] = _Piece(run[-1].start, p.end, run[-1].letters + p.letters, run[-1].gap, 1.0)
+                    out.append((run[-1].start, p.end, "cut", run[-1].letters))
+                else:
+                    run.append(p)
+            if any(p.cost == _NO_WORD or (k and p.gap == "hyphen") for k, p in enumerate(run)):
+                out.extend(_segment(run, lex))
         stretch.clear()
         reason = False
 
@@ -318,6 +334,15 @@ def stream_faults(text: str, lex: Lexicon) -> list[tuple[int, int, str, str]]:
         stretch.append(_Piece(s, e, letters, gap, cost))
         previous = e
     close()
+    return _outer(out)
+
+
+def _outer(faults: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """In order, without those within another."""
+    out: list[tuple[int, int, str, str]] = []
+    for x in sorted(faults, key=lambda x: (x[0], -x[1])):
+        if not out or x[0] >= out[-1][1]:
+            out.append(x)
     return out
 
 
@@ -381,7 +406,7 @@ def _segment(run: list[_Piece], lex: Lexicon) -> list[tuple[int, int, str, str]]
                 now = (so_far + 1, i, " ".join(got) if got else joined)
             elif lex.has(joined):
                 now = (so_far + 1, i, joined)
-            elif joined.islower() and (got := lex.decode(joined)) and so_far + len(got) + 1 < now[0] and _bridged(got, ends):
+            elif odd and joined.islower() and (a.cost != 1.0 or b.gap == "hyphen" or lex.goes_on(a.letters, b.letters)) and (got := lex.decode(joined)) and so_far + len(got) + 1 < now[0] and _bridged(got, ends):
                 now = (so_far + len(got) + 1, i, " ".join(got))
             elif cut and not blanks and so_far + _NO_WORD < now[0]:
                 now = (so_far + _NO_WORD, i, joined)
