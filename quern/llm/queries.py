@@ -23,10 +23,19 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     from .vectors import similar_vectors
 
     table = load(spark, folder, "vector_chunks", "chunk_id", "embedding", "embedding_model", "embedding_dim")
-    near = similar_vectors(table, "chunk_id", "embedding", ["embedding_model"], "embedding_dim", k=10, floor=0.9)
+    near = similar_vectors(table, "chunk_id", "embedding", ["embedding_model"], "embedding_dim", k=10, floor=0.9, recall=1.0)
     return near.select(F.least("id", "other").alias("chunk_id_a"), F.greatest("id", "other").alias("chunk_id_b")).distinct()
 
 
+def p2_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 most similar vectors, however similar, of every row whose id is divisible by 20."""
+    from .vectors import similar_vectors
+
+    table = load(spark, folder, "vector_chunks", "chunk_id", "embedding", "embedding_model", "embedding_dim")
+    near = similar_vectors(table, "chunk_id", "embedding", ["embedding_model"], "embedding_dim", k=10, asking=F.col("chunk_id") % 20 == 0)
+    return near.select(F.col("id").alias("chunk_id"), F.col("other").alias("other_id"), "place")
+
+
 def _walked(spark: SparkSession, folder: str) -> DataFrame:
     from .fuse import rank_walk
 
@@ -126,7 +135,7 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_walk, p4_found, p4_text, p5_found, p5_pieces, p6_found, p6_text, p7_ids, p8_found, p9_found, p9_shared)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_nearest, p3_found, p3_walk, p4_found, p4_text, p5_found, p5_pieces, p6_found, p6_text, p7_ids, p8_found, p9_found, p9_shared)}
 
 
 _P1 = r"""

@@ -1,12 +1,14 @@
 """The most similar vectors of every vector, by rotated one-bit codes.
 
-Vectors are spread over cells of a coarse index. A vector's code is the signs
-of its randomly rotated direction, packed to bits, with one scalar: the inner
-product of the direction and its code. From these the inner product with any
-other vector is estimated without bias, with an error bound that follows from
-the scalar; only vectors whose upper bound reaches the k-th best lower bound
-are compared exactly. Every row is indexed in its nearest cell and asks its
-``probes`` nearest cells.
+Vectors are spread over the cells of a coarse index of two levels, about
+CELL_ROWS to a cell whatever their number. A vector's code is the signs of its
+randomly rotated direction, packed to bits, with one scalar: the inner product
+of the direction and its code. From these the inner product with any other
+vector is estimated without bias, with an error bound that follows from the
+scalar; only vectors whose upper bound reaches the k-th best lower bound are
+compared exactly. Every row is indexed in its nearest cell; how many cells a
+row asks is measured on the sample that the index is fitted on, so that the
+wanted recall is reached also where vectors have no clusters.
 
 Equal vectors are searched once; of a group of copies at most k + 1 can be
 among the k best of any row.
@@ -14,22 +16,25 @@ among the k best of any row.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.durable import settle
 from quern.session import ship_package
 
-#: Rows that the coarse index is fitted on, at most, for each kind of vectors.
+#: Rows that a cell of the first level is divided on, and that the first level of a kind is fitted on, at most.
 SAMPLE_ROWS = 16_384
-#: Rows meant for one cell; cells of a kind are at most MOST_CELLS.
-CELL_ROWS, MOST_CELLS = 500, 4_096
-#: Rows of one side that a task holds at a time.
-BLOCK_ROWS = 16_384
+#: Rows meant for one cell.
+CELL_ROWS = 500
+#: Rows of the sample whose neighbours tell how many cells to ask, and the fewest asked of the first level and of all.
+TRIAL_ROWS, LEAST_FIRST, LEAST_CELLS = 512, 8, 20
+#: Bytes of vectors of one side that a task holds at a time.
+BLOCK_BYTES = 8_000_000
 #: Standard errors that the bounds allow.
 EPSILON = 2.6
 
@@ -67,6 +72,57 @@ def centroids(u: np.ndarray, cells: int, rounds: int = 4) -> np.ndarray:
     return c
 
 
+@dataclass
+class Level:
+    """The first level for one kind of vectors: directions of its cells, how many of them and of all cells a row asks."""
+
+    number: int
+    first: np.ndarray
+    ask_first: int
+    ask_cells: int
+
+
+def fit(u: np.ndarray, count: int, number: int, k: int, floor: float, recall: float) -> Level:
+    """The first level for ``count`` vectors, from a sample of them.
+
+    Both levels are made over the sample, and exact neighbours of some of its
+    rows tell behind how many cells, in the order in which a row asks them,
+    the share ``recall`` of the neighbours is found.
+    """
+    cells = max(1, -(-count // CELL_ROWS))
+    first = centroids(u, int(np.ceil(np.sqrt(cells))))
+    x = u.astype(np.float32)
+    score = x @ first.T
+    home = score.argmax(axis=1)
+    share = min(cells, max(1, len(u) // 8)) / len(u)
+    second, owner = [], []
+    for c in range(len(first)):
+        own = x[home == c]
+        if len(own):
+            second.append(centroids(own, max(1, round(len(own) * share))))
+            owner.append(np.full(len(second[-1]), c))
+    second, owner = np.concatenate(second), np.concatenate(owner)
+    inner = np.where(owner[None, :] == home[:, None], x @ second.T, -2)
+    leaf = inner.argmax(axis=1)
+    n = min(TRIAL_ROWS, len(u))
+    cosine = u[:n] @ u.T
+    cosine[np.arange(n), np.arange(n)] = -2
+    near = np.argsort(-cosine, axis=1, kind="stable")[:, : min(k, len(u) - 1)]
+    q, other = np.repeat(np.arange(n), near.shape[1]), near.reshape(-1)
+    wanted = cosine[q, other] >= floor
+    q, other = q[wanted], other[wanted]
+    ask_first, ask_cells = min(LEAST_FIRST, len(first)), min(LEAST_CELLS, len(second))
+    if len(q):
+        place = np.argsort(np.argsort(-score[:n], axis=1, kind="stable"), axis=1)
+        at = np.sort(place[q, home[other]])
+        ask_first = max(ask_first, int(at[int(np.ceil(len(at) * (1 + recall) / 2)) - 1]) + 1)
+        asked = np.where(place[:, owner] < ask_first, x[:n] @ second.T, -2)
+        rank = np.argsort(np.argsort(-asked, axis=1, kind="stable"), axis=1)
+        at = np.sort(rank[q, leaf[other]])
+        ask_cells = max(ask_cells, int(at[int(np.ceil(len(at) * recall)) - 1]) + 1)
+    return Level(number, first, ask_first, ask_cells)
+
+
 def search(base_ids, base, codes, scalars, query_ids, query, k: int, floor: float):
     """(query, base, cosine) of the k best of every query with a cosine of at least ``floor``; a row doesn't find itself."""
     d = base.shape[1]
@@ -97,45 +153,48 @@ def search(base_ids, base, codes, scalars, query_ids, query, k: int, floor: floa
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def similar_vectors(df: DataFrame, key: str, vector: str, kind: list[str], dim: str, k: int = 10, floor: float = -1.0, probes: int = 6) -> DataFrame:
+def similar_vectors(df: DataFrame, key: str, vector: str, kind: list[str], dim: str, k: int = 10, floor: float = -1.0, recall: float = 0.97, asking: Column | None = None) -> DataFrame:
     """``kind`` columns, id, other, cosine, place: the k most similar usable vectors of every usable vector.
 
     Usable: not null, ``dim`` elements, all finite, not all zero; others take
     no part. Vectors of different ``kind`` or ``dim`` are never compared. Only
-    those with a cosine of at least ``floor`` are given. Ties go to the smaller
-    key. Rows with a null key or kind are left out; rows with one key are one
-    record. Keys are integers. Other columns are not read.
+    those with a cosine of at least ``floor`` are given. ``asking``: a
+    predicate on ``key`` for the rows that ask; all rows are found. ``recall``:
+    share of the neighbours behind the cells that are asked. Ties go to the
+    smaller key. Rows with a null key or kind are left out; rows with one key
+    are one record. Keys are integers. Other columns are not read.
     """
     spark = df.sparkSession
     ship_package(spark)
     e = F.col(vector)
+    asks = F.coalesce(asking, F.lit(False)) if asking is not None else F.lit(True)
     usable = (
         df.where(F.col(key).isNotNull() & e.isNotNull() & (F.size(e) == F.col(dim)) & (F.size(e) > 0))
         .where(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(e, lambda x: x != 0))
-        .select(*(F.col(c) for c in kind if c != dim), F.col(dim).alias("_dim"), F.col(key).alias("id"), e.cast("array<float>").alias("v"))
+        .select(*(F.col(c) for c in kind if c != dim), F.col(dim).alias("_dim"), F.col(key).alias("id"), asks.alias("asks"), e.cast("array<float>").alias("v"))
     )
     names = [c for c in kind if c != dim]
     for c in names:
         usable = usable.where(F.col(c).isNotNull())
     spaces = [*names, "_dim"]
-    one = usable.groupBy(*spaces, "id").agg(F.min("v").alias("v"))
-    hashed = one.select(*spaces, "id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"), "v")
-    grouped = hashed.groupBy(*spaces, "h1", "h2").agg(F.min("id").alias("rep"), F.first("v").alias("v"))
+    one = usable.groupBy(*spaces, "id").agg(F.min("v").alias("v"), F.max("asks").alias("asks"))
+    hashed = one.select(*spaces, "id", "asks", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"), "v")
+    grouped = hashed.groupBy(*spaces, "h1", "h2").agg(F.min("id").alias("rep"), F.max("asks").alias("asks"), F.first("v").alias("v"))
     reps = settle(grouped, "vectors")
-    members = hashed.select(*spaces, "h1", "h2", "id").join(reps.select(*spaces, "h1", "h2", "rep"), [*spaces, "h1", "h2"]).select("rep", *spaces, "id")
+    members = hashed.select(*spaces, "h1", "h2", "id", "asks").join(reps.select(*spaces, "h1", "h2", "rep"), [*spaces, "h1", "h2"]).select("rep", *spaces, "id", "asks")
 
     kinds = reps.groupBy(*spaces).count().orderBy(*spaces).collect()  # one row for each model and dimension
-    index = {}
+    index: dict[tuple, Level] = {}
     for n, r in enumerate(kinds):
         own = reps
         for c in spaces:
             own = own.where(F.col(c) == F.lit(r[c]))
-        part = max(1, r["count"] // SAMPLE_ROWS)
-        rows = own.where(F.pmod(F.xxhash64("rep"), F.lit(part)) == 0).select("v").limit(SAMPLE_ROWS).toArrow()
-        x = unit(np.array(rows.column(0).to_pylist(), np.float32)) if rows.num_rows else np.eye(1, r["_dim"])
-        cells = int(min(MOST_CELLS, max(1, -(-r["count"] // CELL_ROWS))))
-        index[tuple(r[c] for c in spaces)] = (n, centroids(x, cells))
-    shared = spark.sparkContext.broadcast(index)  # at most MOST_CELLS directions a kind
+        rows = own.select("rep", "v").orderBy(F.xxhash64(F.lit(7), "rep"), "rep").limit(SAMPLE_ROWS).select("v").toArrow()  # those with the least hashes
+        index[tuple(r[c] for c in spaces)] = fit(unit(np.array(rows.column(0).to_pylist(), np.float32)), r["count"], n, k, floor, recall)
+    shared = spark.sparkContext.broadcast(index)  # the square root of rows / CELL_ROWS directions a kind
+    levels = list(index.values())
+    depth = F.element_at(F.array(*(F.lit(x.ask_cells) for x in levels)), F.col("space") + 1) if levels else F.lit(0)
+    rows_a_block = F.element_at(F.array(*(F.lit(max(1, BLOCK_BYTES // (8 * r["_dim"]))) for r in kinds)), F.col("space") + 1) if levels else F.lit(1)
 
     def place(batches):
         for batch in batches:
@@ -144,46 +203,88 @@ def similar_vectors(df: DataFrame, key: str, vector: str, kind: list[str], dim:
             for i, name in enumerate(zip(*table, strict=True)):
                 groups.setdefault(name, []).append(i)
             for name, at in groups.items():
-                n, c = shared.value[name]
+                level = shared.value[name]
                 own = batch.take(pa.array(at))
                 flat = np.asarray(own.column("v").flatten(), np.float32).reshape(len(at), -1)
                 u = unit(flat)
                 code, scalar = encode(u)
-                score = u.astype(np.float32) @ c.T
-                m = min(probes, c.shape[0])
-                cells = np.argsort(-score, axis=1, kind="stable")[:, :m] if c.shape[0] <= 64 else _best(score, m)
+                m = level.ask_first
+                cells = _best(u.astype(np.float32) @ level.first.T, m)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(at), n, np.int32)),
+                        pa.array(np.full(len(at), level.number, np.int32)),
                         own.column("rep"),
+                        own.column("asks"),
                         _binary(flat),
                         _binary(code),
                         pa.array(scalar.astype(np.float32)),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * m + 1, m, dtype=np.int32)), pa.array(cells.astype(np.int32).reshape(-1))),
                     ],
-                    ["space", "rep", "v", "code", "scalar", "cells"],
+                    ["space", "rep", "asks", "v", "code", "scalar", "firsts"],
                 )
 
     id_kind = df.schema[key].dataType.simpleString()
-    placed = settle(reps.select(*spaces, "rep", "v").mapInArrow(place, f"space int, rep {id_kind}, v binary, code binary, scalar float, cells array<int>"), "cells")
-    asked = placed.select("space", "rep", "v", F.posexplode("cells").alias("turn", "cell"))
-    sizes = asked.groupBy("space", "cell").agg(
-        F.ceil(F.count_if(F.col("turn") == 0) / BLOCK_ROWS).cast("int").alias("nb"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("nq")
-    )  # a row for each cell; a crowded cell is searched in a grid of blocks
+    placed = settle(reps.select(*spaces, "rep", "asks", "v").mapInArrow(place, f"space int, rep {id_kind}, asks boolean, v binary, code binary, scalar float, firsts array<int>"), "first")
+
+    # the second level: each cell of the first is divided by a hash sample of its own rows
+    homes = placed.select("space", F.col("firsts")[0].alias("first"), "rep", "v")
+    counted = homes.groupBy("space", "first").agg(F.count("*").alias("n"))
+
+    def divide(table: pa.Table) -> pa.Table:
+        c = centroids(unit(_floats(table.column("v"), table.num_rows)), max(1, -(-table.column("n")[0].as_py() // CELL_ROWS)))
+        return pa.table({"space": pa.array([table.column("space")[0].as_py()] * len(c), pa.int32()), "first": pa.array([table.column("first")[0].as_py()] * len(c), pa.int32()), "second": pa.array(np.arange(len(c)), pa.int32()), "c": _binary(c.astype(np.float32))})
+
+    sample = homes.join(counted, ["space", "first"]).where(F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / SAMPLE_ROWS)) == 0)
+    seconds = settle(sample.groupBy("space", "first").applyInArrow(divide, "space int, first int, second int, c binary"), "second")
+
+    # every row finds its own cell, and those it asks, among the parts of the cells of the first level that it asks
+    spread = placed.select("space", "rep", "asks", "v", F.posexplode("firsts").alias("turn", "first")).where("asks or turn = 0")
+    blocks = spread.groupBy("space", "first").agg(F.ceil(F.count("*") / F.any_value(rows_a_block)).cast("int").alias("nb"))
     salt = F.xxhash64("rep")
+    left = spread.join(blocks, ["space", "first"]).select("space", "first", F.pmod(salt, "nb").cast("int").alias("block"), "rep", "asks", "turn", "v")
+    right = seconds.join(blocks, ["space", "first"]).select("space", "first", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block"), "second", "c")
+    asked_cells = {x.number: x.ask_cells for x in levels}
+
+    def choose(rows: pa.Table, parts: pa.Table) -> pa.Table:
+        kind = rows.schema.field("rep").type
+        if not rows.num_rows or not parts.num_rows:
+            return pa.table({c: pa.array([], t) for c, t in (("space", pa.int32()), ("first", pa.int32()), ("second", pa.int32()), ("rep", kind), ("score", pa.float32()), ("home", pa.bool_()))})
+        score = unit(_floats(rows.column("v"), rows.num_rows)).astype(np.float32) @ _floats(parts.column("c"), parts.num_rows).T
+        names = np.asarray(parts.column("second"))
+        space = rows.column("space")[0].as_py()
+        own = np.flatnonzero(np.asarray(rows.column("turn")) == 0)
+        asks = np.flatnonzero(np.asarray(rows.column("asks")))
+        best = _best(score, min(asked_cells[space], len(names)))
+        row = np.concatenate([own, np.repeat(asks, best.shape[1])])
+        cell = np.concatenate([score[own].argmax(axis=1) if len(own) else own, best[asks].reshape(-1)])
+        n = len(row)
+        return pa.table({"space": pa.array(np.full(n, space, np.int32)), "first": pa.array(np.full(n, rows.column("first")[0].as_py(), np.int32)), "second": pa.array(names[cell].astype(np.int32)), "rep": rows.column("rep").take(pa.array(row)), "score": pa.array(score[row, cell]), "home": pa.array(np.arange(n) < len(own))})
+
+    keys = ["space", "first", "block"]
+    chosen = settle(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(choose, f"space int, first int, second int, rep {id_kind}, score float, home boolean"), "cells")
+    cell = ["space", "first", "second"]
+    nearest = Window.partitionBy("space", "rep").orderBy(F.desc("score"), "first", "second")
+    asked = chosen.where("not home").withColumn("turn", F.row_number().over(nearest)).where(F.col("turn") <= depth).select(*cell, "rep")
+    own = chosen.where("home").select(*cell, "rep")
+    nb = own.groupBy(*cell).agg(F.ceil(F.count("*") / F.any_value(rows_a_block)).cast("int").alias("nb"))
+    nq = asked.groupBy(*cell).agg(F.ceil(F.count("*") / F.any_value(rows_a_block)).cast("int").alias("nq"))
+    sizes = nb.join(nq, cell)  # a row for each cell; a crowded cell is searched in a grid of blocks
     base = (
-        placed.select("space", "rep", "v", "code", "scalar", F.col("cells")[0].alias("cell"))
-        .join(sizes, ["space", "cell"])
+        placed.select("space", "rep", "v", "code", "scalar")
+        .join(own, ["space", "rep"])
+        .join(sizes, cell)
         .withColumn("b", F.pmod(salt, "nb").cast("int"))
         .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
-        .select("space", "cell", "b", "q", "rep", "v", "code", "scalar")
+        .select(*cell, "b", "q", "rep", "v", "code", "scalar")
     )
     query = (
-        asked.join(sizes, ["space", "cell"])
-        .where("nb > 0")
+        placed.where("asks")
+        .select("space", "rep", "v")
+        .join(asked, ["space", "rep"])
+        .join(sizes, cell)
         .withColumn("q", F.pmod(salt, "nq").cast("int"))
         .withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("space", "cell", "b", "q", "rep", "v", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("scalar"))
+        .select(*cell, "b", "q", "rep", "v", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("scalar"))
     )
 
     def find(table: pa.Table) -> pa.Table:
@@ -199,10 +300,10 @@ def similar_vectors(df: DataFrame, key: str, vector: str, kind: list[str], dim:
         kind = table.schema.field("rep").type
         return pa.table({"rep": pa.array(q).cast(kind), "other_rep": pa.array(o).cast(kind), "cosine": pa.array(c)})
 
-    found = base.unionByName(query).groupBy("space", "cell", "b", "q").applyInArrow(find, f"rep {id_kind}, other_rep {id_kind}, cosine double")
+    found = base.unionByName(query).groupBy(*cell, "b", "q").applyInArrow(find, f"rep {id_kind}, other_rep {id_kind}, cosine double")
     # a group of copies is its least k + 1 ids for whoever looks for it, itself included
     few = members.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("n") <= k + 1).select(F.col("rep").alias("other_rep"), F.col("id").alias("other"))
-    itself = reps.select("rep", F.col("rep").alias("other_rep"), F.lit(1.0).alias("cosine"))
+    itself = reps.where("asks").select("rep", F.col("rep").alias("other_rep"), F.lit(1.0).alias("cosine"))
     by = [F.desc("cosine"), F.asc("other")]
     listed = (
         found.unionByName(itself)
@@ -212,7 +313,8 @@ def similar_vectors(df: DataFrame, key: str, vector: str, kind: list[str], dim:
         .select("rep", "other", "cosine")
     )
     out = (
-        members.join(listed, "rep")
+        members.where("asks")
+        .join(listed, "rep")
         .where(F.col("id") != F.col("other"))
         .withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(*by)))
         .where((F.col("place") <= k) & (F.col("cosine") >= floor))
@@ -221,6 +323,9 @@ def similar_vectors(df: DataFrame, key: str, vector: str, kind: list[str], dim:
 
 
 def _best(score: np.ndarray, m: int) -> np.ndarray:
+    """Columns of the m highest scores of each row, highest first."""
+    if m >= score.shape[1]:
+        return np.argsort(-score, axis=1, kind="stable")
     top = np.argpartition(-score, m - 1, axis=1)[:, :m]
     return np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, axis=1), axis=1, kind="stable"), axis=1)
 

@@ -4,7 +4,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+from quern.llm import vectors
 from quern.llm.neardup import chunk_keys, distance, narrow, near_duplicates, overlaps, signatures, token_pairs
 from quern.llm.spans import expand_pairs
 from quern.llm.vectors import encode, search, similar_vectors, unit
@@ -124,3 +127,22 @@ def test_estimates_stay_within_their_bounds():
     exact = q @ u.T
     hits = sum(len(set(b[a == 1000 + i].tolist()) & set(np.argsort(-exact[i])[:5].tolist())) for i in range(50))
     assert hits >= 0.97 * 250 and np.allclose(c, exact[a - 1000, b])
+
+
+@pytest.mark.parametrize("shape", ["gauss", "clusters", "plane"])
+def test_recall_without_a_floor(spark, shape, monkeypatch):
+    """Recall of the ids divisible by 20 against all rows, with an index of many cells fitted on part of the rows."""
+    monkeypatch.setattr(vectors, "SAMPLE_ROWS", 2_000)
+    monkeypatch.setattr(vectors, "CELL_ROWS", 100)
+    rng = np.random.default_rng(3)
+    n = 6_000
+    x = {"gauss": lambda: rng.standard_normal((n, 32)), "clusters": lambda: rng.standard_normal((300, 32))[rng.integers(0, 300, n)] + 0.7 * rng.standard_normal((n, 32)), "plane": lambda: rng.standard_normal((n, 8)) @ rng.standard_normal((8, 32))}[shape]()
+    df = spark.createDataFrame([(i, v, "m", 32) for i, v in enumerate(x.astype(np.float32).tolist())], "id long, v array<float>, model string, dim int")
+    found = {(r.id, r.other) for r in similar_vectors(df, "id", "v", ["model"], "dim", 10, asking=F.col("id") % 20 == 0).collect()}
+    u = unit(x.astype(np.float32))
+    ask = np.arange(0, n, 20)
+    cosine = u[ask] @ u.T
+    cosine[np.arange(len(ask)), ask] = -2
+    best = np.argsort(-cosine, axis=1)[:, :10]
+    expected = {(int(i), int(j)) for i, js in zip(ask, best, strict=True) for j in js}
+    assert len(found & expected) >= 0.93 * len(expected) and {i for i, _ in found} == set(ask.tolist())
