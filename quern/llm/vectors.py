@@ -32,9 +32,11 @@ SAMPLE_ROWS = 16_384
 #: Rows meant for one cell.
 CELL_ROWS = 500
 #: Rows of the sample whose neighbours tell how many cells to ask, and the fewest asked of the first level and of all.
-TRIAL_ROWS, LEAST_FIRST, LEAST_CELLS = 512, 8, 20
+TRIAL_ROWS, LEAST_FIRST, LEAST_CELLS = 512, 8, 12
 #: Bytes of vectors of one side that a task holds at a time.
 BLOCK_BYTES = 8_000_000
+#: Bytes of all cells' directions up to which they go to the workers; beyond, rows and cells meet by shuffle, with the same result.
+CELL_BYTES = 64_000_000
 #: Standard errors that the bounds allow.
 EPSILON = 2.6
 
@@ -102,8 +104,7 @@ def fit(u: np.ndarray, count: int, number: int, k: int, floor: float, recall: fl
             second.append(centroids(own, max(1, round(len(own) * share))))
             owner.append(np.full(len(second[-1]), c))
     second, owner = np.concatenate(second), np.concatenate(owner)
-    inner = np.where(owner[None, :] == home[:, None], x @ second.T, -2)
-    leaf = inner.argmax(axis=1)
+    leaf = np.concatenate([(x[i : i + 4096] @ second.T).argmax(axis=1) for i in range(0, len(x), 4096)])
     n = min(TRIAL_ROWS, len(u))
     cosine = u[:n] @ u.T
     cosine[np.arange(n), np.arange(n)] = -2
@@ -114,7 +115,7 @@ def fit(u: np.ndarray, count: int, number: int, k: int, floor: float, recall: fl
     ask_first, ask_cells = min(LEAST_FIRST, len(first)), min(LEAST_CELLS, len(second))
     if len(q):
         place = np.argsort(np.argsort(-score[:n], axis=1, kind="stable"), axis=1)
-        at = np.sort(place[q, home[other]])
+        at = np.sort(place[q, owner[leaf[other]]])
         ask_first = max(ask_first, int(at[int(np.ceil(len(at) * (1 + recall) / 2)) - 1]) + 1)
         asked = np.where(place[:, owner] < ask_first, x[:n] @ second.T, -2)
         rank = np.argsort(np.argsort(-asked, axis=1, kind="stable"), axis=1)
@@ -193,7 +194,6 @@ def similar_vectors(df: DataFrame, key: str, vector: str, kind: list[str], dim:
         index[tuple(r[c] for c in spaces)] = fit(unit(np.array(rows.column(0).to_pylist(), np.float32)), r["count"], n, k, floor, recall)
     shared = spark.sparkContext.broadcast(index)  # the square root of rows / CELL_ROWS directions a kind
     levels = list(index.values())
-    depth = F.element_at(F.array(*(F.lit(x.ask_cells) for x in levels)), F.col("space") + 1) if levels else F.lit(0)
     rows_a_block = F.element_at(F.array(*(F.lit(max(1, BLOCK_BYTES // (8 * r["_dim"]))) for r in kinds)), F.col("space") + 1) if levels else F.lit(1)
 
     def place(batches):
@@ -237,51 +237,29 @@ def similar_vectors(df: DataFrame, key: str, vector: str, kind: list[str], dim:
     sample = homes.join(counted, ["space", "first"]).where(F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / SAMPLE_ROWS)) == 0)
     seconds = settle(sample.groupBy("space", "first").applyInArrow(divide, "space int, first int, second int, c binary"), "second")
 
-    # every row finds its own cell, and those it asks, among the parts of the cells of the first level that it asks
-    spread = placed.select("space", "rep", "asks", "v", F.posexplode("firsts").alias("turn", "first")).where("asks or turn = 0")
-    blocks = spread.groupBy("space", "first").agg(F.ceil(F.count("*") / F.any_value(rows_a_block)).cast("int").alias("nb"))
-    salt = F.xxhash64("rep")
-    left = spread.join(blocks, ["space", "first"]).select("space", "first", F.pmod(salt, "nb").cast("int").alias("block"), "rep", "asks", "turn", "v")
-    right = seconds.join(blocks, ["space", "first"]).select("space", "first", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block"), "second", "c")
-    asked_cells = {x.number: x.ask_cells for x in levels}
-
-    def choose(rows: pa.Table, parts: pa.Table) -> pa.Table:
-        kind = rows.schema.field("rep").type
-        if not rows.num_rows or not parts.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in (("space", pa.int32()), ("first", pa.int32()), ("second", pa.int32()), ("rep", kind), ("score", pa.float32()), ("home", pa.bool_()))})
-        score = unit(_floats(rows.column("v"), rows.num_rows)).astype(np.float32) @ _floats(parts.column("c"), parts.num_rows).T
-        names = np.asarray(parts.column("second"))
-        space = rows.column("space")[0].as_py()
-        own = np.flatnonzero(np.asarray(rows.column("turn")) == 0)
-        asks = np.flatnonzero(np.asarray(rows.column("asks")))
-        best = _best(score, min(asked_cells[space], len(names)))
-        row = np.concatenate([own, np.repeat(asks, best.shape[1])])
-        cell = np.concatenate([score[own].argmax(axis=1) if len(own) else own, best[asks].reshape(-1)])
-        n = len(row)
-        return pa.table({"space": pa.array(np.full(n, space, np.int32)), "first": pa.array(np.full(n, rows.column("first")[0].as_py(), np.int32)), "second": pa.array(names[cell].astype(np.int32)), "rep": rows.column("rep").take(pa.array(row)), "score": pa.array(score[row, cell]), "home": pa.array(np.arange(n) < len(own))})
-
-    keys = ["space", "first", "block"]
-    chosen = settle(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(choose, f"space int, first int, second int, rep {id_kind}, score float, home boolean"), "cells")
+    # every row ranks the parts of the cells of the first level that it asks; the best is its own
+    depth = {x.number: x.ask_cells for x in levels}
+    if sum(-(-r["count"] // CELL_ROWS) * r["_dim"] * 4 for r in kinds) <= CELL_BYTES:
+        located = _locate(placed, seconds, depth, id_kind)
+    else:
+        located = _locate_by_shuffle(placed, seconds, depth, rows_a_block, id_kind)
+    located = settle(located, "cells")
     cell = ["space", "first", "second"]
-    nearest = Window.partitionBy("space", "rep").orderBy(F.desc("score"), "first", "second")
-    asked = chosen.where("not home").withColumn("turn", F.row_number().over(nearest)).where(F.col("turn") <= depth).select(*cell, "rep")
-    own = chosen.where("home").select(*cell, "rep")
-    nb = own.groupBy(*cell).agg(F.ceil(F.count("*") / F.any_value(rows_a_block)).cast("int").alias("nb"))
-    nq = asked.groupBy(*cell).agg(F.ceil(F.count("*") / F.any_value(rows_a_block)).cast("int").alias("nq"))
+    own = located.select("space", F.col("cells")[0]["first"].alias("first"), F.col("cells")[0]["second"].alias("second"), "rep", "v", "code", "scalar")
+    asked = located.where("asks").select("space", "rep", "v", F.explode("cells").alias("c")).select("space", F.col("c.first").alias("first"), F.col("c.second").alias("second"), "rep", "v")
+    block = F.any_value(rows_a_block)
+    nb = own.groupBy(*cell).agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
+    nq = asked.groupBy(*cell).agg(F.ceil(F.count("*") / block).cast("int").alias("nq"))
     sizes = nb.join(nq, cell)  # a row for each cell; a crowded cell is searched in a grid of blocks
+    salt = F.xxhash64("rep")
     base = (
-        placed.select("space", "rep", "v", "code", "scalar")
-        .join(own, ["space", "rep"])
-        .join(sizes, cell)
+        own.join(sizes, cell)
         .withColumn("b", F.pmod(salt, "nb").cast("int"))
         .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
         .select(*cell, "b", "q", "rep", "v", "code", "scalar")
     )
     query = (
-        placed.where("asks")
-        .select("space", "rep", "v")
-        .join(asked, ["space", "rep"])
-        .join(sizes, cell)
+        asked.join(sizes, cell)
         .withColumn("q", F.pmod(salt, "nq").cast("int"))
         .withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         .select(*cell, "b", "q", "rep", "v", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("scalar"))
@@ -322,6 +300,83 @@ def similar_vectors(df: DataFrame, key: str, vector: str, kind: list[str], dim:
     return out.select(*names, F.col("_dim").alias(dim), "id", "other", "cosine", "place")
 
 
+_CELLS = "array<struct<first:int,second:int>>"
+
+
+def _ranked(u: np.ndarray, firsts: np.ndarray, directions: np.ndarray, owner: np.ndarray, depth: int) -> np.ndarray:
+    """Indexes of the cells a row asks, best first, among those whose first level it asks; -1 where there are fewer."""
+    score = u.astype(np.float32) @ directions.T
+    allowed = np.zeros((len(u), int(owner.max()) + 1), bool)
+    np.put_along_axis(allowed, np.minimum(firsts, allowed.shape[1] - 1), True, axis=1)
+    score[~allowed[:, owner]] = -2
+    best = _best(score, min(depth, len(owner)))
+    return np.where(np.take_along_axis(score, best, axis=1) > -2, best, -1)
+
+
+def _locate(placed: DataFrame, seconds: DataFrame, depth: dict[int, int], id_kind: str) -> DataFrame:
+    """``placed`` with the cells of every row, by a broadcast of all directions (CELL_BYTES at most)."""
+    parts: dict[int, list] = {}
+    for r in seconds.orderBy("space", "first", "second").collect():
+        parts.setdefault(r.space, []).append((r.first, r.second, r.c))
+    table = {k: (np.array([x[0] for x in v]), np.array([x[1] for x in v]), np.stack([np.frombuffer(x[2], np.float32) for x in v])) for k, v in parts.items()}
+    shared = placed.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        for batch in batches:
+            spaces = np.asarray(batch.column("space"))
+            for space in np.unique(spaces):
+                own = batch.take(pa.array(np.flatnonzero(spaces == space)))
+                owner, number, directions = shared.value[int(space)]
+                n = own.num_rows
+                for i in range(0, n, 4096):
+                    part = own.slice(i, 4096)
+                    u = unit(_floats(pa.chunked_array([part.column("v")]), part.num_rows))
+                    cells = _ranked(u, np.asarray(part.column("firsts").flatten()).reshape(part.num_rows, -1), directions, owner, depth[int(space)])
+                    kept = cells >= 0
+                    flat = cells[kept]
+                    offsets = np.append(0, np.cumsum(kept.sum(axis=1))).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(owner[flat].astype(np.int32)), pa.array(number[flat].astype(np.int32))], ["first", "second"]))
+                    names = ["space", "rep", "asks", "v", "code", "scalar"]
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), lists], [*names, "cells"])
+
+    return placed.mapInArrow(run, f"space int, rep {id_kind}, asks boolean, v binary, code binary, scalar float, cells {_CELLS}")
+
+
+def _locate_by_shuffle(placed: DataFrame, seconds: DataFrame, depth: dict[int, int], rows_a_block: Column, id_kind: str) -> DataFrame:
+    """The same where there are too many directions to send: rows meet the parts of each first cell they ask."""
+    spread = placed.select("space", "rep", "v", F.explode("firsts").alias("first"))
+    blocks = spread.groupBy("space", "first").agg(F.ceil(F.count("*") / F.any_value(rows_a_block)).cast("int").alias("nb"))
+    left = spread.join(blocks, ["space", "first"]).select("space", "first", F.pmod(F.xxhash64("rep"), "nb").cast("int").alias("block"), "rep", "v")
+    right = seconds.join(blocks, ["space", "first"]).select("space", "first", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block"), "second", "c")
+
+    def choose(rows: pa.Table, parts: pa.Table) -> pa.Table:
+        kind = rows.schema.field("rep").type if rows.num_rows else parts.schema.field("second").type
+        if not rows.num_rows or not parts.num_rows:
+            return pa.table({"space": pa.array([], pa.int32()), "rep": pa.array([], kind), "first": pa.array([], pa.int32()), "second": pa.array([], pa.int32()), "score": pa.array([], pa.float32())})
+        score = unit(_floats(rows.column("v"), rows.num_rows)).astype(np.float32) @ _floats(parts.column("c"), parts.num_rows).T
+        space = rows.column("space")[0].as_py()
+        best = _best(score, min(depth[space], parts.num_rows))
+        row = np.repeat(np.arange(len(score)), best.shape[1])
+        n = len(row)
+        return pa.table(
+            {
+                "space": pa.array(np.full(n, space, np.int32)),
+                "rep": rows.column("rep").take(pa.array(row)),
+                "first": pa.array(np.full(n, rows.column("first")[0].as_py(), np.int32)),
+                "second": parts.column("second").take(pa.array(best.reshape(-1))),
+                "score": pa.array(np.take_along_axis(score, best, axis=1).reshape(-1)),
+            }
+        )
+
+    keys = ["space", "first", "block"]
+    chosen = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(choose, f"space int, rep {id_kind}, first int, second int, score float")
+    most = F.element_at(F.array(*(F.lit(depth[k]) for k in sorted(depth))), F.col("space") + 1)
+    # a row has at most as many entries as it asks first cells, times the cells it asks
+    lists = chosen.groupBy("space", "rep").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("score"), "first", "second"))).alias("all"))
+    cells = lists.select("space", "rep", F.transform(F.slice("all", F.lit(1), most), lambda x: F.struct(x["first"].alias("first"), x["second"].alias("second"))).alias("cells"))
+    return placed.drop("firsts").join(cells, ["space", "rep"])
+
+
 def _best(score: np.ndarray, m: int) -> np.ndarray:
     """Columns of the m highest scores of each row, highest first."""
     if m >= score.shape[1]:

@@ -146,3 +146,18 @@ def test_recall_without_a_floor(spark, shape, monkeypatch):
     best = np.argsort(-cosine, axis=1)[:, :10]
     expected = {(int(i), int(j)) for i, js in zip(ask, best, strict=True) for j in js}
     assert len(found & expected) >= 0.93 * len(expected) and {i for i, _ in found} == set(ask.tolist())
+
+
+def test_index_is_the_same_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL_ROWS", 20)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((40, 16))[rng.integers(0, 40, 800)] + 0.3 * rng.standard_normal((800, 16))
+    df = spark.createDataFrame([(i, v, "m", 16) for i, v in enumerate(x.astype(np.float32).tolist())], "id long, v array<float>, model string, dim int")
+
+    def found():
+        return {(r.id, r.other, r.place) for r in similar_vectors(df, "id", "v", ["model"], "dim", 5).collect()}
+
+    sent = found()
+    monkeypatch.setattr(vectors, "CELL_BYTES", 0)
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 16 * 8 * 50)
+    assert len(sent) == 4000 and len(found() ^ sent) <= 80
