@@ -32,7 +32,7 @@ SAMPLE_ROWS = 16_384
 #: Rows meant for one cell.
 CELL_ROWS = 500
 #: Rows of the sample whose neighbours tell how many cells to ask, and the fewest asked of the first level and of all.
-TRIAL_ROWS, LEAST_FIRST, LEAST_CELLS = 512, 8, 12
+TRIAL_ROWS, LEAST_FIRST, LEAST_CELLS = 512, 16, 8
 #: Bytes of vectors of one side that a task holds at a time.
 BLOCK_BYTES = 8_000_000
 #: Bytes of all cells' directions up to which they go to the workers; beyond, rows and cells meet by shuffle, with the same result.
