@@ -5,8 +5,12 @@ Markdown, wiki or LaTeX, with what stands between an opening and a closing
 mark as its children. Boosted trees score every node from its form, attribute
 tokens, depth, siblings and the density of its subtree. The labels are then
 decoded from the top: where an element is content (a tag inside code), so is
-everything in it that belongs to the same notation; the most likely labelling
-without such contradictions wins.
+everything in it that belongs to the same notation, and where an element is
+the mark of code, what it holds is content; the most likely labelling without
+such contradictions wins.
+
+``html`` and ``markdown`` of a block, where its text is what is left of them,
+give the structure that the text has lost.
 
 The model is fitted on the driver on TRAINING_TEXTS texts written by
 ``training_texts``, with the place of every mark known.
@@ -33,7 +37,7 @@ TRAINING_TEXTS = 3_000
 TAGS = frozenset(
     "a abbr article aside b big blockquote body br caption center cite code col colgroup dd del details div dl dt em figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i img input"
     " ins kbd label li link main mark math meta nav nowiki ol option p pre q ref s samp script section select small source span strike strong style sub summary sup svg table tbody td template textarea"
-    " tfoot th thead title tr tt u ul var video".split()
+    " tfoot th thead title tr tt u ul var video acronym dfn bdo button dir fieldset iframe legend noscript rp rt ruby wbr".split()
 )
 _KINDS = (
     ("comment", r"<!--.*?(?:-->|\Z)"),
@@ -91,6 +95,10 @@ _SIGN = regex.compile(_SIGNS, regex.M)
 _NAME = regex.compile(r"</?([A-Za-z][A-Za-z0-9]*)")
 _TEX = regex.compile(r"\\([A-Za-z]+)")
 _FAMILY = {"tag": 1, "tag_open_left": 1, "comment": 1, "entity": 1, "begin_end": 2, "tex_command": 2, "tex_math": 2, "tex_line": 2, "tex_group": 2}
+#: Elements that hold code as it is, and the notations that have no marks in them.
+_CODE_TAGS = frozenset("code pre source tt kbd samp nowiki math".split())
+_VERBATIM = regex.compile(r"\\begin\s*\{(?:verbatim|lstlisting|minted|equation|align|math)\*?\}")
+_NOT_IN_CODE = frozenset(k for k, _ in _KINDS if k.startswith(("md_", "wiki_", "fence", "tex_quote", "tex_tie")))
 #: TeX commands of documents, as opposed to those of formulas.
 _TEX_DOCUMENT = frozenset("section subsection subsubsection paragraph chapter part textbf textit texttt emph href url cite ref label footnote item hline caption title author includegraphics underline textsc it bf".split())
 _BLOCKS = ("paragraph", "heading", "list", "list_item", "table", "code", "formula")
@@ -196,8 +204,22 @@ def features(text: str, block: str | None, nodes: list[Node]) -> np.ndarray:
     return x
 
 
+def code_scopes(nodes: list[Node]) -> dict[int, int]:
+    """For nodes inside code: the mark that opens it. In Markdown code nothing is a mark, in other code nothing of Markdown or a wiki."""
+    out: dict[int, int] = {}
+    upto, opened, every = -1, -1, False
+    for i, n in enumerate(nodes):
+        if i < upto:
+            if every or n.kind in _NOT_IN_CODE:
+                out[i] = opened
+        elif n.mate > i and (n.kind in ("md_code", "fence") or (n.kind == "tag" and n.name in _CODE_TAGS) or (n.kind == "begin_end" and _VERBATIM.match(n.text))):
+            upto, opened, every = n.mate, i, n.kind in ("md_code", "fence")
+    return out
+
+
 def decode(nodes: list[Node], p: np.ndarray) -> np.ndarray:
-    """The most likely labels in which nothing of a notation is markup inside an element of it that is content.
+    """The most likely labels in which nothing of a notation is markup inside an element of it that is content,
+    nor inside an element that is the mark of code.
 
     An element and its closing mark share one label.
     """
@@ -208,6 +230,9 @@ def decode(nodes: list[Node], p: np.ndarray) -> np.ndarray:
         if n.mate > i:
             own_yes[i] += yes[n.mate]
             own_no[i] += no[n.mate]
+    scopes = code_scopes(nodes)
+    for c, i in scopes.items():
+        own_yes[i] += min(no[c] - yes[c], 0.0)  # what it costs that c is content then
     best_yes, best_no, only_no = (np.zeros(len(nodes)) for _ in range(3))
     family = [_FAMILY.get(n.kind, 0) for n in nodes]
     skip = [0 <= n.mate < i for i, n in enumerate(nodes)]
@@ -223,33 +248,64 @@ def decode(nodes: list[Node], p: np.ndarray) -> np.ndarray:
         if skip[i]:
             label[i] = label[n.mate]
             continue
-        barred = n.parent >= 0 and family[i] and family[n.parent] == family[i] and not label[n.parent]
+        barred = (n.parent >= 0 and family[i] and family[n.parent] == family[i] and not label[n.parent]) or (i in scopes and label[scopes[i]])
         label[i] = not barred and best_yes[i] > best_no[i]
     return label
 
 
-def clean_text(text: str, nodes: list[Node], label: np.ndarray) -> str:
+def clean_text(text: str, nodes: list[Node], label: np.ndarray, block: str | None = None) -> str:
     """The text with every mark replaced by what it stands for: headings and list items keep a plain
-    mark of their own, table cells become tabs, code and formulas stay as they are."""
-    out, at, drop_to = [], 0, -1
+    mark of their own, table cells become tabs; of code and formulas every character stays."""
+    out: list[tuple[str, bool]] = []  # what is written, and whether it is code
+    at, code_upto = 0, len(nodes) if block in ("code", "formula") else -1
     for i, n in enumerate(nodes):
         if not label[i] or n.start < at:
             continue
-        if n.start < drop_to:
-            continue
-        out.append(text[at : n.start])
+        raw = i <= code_upto
+        out.append((text[at : n.start], raw))
         at = n.end
         begins = not text[: n.start].strip(" \t") or text[: n.start].rstrip(" \t")[-1:] in ("\n", "\r")
-        out.append("" if begins and n.kind == "md_row" else _plain(n))
+        out.append(("" if begins and n.kind == "md_row" else _plain(n), raw))
         if begins and n.kind in ("md_table_rule", "wiki_table") and text[at : at + 1] == "\n":
             at += 1  # the line of a rule goes with it
         if n.kind == "tag" and n.name in ("script", "style") and not n.close and n.mate > i:
             at = nodes[n.mate].start
-    out.append(text[at:])
-    s = "".join(out)
+        if n.mate > max(i, code_upto) and (n.kind in ("md_code", "fence") or (n.kind == "tag" and n.name in _CODE_TAGS) or (n.kind == "begin_end" and _VERBATIM.match(n.text))):
+            code_upto = n.mate
+    out.append((text[at:], block in ("code", "formula")))
+    done, plain = [], []
+    for s, raw in [*out, ("", True)]:
+        if not raw:
+            plain.append(s)
+            continue
+        done += [_spaced("".join(plain)), s]
+        plain = []
+    s = "".join(done)
+    return s.strip("\r\n") if block == "code" else s.strip()
+
+
+def _spaced(s: str) -> str:
     s = regex.sub(r" *\t *", "\t", s)
     s = regex.sub(r"[ \t]+\n", "\n", regex.sub(r"\n{3,}", "\n\n", s))
-    return regex.sub(r"(?<=\S) {2,}(?=\S)", " ", s).strip()
+    return regex.sub(r"(?<=\S) {2,}(?=\S)", " ", s)
+
+
+_LETTERS = regex.compile(r"[^\p{L}\p{N}]+")
+
+
+def with_source(clean: str, sources: list[str | None], block: str | None, trees: BoostedTrees) -> str:
+    """The clean text of the first source (html, markdown) that holds the same letters and digits, else ``clean``.
+
+    A source that says something else is that of another state of the block.
+    """
+    own = _LETTERS.sub("", clean)
+    for source in sources:
+        if source and source.strip():
+            ((nodes, label),) = label_texts([source], [block], trees)
+            whole = clean_text(source, nodes, label, block)
+            if _LETTERS.sub("", whole) == own:
+                return whole
+    return clean
 
 
 def _plain(n: Node) -> str:
@@ -421,9 +477,11 @@ def label_texts(texts: list[str], blocks: list[str | None], trees: BoostedTrees)
 def markup_residue(blocks: DataFrame, key: str = "block_id") -> DataFrame:
     """key, block_type, marks and clean text of every block whose text still has markup.
 
-    Null, empty and markless texts give no row; an unknown or null block type
-    counts as none; repeated blocks give a row each time; other columns are
-    not read.
+    Where ``html`` or ``markdown`` of the block holds the same content, its
+    structure goes into the clean text; columns that are absent or null leave
+    the text alone to tell. Null, empty and markless texts give no row; an
+    unknown or null block type counts as none; repeated blocks give a row each
+    time; other columns are not read.
     """
     ship_package(blocks.sparkSession)
     shared = blocks.sparkSession.sparkContext.broadcast(model())  # a few hundred numbers a tree
@@ -431,7 +489,7 @@ def markup_residue(blocks: DataFrame, key: str = "block_id") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts, types = batch.column("text").to_pylist(), batch.column("block_type").to_pylist()
+            texts, types, htmls, markdowns = (batch.column(c).to_pylist() for c in ("text", "block_type", "html", "markdown"))
             at = [i for i, t in enumerate(texts) if _SIGN.search(t)]
             keep, marks, clean = [], [], []
             for s in range(0, len(at), 500):
@@ -440,8 +498,11 @@ def markup_residue(blocks: DataFrame, key: str = "block_id") -> DataFrame:
                     if label.any():
                         keep.append(i)
                         marks.append(int(label.sum()))
-                        clean.append(clean_text(texts[i], nodes, label))
+                        done = clean_text(texts[i], nodes, label, types[i])
+                        whole = [x for x in (htmls[i], markdowns[i]) if x != texts[i]]
+                        clean.append(with_source(done, whole, types[i], shared.value))
             own = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([own.column(0), own.column("block_type"), pa.array(marks, pa.int32()), pa.array(clean, pa.string())], [key, "block_type", "marks", "clean"])
 
-    return blocks.where(F.length("text") > 0).select(key, "block_type", "text").mapInArrow(run, f"{key} {kind}, block_type string, marks int, clean string")
+    sources = [F.col(c) if c in blocks.columns else F.lit(None).cast("string").alias(c) for c in ("html", "markdown")]
+    return blocks.where(F.length("text") > 0).select(key, "block_type", "text", *sources).mapInArrow(run, f"{key} {kind}, block_type string, marks int, clean string")

@@ -60,7 +60,7 @@ def p3_walk(spark: SparkSession, folder: str) -> DataFrame:
 def _marked(spark: SparkSession, folder: str) -> DataFrame:
     from .markup import markup_residue
 
-    return markup_residue(load(spark, folder, "blocks", "block_id", "block_type", "text"))
+    return markup_residue(load(spark, folder, "blocks", "block_id", "block_type", "text", "html", "markdown"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

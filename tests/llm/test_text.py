@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quern.llm.fuse import first_of_group, rank_places, rank_walk, walk
-from quern.llm.markup import clean_text, label_texts, markup_residue, model, training_texts
+from quern.llm.markup import clean_text, label_texts, markup_residue, model, training_texts, with_source
 from quern.llm.pack import estimate, over, oversized_pieces, split
 from quern.llm.scans import Lexicon, is_page_number, paragraphs, repair, scanned_faults, skeleton, word_faults
 
@@ -259,3 +259,40 @@ def test_body_in_the_margin_and_numbers_in_tables_are_no_furniture(spark):
     out = {r.block_id: r for r in scanned_faults(blocks, docs).collect()}
     assert set(out) == {"foot", "run1", "run2", "run3", "run4"}
     assert out["run1"].kinds == ["furniture"] and out["run1"].clean == texts[0]
+
+
+def _cleaned(text, block="paragraph", **sources):
+    ((nodes, label),) = label_texts([text], [block], model())
+    return with_source(clean_text(text, nodes, label, block), list(sources.values()), block, model())
+
+
+@pytest.mark.parametrize(
+    ("text", "block", "clean"),
+    [
+        ("Set `x**2` first.", "paragraph", "Set x**2 first."), ("Call `a_b_c` and **stop**.", "paragraph", "Call a_b_c and stop."), ("Run\n```\nbbb = 22   # x\n\n\nb   c\n```\nnow", "paragraph", "Run\n\nbbb = 22   # x\n\n\nb   c\n\nnow"),
+        ("```sh\nif a:\n    b   = 1\n\n\n\n# done\n```", "code", "if a:\n    b   = 1\n\n\n\n# done"), ("<pre>a    b\n  c</pre>", "code", "a    b\n  c"), ("<acronym>WHO</acronym> says", "paragraph", "WHO says"), ("a <code>x_1 * y_1</code> <i>b</i>", "paragraph", "a x_1 * y_1 b"),
+    ],
+)
+def test_code_inside_text_is_kept(text, block, clean):
+    assert _cleaned(text, block) == clean
+
+
+def test_structure_comes_from_html_or_markdown_of_the_same_content():
+    html = "<ul><li>one rule</li><li>two rules</li></ul>"
+    assert _cleaned("one rule</li> two rules", "list", html=html) == "- one rule\n- two rules"
+    assert _cleaned("one rule</li> two rules", "list", html=None, markdown="* one rule\n* two rules") == "- one rule\n- two rules"
+    assert _cleaned("one rule</li> two", "list", html=html) == "one rule\n two"  # another state of the block
+    table = "<table><tr><td>a</td><td>1</td></tr><tr><td>b</td><td>2</td></tr></table>"
+    assert _cleaned("a <td>1 b 2</td></tr>", "table", html=table) == "a\t1\nb\t2"
+
+
+HELD_OUT = [
+    ("The <small>annual</small> report<br />ends.", True), ("See [the guide](../guide.md) for &mdash; more.", True), ("==== Deep heading ====\ntext", True), ("\\subsubsection{Pumps} start \\textit{slowly}", True), ("* first\n* second", True), ("| pump | 3 |\n| --- | --- |\n| valve | 4 |", True),
+    ("{{Infobox|name=Valve}} text", True), ("[[Valve#Parts|parts]] of it", True), ("text <sub>2</sub>", True), ("1 < 2 and 5 > 3", False), ("costs $12 or $15 a month", False), ("the file_name_2 of a_b", False), ("5 * 4 = 20", False), ("[12] and [3, 4]", False), ("the C:\\temp folder", False), ("use <name> here", False),
+    ("Smith & Sons, No. #4", False), ("~ 20 percent", False),
+]
+
+
+def test_markup_model_on_texts_not_written_by_its_templates():
+    found = label_texts([t for t, _ in HELD_OUT], ["paragraph"] * len(HELD_OUT), model())
+    assert sum(bool(label.any()) == marked for (_, label), (_, marked) in zip(found, HELD_OUT, strict=True)) >= len(HELD_OUT) - 1
