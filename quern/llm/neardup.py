@@ -8,9 +8,9 @@ differ in at most (chunks x (errors + 1) - 1) symbols, one chunk differs in at
 most ``errors`` by pigeonhole, so the two share a key: the join loses no pair
 up to that distance. Eight chunks of four symbols with one error make it 15 of
 32, and texts of equal size at the similarity 0.7 differ in 14.8 of 32 on
-average. The low NARROW bits of all symbols travel with the keys, and the join
-itself keeps only pairs within ``reach`` on them; those are then checked
-exactly on the texts.
+average. The low NARROW bits of these and 16 more symbols travel with the
+keys, and the join itself keeps only pairs within ``reach`` on them; those are
+then checked exactly on the texts.
 
 Rows of a key that many texts have are spread over a triangle of cells, so
 that no task joins more than about HOT_ROWS of them with each other.
@@ -140,7 +140,7 @@ def overlaps(left: list[str], right: list[str]) -> np.ndarray:
 
 
 def near_duplicates(
-    df: DataFrame, key: str, text: str, similarity: float = 0.7, least_tokens: int = 20, chunks: int = 8, chunk: int = 4, errors: int = 1, reach: int = 22
+    df: DataFrame, key: str, text: str, similarity: float = 0.7, least_tokens: int = 20, chunks: int = 8, chunk: int = 4, errors: int = 1, symbols: int = 48, reach: int = 29
 ) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): pairs rep_a < rep_b, similarity of different texts that
     are alike, and rep, id of every text, rep being the least id with the same
@@ -154,7 +154,7 @@ def near_duplicates(
     """
     spark = df.sparkSession
     ship_package(spark)
-    symbols = chunks * chunk
+    symbols = max(symbols, chunks * chunk)
     kind = df.schema[key].dataType.simpleString()
     rows = df.where(F.col(key).isNotNull() & (F.length(text) >= least_tokens)).select(F.col(key).alias("id"), F.unhex(F.md5(text)).alias("same"), F.col(text).alias("text"))
 
@@ -175,7 +175,7 @@ def near_duplicates(
     def keyed(batches):
         for batch in batches:
             sig = _matrix(batch.column("sig"), symbols)
-            keys = chunk_keys(sig, chunk, errors)
+            keys = chunk_keys(sig[:, : chunks * chunk], chunk, errors)
             low = narrow(sig)
             low = np.ascontiguousarray(np.pad(low, ((0, 0), (0, 8 * len(words) - low.shape[1])))).view(np.int64)
             ids = np.repeat(np.arange(len(keys)), keys.shape[1])

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import vectors
+from quern.llm import neardup, vectors
 from quern.llm.neardup import chunk_keys, distance, narrow, near_duplicates, overlaps, signatures, token_pairs
 from quern.llm.spans import expand_pairs
 from quern.llm.vectors import encode, search, similar_vectors, unit
@@ -161,3 +161,31 @@ def test_index_is_the_same_by_broadcast_and_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(vectors, "CELL_BYTES", 0)
     monkeypatch.setattr(vectors, "BLOCK_BYTES", 16 * 8 * 50)
     assert len(sent) == 4000 and len(found() ^ sent) <= 80
+
+
+@pytest.mark.parametrize(("similarity", "least"), [(0.70, 0.96), (0.72, 0.97), (0.75, 0.98), (0.8, 0.99)])
+def test_recall_of_keys_and_narrow_check_by_band(similarity, least):
+    """Pairs at just this similarity that share a key and stay within reach."""
+    rng = np.random.default_rng(6)
+    left, right = [], []
+    for _ in range(1500):
+        words = [f"w{x}" for x in rng.integers(1 << 40, size=101)]
+        kept = round(100 * similarity) + 1
+        left.append(" ".join(words))
+        right.append(" ".join([*words[:kept], *(f"w{x}" for x in rng.integers(1 << 40, size=101 - kept))]))
+    (_, a), (_, b) = signatures(left, 20, 48), signatures(right, 20, 48)
+    found = (chunk_keys(a[:, :32], 4, 1) == chunk_keys(b[:, :32], 4, 1)).any(axis=1) & (distance(narrow(a), narrow(b)) <= 29)
+    assert found.mean() >= least
+
+
+def test_hot_keys_are_spread_and_lose_no_pair(spark, prose, monkeypatch):
+    base = prose(40)
+    texts = {i: f"{base} extra{i}" for i in range(60)} | {100 + i: prose(30) for i in range(20)}
+    df = spark.createDataFrame(list(texts.items()), "id long, content string")
+    expected = brute_similar(texts)
+    for rows in (2_000, 8):
+        monkeypatch.setattr(neardup, "HOT_ROWS", rows)
+        monkeypatch.setattr(neardup, "PROBE", 1)
+        pairs, _ = near_duplicates(df, "id", "content")
+        found = [(r.rep_a, r.rep_b) for r in pairs.collect()]
+        assert len(found) == len(set(found)) and set(found) == expected and len(expected) >= 60 * 59 // 2
