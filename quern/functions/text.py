@@ -46,7 +46,7 @@ def token_estimate(c: Column) -> Column:
 
 def normalize_content(c: Column) -> Column:
     """Line feeds only, nothing at line ends, at most one blank line in a row, nothing at the ends; no BOM."""
-    c = F.regexp_replace(c, r"^\x{feff}+", "")
+    c = F.regexp_replace(c, r"\x{feff}", "")
     c = F.regexp_replace(c, r"\r\n|\r", "\n")
     c = F.regexp_replace(c, f"{WS_INLINE}+\n", "\n")
     c = F.regexp_replace(c, "\n{3,}", "\n\n")

@@ -21,7 +21,8 @@ from quern.session import ship_package
 
 MEDIA = frozenset({"table", "figure", "caption"})
 SKIP = frozenset({"header", "footer", "page_number"})
-_NUM = "〇零一二三四五六七八九十百千万两0-9"
+#: Fixed value: the numerals of Chinese headings.
+_NUM = "一二三四五六七八九十百千万零〇两0-9"
 #: How templates know their headings, articles, items, questions.
 PATTERNS = {
     "chapter": rf"^\s*(?:第\s*(?:[{_NUM}]\s*)+[章编部篇卷]|chapter\s+\d+|part\s+\d+)",
@@ -64,6 +65,8 @@ class Block:
     text: str
     path: list[str]
     meta: dict = field(default_factory=dict)
+    top: float | None = None
+    bottom: float | None = None
 
     @property
     def first(self) -> str:
@@ -107,7 +110,7 @@ def _article(b: Block) -> bool:
 
 
 RULES: dict[str, Rules] = {
-    "generic_structured": Rules("Document", lambda b, now: b.path[0] if b.path and b.path[0] != now else None, "text"),
+    "generic_structured": Rules("Document", lambda b, now: None, "text"),  # by heading path, see Stream
     "contract_terms": Rules("Document", _contract_group, "contract_clause", opens=_article, glued=lambda b: b.kind == "list_item" or is_("clause", b.first), skip=lambda b: len(b.text) <= 120 and is_("junk", b.text.strip()), adopt=False),
     "laws": Rules("Document", lambda b, now: b.first if is_("law_part", b.first) and not is_("article", b.first) else None, "legal_article", opens=lambda b: is_("article", b.first), glued=lambda b: b.kind == "list_item" or is_("clause", b.first)),
     "book": Rules("Front Matter", lambda b, now: b.first if is_("book_part", b.first) or b.kind == "heading" and b.first.lower().startswith(("preface", "appendix", "chapter", "part ")) else None, "book_section", opens=lambda b: b.kind == "heading", skip=lambda b: is_("contents", b.first)),
@@ -119,27 +122,70 @@ RULES: dict[str, Rules] = {
 }
 
 
+#: How deep a heading path parts the parents of the plain template, by the setting of that name.
+GRANULARITY = {"chapter": 1, "section": 2}
+_ARTICLE = regex.compile(rf"^\s*(?P<label>第\s*(?:[{_NUM}]\s*)+条)\s*(?P<tail>.*)$")
+_ENDS = "。；;:：，,"
+
+
+def article_name(line: str) -> str:
+    """第 1 条 合同构成 ... as 第1条 合同构成: the label without spaces and the first word or clause after it."""
+    m = _ARTICLE.match(line)
+    if m is None:
+        return line.strip()
+    label, tail = "".join(m["label"].split()), m["tail"].strip()
+    if not tail:
+        return label
+    word = tail.split()[0].strip(_ENDS)
+    clause = regex.split(f"[{_ENDS}]", tail)[0].strip()
+    return f"{label} " + next((x for x in (word, clause) if 0 < len(x) <= 30), tail[:30].strip())
+
+
 class Stream:
-    """Children of one document after another, from blocks in order."""
+    """Children of one document after another, from blocks in order.
 
-    def __init__(self, template: str, limit: int):
-        self.name, self.rules, self.limit = template, RULES[template], limit
+    ``depth``: levels of a heading path that make a parent of the plain
+    template. ``articles``: a contract without chapters, whose articles are
+    the parents.
+    """
+
+    def __init__(self, template: str, limit: int, depth: int = 1, articles: bool = False):
+        self.name, self.rules, self.limit, self.depth, self.articles = template, RULES[template], limit, depth, articles
         self.seen: dict[str, int] = {}
+        self.order: dict[str, int] = {}
         self.group, self.named = self.rules.start, not self.rules.adopt
+        self.key, self.count = self.group, 0
         self.open: list[Block] = []
         self.lane = ""
         self.size = [0, 0]
 
+    def next_group(self, b: Block) -> str | None:
+        if self.name == "generic_structured":
+            path = list(dict.fromkeys(x.strip() for x in b.path if x and x.strip()))[: self.depth]
+            group = " > ".join(path)
+            return group if group and group != self.group else None
+        if self.articles:
+            return article_name(b.first) if _article(b) else None
+        return self.rules.group(b, self.group)
+
+    @property
+    def rule(self) -> str:
+        if self.name != "contract_terms":
+            return self.name
+        return "contract_parent_chapter" if not self.articles else "contract_parent_article" if self.count else "contract_parent_preamble"
+
     def push(self, b: Block) -> Iterator[tuple]:
         r = self.rules
         if b.kind in SKIP or not b.text.strip() or r.skip(b):
             return
-        group = r.group(b, self.group)
-        if group is None and not self.named and b.path:
+        group = self.next_group(b)
+        if group is None and not self.named and b.path and self.name != "generic_structured":
             group = b.path[0]
-        if group is not None and group != self.group:
+        if group is not None and (group != self.group or self.articles):
             yield from self.flush()
             self.group, self.named = group, True
+            self.count += 1
+            self.key = f"article:{self.count}:{group}" if self.articles else group
         if self.name == "qa" and b.kind == "heading" and not is_("question", b.first):
             return
         if b.kind in MEDIA and self.name not in ("table_data", "qa"):
@@ -174,16 +220,35 @@ class Stream:
         self.open, self.size, self.lane = [], [0, 0], ""
 
     def child(self, blocks: list[Block], kind: str) -> tuple:
-        index = self.seen.get(self.group, 0)
-        self.seen[self.group] = index + 1
+        index = self.seen.get(self.key, 0)
+        self.seen[self.key] = index + 1
+        order = self.order.setdefault(self.key, len(self.order))
         body = "\n\n".join(b.text.strip() for b in blocks)
         text = body if not self.group or body.startswith(self.group) else f"{self.group}\n\n{body}"
         pages = [b.page for b in blocks]
-        return (self.group, index, kind, text, min(pages), max(pages), [b.id for b in blocks], tokens(*counts(text)))
+        return (self.key, self.group, self.rule, order, index, kind, text, min(pages), max(pages), [b.id for b in blocks], tokens(*counts(text)), blocks[0].top, blocks[-1].bottom)
+
+
+_OUT = "document_id string, template string, section string, heading string, rule string, parent_index int, chunk_index int, chunk_type string, text string, page_start int, page_end int, block_ids array<string>, token_count int, top double, bottom double"
+_TYPES = [*[pa.string()] * 5, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.float64(), pa.float64()]
 
 
-_OUT = "document_id string, template string, section string, chunk_index int, chunk_type string, text string, page_start int, page_end int, block_ids array<string>, token_count int"
-_TYPES = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32()]
+def chapterless(blocks: DataFrame) -> DataFrame:
+    """document_id of documents whose blocks give one parent by chapters at most, but three articles or more."""
+
+    def look(batches):
+        for batch in batches:
+            start, article = [], []
+            for kind, text in zip(batch.column("block_type").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                b = Block("", 0, kind or "paragraph", text, [])
+                start.append(_contract_group(b, ""))
+                article.append(_article(b))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("document_id", "page_number", "reading_order", "block_id")), pa.array(start, pa.string()), pa.array(article, pa.bool_())], ["document_id", "page_number", "reading_order", "block_id", "start", "article"])
+
+    content = blocks.where((F.length("text") > 0) & ~F.coalesce(F.col("block_type").isin(*SKIP), F.lit(False)))
+    seen = content.select("document_id", "page_number", "reading_order", "block_id", "block_type", "text").mapInArrow(look, "document_id string, page_number int, reading_order int, block_id string, start string, article boolean")
+    facts = seen.groupBy("document_id").agg(F.countDistinct("start").alias("chapters"), F.count_if("article").alias("articles"), F.min_by(F.col("start").isNull(), F.struct("page_number", "reading_order", "block_id")).alias("preamble"))
+    return facts.where("articles >= 3 and chapters + int(preamble) <= 1").select("document_id")
 
 
 def chunk_blocks(blocks: DataFrame, templates: DataFrame, configs: DataFrame, default: str = "generic_structured") -> DataFrame:
@@ -195,14 +260,21 @@ def chunk_blocks(blocks: DataFrame, templates: DataFrame, configs: DataFrame, de
     numbering of the earlier one.
     """
     ship_package(blocks.sparkSession)
-    limits = configs.groupBy("template").agg(F.min("child_max_tokens").alias("limit"))
+    depth = F.min(F.col("parent_granularity")) if "parent_granularity" in configs.columns else F.lit(None).cast("string")
+    limits = configs.groupBy("template").agg(F.min("child_max_tokens").alias("limit"), depth.alias("granularity"))
     known = templates.groupBy("document_id").agg(F.min("template").alias("template")).join(limits, "template", "left")
     other = limits.where(F.col("template") == default).first()
+    box = ("bbox.y0", "bbox.y1") if "bbox" in blocks.columns else (None, None)
+    places = [(F.col(c) if c else F.lit(None)).cast("double").alias(n) for c, n in zip(box, ("top", "bottom"), strict=True)]
+    contracts = blocks.join(known.where("template = 'contract_terms'").select("document_id"), "document_id", "left_semi")
+    by_article = chapterless(contracts).withColumn("articles", F.lit(True))
     rows = (
-        blocks.select("document_id", "block_id", "page_number", "reading_order", "block_type", "text", "heading_path", "metadata")
+        blocks.select("document_id", "block_id", "page_number", "reading_order", "block_type", "text", "heading_path", "metadata", *places)
         .join(known, "document_id", "left")
+        .join(by_article, "document_id", "left")
         .withColumn("template", F.when(F.col("limit").isNull(), F.lit(default)).otherwise(F.col("template")))
         .withColumn("limit", F.coalesce("limit", F.lit(other.limit if other else 450)))
+        .withColumn("granularity", F.coalesce("granularity", F.lit(other.granularity if other else None)))
         .dropDuplicates(["document_id", "block_id"])
         .repartition("document_id")
         .sortWithinPartitions("document_id", "page_number", "reading_order", "block_id")
@@ -221,12 +293,12 @@ def chunk_blocks(blocks: DataFrame, templates: DataFrame, configs: DataFrame, de
                 if r["document_id"] != now:
                     if state:
                         emit(state.flush())
-                    state, now = Stream(r["template"] if r["template"] in RULES else default, r["limit"]), r["document_id"]
+                    state, now = Stream(r["template"] if r["template"] in RULES else default, r["limit"], GRANULARITY.get(r["granularity"], 1), bool(r["articles"])), r["document_id"]
                 try:
                     meta = json.loads(r["metadata"] or "{}")
                 except ValueError:
                     meta = {}
-                emit(state.push(Block(r["block_id"], r["page_number"] or 0, r["block_type"] or "paragraph", r["text"] or "", r["heading_path"] or [], meta if isinstance(meta, dict) else {})))
+                emit(state.push(Block(r["block_id"], r["page_number"] or 0, r["block_type"] or "paragraph", r["text"] or "", r["heading_path"] or [], meta if isinstance(meta, dict) else {}, r["top"], r["bottom"])))
             if len(out) >= 1000:
                 yield _batch(out)
                 out.clear()
@@ -234,7 +306,7 @@ def chunk_blocks(blocks: DataFrame, templates: DataFrame, configs: DataFrame, de
             emit(state.flush())
         yield _batch(out)
 
-    drafts = rows.drop("reading_order").select("document_id", "block_id", "page_number", "block_type", "text", "heading_path", "metadata", "template", "limit").mapInArrow(run, _OUT)
+    drafts = rows.drop("reading_order").select("document_id", "block_id", "page_number", "block_type", "text", "heading_path", "metadata", "top", "bottom", "template", "limit", "granularity", "articles").mapInArrow(run, _OUT)
     parent = T.parent_id(F.col("document_id"), T.section_id(F.col("document_id"), F.array("section")))
     ids = drafts.withColumn("parent_id", parent)
     return ids.withColumn("chunk_id", T.child_id(F.col("document_id"), F.col("template"), F.col("parent_id"), F.col("chunk_index"), F.col("block_ids")))
@@ -248,6 +320,6 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def parents_of(chunks: DataFrame) -> DataFrame:
     """Parent rows of chunks: pages, number of children, tokens."""
-    return chunks.groupBy("document_id", "template", "section", "parent_id").agg(
+    return chunks.groupBy("document_id", "template", "section", "heading", "rule", "parent_id").agg(
         F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), F.count("*").cast("int").alias("children"), F.sum("token_count").cast("bigint").alias("token_count")
     )

@@ -15,7 +15,7 @@ from .registry import query
 
 _WS = T.WS
 _IN = T.WS_INLINE
-_NORM = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^\x{{feff}}+', ''), '\r\n|\r', chr(10), 'g'), '{_IN}+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^{_WS}+|{_WS}+$', '', 'g')"
+_NORM = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\x{{feff}}', '', 'g'), '\r\n|\r', chr(10), 'g'), '{_IN}+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^{_WS}+|{_WS}+$', '', 'g')"
 _EST = r"(len(regexp_extract_all(coalesce(text, ''), '[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{f900}-\x{faff}\x{20000}-\x{2a6df}]')) + floor(1.3::DOUBLE * len(regexp_extract_all(coalesce(text, ''), '[a-zA-Z0-9]+(?:[-''][a-zA-Z0-9]+)*'))))::INT"
 _SQUASH = rf"trim(regexp_replace(text, '{_WS}+', ' ', 'g'))"
 _STRIP = rf"regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g')"

@@ -1,5 +1,7 @@
 """Operators on small tables with known answers."""
 
+import dataclasses
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,3 +243,63 @@ def test_long_documents_are_mended_across_every_parent(spark):
     out = postprocess.finish_chunks(chunks, configs).collect()
     assert len(out) == n - 1
     assert [r.text for r in out if r.chunk_id == "c4999"] == ["this sentence number 4999 runs on then part 5000 ends here."]
+
+
+def test_breaks_across_parents_need_the_rest_of_a_sentence():
+    two = lambda a, b, **more: [c.text for c in postprocess.mend([ch(a), dataclasses.replace(ch(b, 2, "q"), **more)])]
+    assert len(two("1. first item", "2. second item")) == 2
+    assert len(two("including, but not,", "Annex material begins.")) == 2
+    assert two("the cover runs", "安心人生两全寿险利益条款\non here.") == ["the cover runs on here."]
+    assert two("甲方应当", "支付费用。") == ["甲方应当支付费用。"]
+    assert [c.text for c in postprocess.mend([ch("1. first item\nmore of it."), ch("2. second item", 2)])] == ["1. first item\nmore of it. 2. second item"]
+
+
+def test_layout_continuation():
+    low, high = dataclasses.replace(ch("Section of Things"), bottom=720.0), dataclasses.replace(ch("Annex Material", 2), top=100.0)
+    assert [c.text for c in postprocess.mend([low, high])] == ["Section of Things Annex Material"]
+    assert len(list(postprocess.mend([low, dataclasses.replace(high, top=300.0)]))) == 2
+
+
+def test_parts_of_a_long_chunk_keep_its_heading():
+    long = dataclasses.replace(ch("Terms\n\n" + "One rule holds here. " * 20), heading="Terms").estimate()
+    parts = list(postprocess.split_long([long], 40))
+    assert len(parts) > 1 and all(c.text.startswith("Terms\n\n") and c.tokens <= 40 for c in parts)
+
+
+def contract(*rows):
+    return [block(i, t, k, page=max(1, i // 4 + 1)) for i, (t, k) in enumerate(rows)]
+
+
+ARTICLES = [("本合同由双方订立。", "paragraph"), ("第一条 保险责任", "heading"), ("我们承担责任。", "paragraph"), ("第二条 责任免除", "heading"), ("下列情形除外。", "paragraph"), ("第三条 保险金额", "heading"), ("金额由双方约定。", "paragraph")]
+
+
+def test_contract_without_chapters_has_articles_as_parents(spark):
+    got, drafts, _ = chunks(spark, contract(*ARTICLES), "contract_terms")
+    parents = chunkers.parents_of(drafts).orderBy("section").collect()
+    assert {(p.heading, p.rule) for p in parents} == {("Document", "contract_parent_preamble"), ("第一条 保险责任", "contract_parent_article"), ("第二条 责任免除", "contract_parent_article"), ("第三条 保险金额", "contract_parent_article")}
+    assert all(p.token_count > 0 for p in parents)
+    spaced = [(t.replace("第一条", "第 1 条").replace("第二条", "第 2 条").replace("第三条", "第 3 条"), k) for t, k in ARTICLES[1:]]
+    got, _, _ = chunks(spark, contract(*spaced), "contract_terms")
+    assert sorted({c.heading for c in got}) == ["第1条 保险责任", "第2条 责任免除", "第3条 保险金额"]
+
+
+def test_contract_children_stay_with_their_article(spark):
+    rows = [("第一条 保险责任", "heading"), *[("我们对被保险人承担给付保险金的责任。", "paragraph")] * 4, *ARTICLES[3:]]
+    got, _, _ = chunks(spark, contract(*rows), "contract_terms", 28)
+    first = [c for c in got if c.section.startswith("article:1:")]
+    assert len(first) > 1 and {c.heading for c in first} == {"第一条 保险责任"}
+
+
+def test_contract_with_chapters_keeps_them(spark):
+    rows = [("第一章 总则", "heading"), ("第一条 甲", "heading"), ("条文。", "paragraph"), ("第二章 保险责任", "heading"), ("第二条 乙", "heading"), ("条文。", "paragraph"), ("第三条 丙", "heading"), ("条文。", "paragraph")]
+    got, _, _ = chunks(spark, contract(*rows), "contract_terms")
+    assert {(c.section, c.rule) for c in got} == {("第一章 总则", "contract_parent_chapter"), ("第二章 保险责任", "contract_parent_chapter")}
+
+
+def test_parent_granularity(spark):
+    rows = [block(0, "a", path=["A", "One"]), block(1, "b", path=["A", "Two"]), block(2, "c", path=["B"])]
+    for depth, sections in (("chapter", ["A", "A", "B"]), ("section", ["A > One", "A > Two", "B"])):
+        configs = spark.createDataFrame([("generic_structured", 450, 60, depth)], "template string, child_max_tokens int, child_min_tokens int, parent_granularity string")
+        out = chunkers.chunk_blocks(frame(spark, rows), spark.createDataFrame([], "document_id string, template string"), configs).orderBy("parent_index", "chunk_index")
+        got = out.collect()
+        assert sorted(c.section for c in got for _ in c.block_ids) == sections
