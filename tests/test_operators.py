@@ -251,7 +251,7 @@ def test_breaks_across_parents_need_the_rest_of_a_sentence():
     assert len(two("including, but not,", "Annex material begins.")) == 2
     assert two("the cover runs", "安心人生两全寿险利益条款\non here.") == ["the cover runs on here."]
     assert two("甲方应当", "支付费用。") == ["甲方应当支付费用。"]
-    assert [c.text for c in postprocess.mend([ch("1. first item\nmore of it."), ch("2. second item", 2)])] == ["1. first item\nmore of it. 2. second item"]
+    assert [c.text for c in postprocess.mend([ch("1. first item\nmore of it."), ch("2. second item", 2)])] == ["1. first item\nmore of it.2. second item"]
 
 
 def test_layout_continuation():
