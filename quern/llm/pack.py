@@ -3,9 +3,10 @@
 The gaps between tokens of a text have a rank: before a heading (by its
 level), a blank line, a line, a sentence end, a clause end, a word. The gaps of
 one rank cut a node into its children, so the ranks make a tree: sections,
-paragraphs, lines, sentences, words. A node within the limit stays whole;
-only an oversized one is opened; then neighbours are merged from the bottom up
-while they fit.
+paragraphs, lines, sentences, words; fenced code is one node of lines. A node
+within the limit stays whole; only an oversized one is opened; siblings that
+are whole are merged from the bottom up while they fit, and what is left of an
+opened node is never merged with the next one.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ _HEADING = regex.compile(
     regex.M,
 )
 _LISTED = regex.compile(r"^[ \t]*(?:[-*+•·]|\d+[.)、]|[（(]?[a-zA-Z0-9一二三四五六七八九十]{1,3}[)）]|\||\\item)[ \t|]?", regex.M)
+_FENCE = regex.compile(r"^[ \t]*(?P<mark>```|~~~)[^\n]*\n.*?^[ \t]*(?P=mark)[ \t]*$", regex.M | regex.S)
 _BREAK = regex.compile(r"\n[^\S\n]*\n|\r[^\S\r\n]*\r|\r\n[^\S\r\n]*\r\n")
 _SENTENCE, _CLAUSE = regex.compile(r"[。！？!?；;…]|\.(?:[\"'”’)\]]*)\s"), regex.compile(r"[,，、:：]|\s[-–—]\s")
 TEN_HEADING, PARAGRAPH, LISTED, LINE, SENTENCE, CLAUSE, GAP = 10, 7, 6, 5, 4, 3, 1
@@ -57,7 +59,11 @@ class Outline:
         headings = {}
         for m in _HEADING.finditer(text):
             headings[m.start()] = _level(m)
+        fences = [m.span() for m in _FENCE.finditer(text)]
+        for s, e in fences:  # a comment in code is no heading
+            headings = {at: x for at, x in headings.items() if not s <= at < e}
         lists = {m.start() for m in _LISTED.finditer(text)}
+        fence = 0
         rank, previous, heading_end = [0] * len(spans), 0, -1
         inline: dict[str, int] = {}
         for i, (s, _) in enumerate(spans):
@@ -70,6 +76,10 @@ class Outline:
                 r = inline.get(gap)
                 if r is None:
                     r = self._rank(gap, previous, s, headings, lists)
+                    while fence < len(fences) and fences[fence][1] <= previous:
+                        fence += 1
+                    if r > LINE and fence < len(fences) and fences[fence][0] < previous:
+                        r = LINE if s < fences[fence][1] else PARAGRAPH
                     if r < LINE:
                         inline[gap] = r
                 if r >= LINE:
@@ -126,13 +136,16 @@ class Outline:
                 last = x if x == j or self.rank[x] or top == 0 else (last if x > i + 1 else x)
             return [*out, (first, j)]
         cuts = [i, *(x for x in range(i + 1, j) if self.rank[x] == top), j]
-        parts = [p for a, b in zip(cuts, cuts[1:], strict=False) for p in self.tree_pack(a, b, limit)]
-        out = [parts[0]]
-        for a, b in parts[1:]:
-            if self.cost(out[-1][0], b) <= limit:
+        out: list[tuple[int, int]] = []
+        grows = False  # whether the last piece is made of whole siblings
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            parts = self.tree_pack(a, b, limit)
+            whole = len(parts) == 1
+            if whole and grows and self.cost(out[-1][0], b) <= limit:
                 out[-1] = (out[-1][0], b)
             else:
-                out.append((a, b))
+                out += parts
+            grows = whole
         return out
 
 
@@ -152,23 +165,26 @@ def _level(m: regex.Match) -> int:
 def split(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
     """(begin, start, end, tokens) of the pieces: text[start:end] end to end is the text,
     text[begin:start] is the overlap with the piece before, and no text[begin:end]
-    is over the limit (a single token aside)."""
+    is over the limit (a single token aside). An overlap as large as the limit
+    leaves no room: then each piece has one token more than it shares."""
     o = Outline(text)
     n = len(o.spans)
-    overlap = max(0, min(overlap, limit // 2))
+    overlap = max(0, min(overlap, limit - 1))
     ranges = o.tree_pack(0, n, limit)
     if len(ranges) > 1 and overlap:
         ranges = o.tree_pack(0, n, max(1, limit - overlap))
     out = []
+    before = 0  # where the piece before begins, with its own overlap
     for k, (i, j) in enumerate(ranges):
         start = 0 if k == 0 else o.cut(i)
         end = len(text) if k == len(ranges) - 1 else o.cut(j)
         b = i
         if k:
-            while b > ranges[k - 1][0] and o.cost(b - 1, i) <= overlap and o.cost(b - 1, j) <= limit:
+            while b > before and o.cost(b - 1, i) <= overlap and o.cost(b - 1, j) <= limit:
                 b -= 1
             while b < i and o.rank[b] == 0 and b > 0:
                 b += 1
+        before = b
         out.append((o.cut(b) if b < i else start, start, end, o.cost(b, j)))
     return out
 

@@ -19,6 +19,19 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return expand_pairs(found, members).distinct()
 
 
+def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs between the representatives of equal texts; with p1_members the same as p1_found, without its copies."""
+    from .neardup import near_duplicates
+
+    return near_duplicates(load(spark, folder, "rag_chunks", "id", "content"), "id", "content")[0].select("rep_a", "rep_b", F.round("similarity", 6).alias("similarity"))
+
+
+def p1_members(spark: SparkSession, folder: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(load(spark, folder, "rag_chunks", "id", "content"), "id", "content")[1].select("id", "rep")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     from .vectors import similar_vectors
 
@@ -53,7 +66,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_walk(spark: SparkSession, folder: str) -> DataFrame:
     from .fuse import first_of_group
 
-    order = [F.desc(F.round("stationarity", 9)), F.asc("place_rerank_score"), F.asc("chunk_id")]
+    # shares that differ by less than the walk's own accuracy are ties; the logarithm makes that relative to their size
+    order = [F.desc(F.round(F.ln("stationarity"), 8)), F.asc("place_rerank_score"), F.asc("chunk_id")]
     return first_of_group(_walked(spark, folder), "request_id", "chunk_id", order, "final_top_k").select("request_id", "chunk_id", "stationarity")
 
 
@@ -126,6 +140,19 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
+def p9_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Maximal shared stretches between the representatives of equal texts."""
+    from .spans import shared_spans
+
+    return shared_spans(load(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", unique=True)[0]
+
+
+def p9_members(spark: SparkSession, folder: str) -> DataFrame:
+    from .spans import shared_spans
+
+    return shared_spans(load(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", unique=True)[1].select(F.col("id").alias("doc_id"), "rep")
+
+
 def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
     from .spans import shared_share, shared_spans
 
@@ -135,7 +162,7 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_nearest, p3_found, p3_walk, p4_found, p4_text, p5_found, p5_pieces, p6_found, p6_text, p7_ids, p8_found, p9_found, p9_shared)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p1_members, p2_found, p2_nearest, p3_found, p3_walk, p4_found, p4_text, p5_found, p5_pieces, p6_found, p6_text, p7_ids, p8_found, p9_found, p9_spans, p9_members, p9_shared)}
 
 
 _P1 = r"""
@@ -148,6 +175,9 @@ s AS (SELECT a.rep AS x, b.rep AS y FROM k a JOIN k b ON a.p = b.p AND a.rep < b
 m AS (SELECT t.id, d.rep FROM t JOIN d USING (content))
 SELECT DISTINCT least(p.id, q.id) AS id_a, greatest(p.id, q.id) AS id_b FROM (SELECT x, y FROM s UNION ALL SELECT rep, rep FROM d) s JOIN m p ON p.rep = s.x JOIN m q ON q.rep = s.y WHERE p.id <> q.id"""
 
+_P1_PAIRS = _P1[: _P1.index("m AS (")].rstrip().rstrip(",").replace("SELECT a.rep AS x, b.rep AS y FROM", "SELECT a.rep AS rep_a, b.rep AS rep_b, round(sum(least(a.k, b.k)) / greatest(a.n, b.n), 6) AS similarity FROM") + " SELECT * FROM s"
+_P1_MEMBERS = _P1[: _P1.index("g AS (")].rstrip().rstrip(",") + " SELECT DISTINCT t.id, d.rep FROM t JOIN d USING (content)"
+
 _P2 = """
 WITH u AS (SELECT chunk_id, embedding_model AS m, embedding_dim AS d, min(embedding)::DOUBLE[] AS e FROM vector_chunks
   WHERE embedding IS NOT NULL AND len(embedding) = embedding_dim AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))
@@ -182,5 +212,9 @@ s AS (SELECT w FROM g GROUP BY w HAVING count(*) > 1), h AS (SELECT g.* FROM g J
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM h a JOIN h b ON a.w = b.w AND a.doc_id < b.doc_id"""
 
 
+_P9_MEMBERS = """
+WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 200) SELECT DISTINCT doc_id, min(doc_id) OVER (PARTITION BY text) AS rep FROM d"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p2_found": _P2, "p3_found": _P3, "p5_found": _P5, "p8_found": _P8, "p9_found": _P9}
+    return {"p1_found": _P1, "p1_pairs": _P1_PAIRS, "p1_members": _P1_MEMBERS, "p2_found": _P2, "p3_found": _P3, "p5_found": _P5, "p8_found": _P8, "p9_found": _P9, "p9_members": _P9_MEMBERS}

@@ -296,3 +296,39 @@ HELD_OUT = [
 def test_markup_model_on_texts_not_written_by_its_templates():
     found = label_texts([t for t, _ in HELD_OUT], ["paragraph"] * len(HELD_OUT), model())
     assert sum(bool(label.any()) == marked for (_, label), (_, marked) in zip(found, HELD_OUT, strict=True)) >= len(HELD_OUT) - 1
+
+
+def _sections(*sizes):
+    return "\n\n".join(f"# {chr(65 + i)}\n\n" + "\n\n".join(" ".join([f"{chr(97 + i)}{k}"] * n) for k, n in enumerate(part)) for i, part in enumerate(sizes))
+
+
+def test_only_whole_siblings_are_merged():
+    text = _sections((60, 20), (20,), (20,))
+    pieces = [text[s:e] for _, s, e, _ in split(text, 90, 0)]
+    assert "".join(pieces) == text
+    assert not any("# B" in p and "a1" in p for p in pieces) and any("# B" in p and "# C" in p for p in pieces)
+
+
+def test_fenced_code_is_a_node():
+    text = "Intro words here.\n\n```\n# no heading\n\nx = 1\n```\n\n" + "more words " * 20
+    pieces = [text[s:e] for _, s, e, _ in split(text, 30, 0)]
+    assert "".join(pieces) == text and any("# no heading" in p and "x = 1" in p for p in pieces)
+
+
+@pytest.mark.parametrize("overlap", [0, 10, 25, 39, 40, 100])
+def test_overlap_is_what_was_asked(overlap):
+    text = " ".join(f"w{i}" for i in range(400))
+    out = split(text, 40, overlap)
+    assert all(estimate(text[b:e]) <= 40 for b, _, e, _ in out) and "".join(text[s:e] for _, s, e, _ in out) == text
+    if overlap:
+        for (b0, _, e0, _), (b, s, _, _) in zip(out, out[1:], strict=False):
+            wanted = min(overlap, 39, estimate(text[b0:e0]))  # a piece shares no more than the one before holds
+            assert wanted - 3 <= estimate(text[b:s]) <= wanted
+
+
+def test_walk_of_a_large_group_keeps_its_order():
+    rng = np.random.default_rng(8)
+    n = 60_000
+    higher = np.stack([rng.permutation(n), rng.permutation(n)], axis=1)
+    share = walk(higher, 0.85, 100, 1e-10)
+    assert len(np.unique(np.round(np.log(share), 8))) > 0.95 * n
