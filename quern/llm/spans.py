@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.durable import settle
@@ -25,6 +25,8 @@ from quern.session import ship_package
 
 from .chars import Hashes, codes, slices
 
+#: Seeds of one hash that a task joins with each other; one in PROBE texts is counted to know which hashes have more.
+HOT_ROWS, PROBE = 2_000, 16
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -46,7 +48,8 @@ def winnow(texts: list[str], k: int, w: int, side: int = 0) -> tuple[np.ndarray,
     and one with as many after it, where the text has them.
 
     Of a run of neighbouring anchors with one hash (a text that repeats a
-    character) the first is kept.
+    character) the first and the last are kept, so that runs of different
+    length are seeded where they begin and where they end.
     """
     a, offsets = codes(texts)
     none = np.zeros(0, np.int64)
@@ -63,7 +66,8 @@ def winnow(texts: list[str], k: int, w: int, side: int = 0) -> tuple[np.ndarray,
     edge = np.zeros(w - 1, np.uint64)
     picked = _sliding(np.concatenate([edge, least, edge]), w, np.maximum, np.uint64(0))
     keep = (picked == h) & (h != _TOP)
-    keep[1:] &= ~((h[1:] == h[:-1]) & keep[:-1] & (text[1:] == text[:-1]))
+    tied = (h[1:] == h[:-1]) & keep[1:] & keep[:-1] & (text[1:] == text[:-1])
+    keep[1:-1] &= ~(tied[:-1] & tied[1:])
     at = np.flatnonzero(keep)
     if not side:
         return text[at], at - offsets[text[at]], h[at]
@@ -131,13 +135,10 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 200, anchor: i
     members = hashed.select("id", "same", F.length("text").alias("n_chars")).join(reps.select("same", "rep"), "same").select("rep", "id", "n_chars").distinct()
 
     seeds = reps.select("rep", F.explode(F.arrays_zip("hash", "pos")).alias("s")).select("rep", F.col("s.hash").alias("hash"), F.col("s.pos").alias("pos"))
-    a, b = seeds.alias("a"), seeds.alias("b")
-    pairs = (
-        a.join(b, (F.col("a.hash") == F.col("b.hash")) & (F.col("a.rep") < F.col("b.rep")))
-        .select(F.col("a.rep").alias("id_a"), F.col("b.rep").alias("id_b"), (F.col("a.pos") - F.col("b.pos")).alias("diagonal"))
-        .groupBy("id_a", "id_b")
-        .agg(F.collect_set("diagonal").alias("diagonals"))
-    )
+    some = seeds.where(F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(PROBE)) == 0).groupBy("hash").agg((F.count("*") * PROBE).alias("n")).where(F.col("n") > HOT_ROWS)
+    hot = settle(some.select("hash", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("parts")), "hot")
+    meet = _meet(seeds, hot) if hot.limit(1).count() else _join_seeds(seeds, ["hash"])
+    pairs = meet.groupBy("id_a", "id_b").agg(F.collect_set("diagonal").alias("diagonals"))
     # rows of one key are one record; a caller who knows that keys are unique saves this shuffle of whole texts
     texts = rows if unique else rows.groupBy("id").agg(F.first("text").alias("text"))
     joined = pairs.join(texts.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a").join(
@@ -161,6 +162,23 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 200, anchor: i
     return spans, members
 
 
+def _join_seeds(seeds: DataFrame, on: list[str], also: Column | None = None) -> DataFrame:
+    a, b = seeds.alias("a"), seeds.alias("b")
+    cond = F.col("a.rep") < F.col("b.rep")
+    for c in on:
+        cond = cond & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    return a.join(b, cond & also if also is not None else cond).select(F.col("a.rep").alias("id_a"), F.col("b.rep").alias("id_b"), (F.col("a.pos") - F.col("b.pos")).alias("diagonal"))
+
+
+def _meet(seeds: DataFrame, hot: DataFrame) -> DataFrame:
+    """Pairs of seeds with one hash; the seeds of hot hashes are spread over a triangle of cells, where two parts meet in one cell."""
+    own = F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("parts").cast("bigint")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least("part", other).alias("row"), F.greatest("part", other).alias("column")))
+    spread = seeds.join(hot, "hash").withColumn("part", own).select("hash", "rep", "pos", "part", F.explode(cells).alias("cell")).select("hash", "rep", "pos", "part", "cell.row", "cell.column")
+    within = (F.col("a.row") == F.col("a.column")) | (F.col("a.part") != F.col("b.part"))
+    return _join_seeds(seeds.join(hot, "hash", "left_anti"), ["hash"]).unionByName(_join_seeds(spread, ["hash", "row", "column"], within))
+
+
 def expand_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """All pairs of ids behind pairs of representatives, and the pairs of copies: id_a < id_b."""
     ma = members.select(F.col("rep").alias("rep_a"), F.col("id").alias("x"))

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 from quern.llm.chars import Hashes, codes
 from quern.llm.leak import leaked, squeeze
+from quern.llm import spans as spans_module
 from quern.llm.spans import expand_pairs, shared_share, shared_spans, winnow
 from quern.llm.tokenize import DEFAULT_VOCABULARY, Vocabulary, encode, encode_texts
 
@@ -114,3 +115,16 @@ def test_leaks_match_brute_force(spark, prose):
 def test_squeeze_keeps_letters_and_digits():
     a, offsets = squeeze(["A-b c!", "", "中 1"])
     assert a.tobytes().decode("utf-32-le") == "abc中1" and offsets.tolist() == [0, 3, 3, 5]
+
+
+@pytest.mark.parametrize("rows", [2_000, 3])
+def test_hot_hashes_and_runs_of_one_character(spark, prose, monkeypatch, rows):
+    monkeypatch.setattr(spans_module, "HOT_ROWS", rows)
+    monkeypatch.setattr(spans_module, "PROBE", 1)
+    shared = prose(60)[:260]
+    texts = {i: prose(15) + shared + prose(15) for i in range(12)}
+    texts |= {20: prose(5) + "." * 150 + shared[:90] + prose(5), 21: prose(5) + "." * 230 + shared[:90] + prose(5), 22: prose(5) + shared[:90] + "." * 130 + prose(5), 23: prose(5) + shared[:90] + "." * 260 + prose(5)}
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    spans, members = shared_spans(df, "id", "text", 200)
+    found = [tuple(r) for r in expand_pairs(spans.select("id_a", "id_b").distinct(), members).collect()]
+    assert len(found) == len(set(found)) and set(found) == brute_spans(texts, 200)
