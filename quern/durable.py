@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where none is set."""
+    """The cluster's checkpoint folder; a folder of our own only on a local master where none is set."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not conf:
         conf = getattr(spark.sparkContext, "_quern_dir", None)
         if not conf:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
             conf = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
             spark.sparkContext._quern_dir = conf
     return conf.rstrip("/")
@@ -23,9 +25,11 @@ def settle(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The result has no lineage, survives the loss of executors and is computed
-    once however often it is used.
+    once however often it is used. Its files go when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)

@@ -17,6 +17,14 @@ DOMAINS = (
     ("理赔", ("理赔", "给付", "赔偿", "赔付", "申请保险金")),
     ("合同条款", ("合同成立", "合同效力", "合同解除", "合同终止", "合同变更", "现金价值")),
 )
+#: Words by which the domain of headings and of the text under them is known, in order of precedence.
+HEADING_DOMAINS = (
+    ("Troubleshooting", ("troubleshoot",)), ("Engine", ("removal", "installation")), ("Generator", ("generator",)), ("Maintenance", ("maintenance", "lubrication", "filter")), ("Engine", ("engine", "fuel", "coolant")),
+    ("Electrical", ("electric", "circuit", "wiring")), ("Maintenance", ("repair", "torque", "adjustment")), ("责任免除", ("责任免除", "免责")), ("保险责任", ("保险责任", "保险金", "给付")), ("理赔", ("理赔", "赔偿", "赔付", "申请保险金")),
+    ("合同条款", ("合同成立", "合同效力", "合同解除", "合同终止")), ("保险费", ("保险费", "缴费", "费率")), ("期间条款", ("犹豫期", "宽限期", "等待期")), ("保险条款", ("被保险人", "投保人", "受益人")),
+)
+#: Characters of a text that tell its domain beside the headings.
+DOMAIN_HEAD = 1_200
 #: Fixed value: numerals in Chinese titles.
 _CN = "[一二三四五六七八九十百千万零\\d]+"
 
@@ -104,6 +112,25 @@ def domain_hint(text: Column) -> Column:
     return F.when(F.size(found) == 1, F.get(found, F.lit(0))).when(F.array_contains(found, "Troubleshooting"), "Troubleshooting").otherwise(F.get(found, F.lit(0)))
 
 
+def heading_domain(headings: Column, text: Column) -> Column:
+    """The first domain of HEADING_DOMAINS with a word in the headings or in the beginning of the text; null for none."""
+    seen = F.lower(F.concat(F.array_join(F.coalesce(headings, F.array().cast("array<string>")), " "), F.lit(" "), F.substring(F.coalesce(text, F.lit("")), 1, DOMAIN_HEAD)))
+    return F.coalesce(*(F.when(seen.rlike("|".join(words)), F.lit(name)) for name, words in HEADING_DOMAINS))
+
+
+def looks_like_heading(text: Column) -> Column:
+    """Whether the first line of a paragraph of a page text heads what follows: short, no sentence, and numbered or named so."""
+    line = strip(F.regexp_extract(F.coalesce(text, F.lit("")), r"^([^\n\r]*)", 1))
+    named = line.rlike(r"(?i)^(?:chapter|section)\s+\d+") | line.rlike(r"^\d+(?:\.\d+){0,3}\s+\S+") | line.rlike("^第.+[章节条]")
+    return (line != "") & (F.length(line) <= 80) & ~line.rlike("[。！？；.!?;:：]$") & named
+
+
+def page_size(value: Column) -> Column:
+    """Struct of width and height in a JSON object of a page, under any of the usual names; null where there is none."""
+    sides = {"width": ("width", "w", "page_width"), "height": ("height", "h", "page_height")}
+    return F.struct(*(F.coalesce(*(F.get_json_object(value, f"$.{k}").try_cast("double") for k in keys)).alias(side) for side, keys in sides.items()))
+
+
 def article_title(line: Column) -> Column:
     """第 1 条 合同构成 ... as 第1条 合同构成: the label without spaces and the first word after it."""
     label = F.regexp_replace(F.regexp_extract(line, r"^\s*(第\s*(?:[一二三四五六七八九十百千万零〇两0-9]\s*)+条)\s*(.*)$", 1), r"\s+", "")

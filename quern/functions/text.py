@@ -157,6 +157,21 @@ def redact(entries: Column) -> Column:
     return F.transform_values(entries, lambda k, v: F.when(F.lower(k).rlike("|".join(SECRET_KEYS)), F.lit("[redacted]")).otherwise(v))
 
 
+def warning(c: Column) -> Column:
+    """A warning as struct of level, message, source: what is a JSON object keeps its own, what is a plain text is its message."""
+    own = F.from_json(F.when(strip(c).startswith("{"), c), "level string, message string, source string")
+    known = own["message"].isNotNull()
+    return F.when(
+        c.isNotNull(),
+        F.struct(F.when(known, own["level"]).otherwise("warning").alias("level"), F.when(known, own["message"]).otherwise(c).alias("message"), F.when(known, own["source"]).otherwise("ingest").alias("source")),
+    )
+
+
+def compact_json(value: Column) -> Column:
+    """A struct, map or array as JSON without its null fields, at any depth."""
+    return F.to_json(value, {"ignoreNullFields": "true"})
+
+
 def markdown_table(rows: Column) -> Column:
     """array<array<string>> as a Markdown table: the first row heads it, short rows are filled, bars are escaped."""
     width = F.array_max(F.transform(rows, F.size))

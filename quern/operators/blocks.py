@@ -177,6 +177,37 @@ def heading_carry(blocks: DataFrame) -> DataFrame:
 
 def neighbour_context(blocks: DataFrame, n: int = 2, media: tuple[str, ...] = ("table", "figure", "caption")) -> DataFrame:
     """document_id, block_id, before, after of media blocks: the texts of ``n`` content blocks on either side in the same run of a section."""
+    near = neighbour_texts(blocks, n, media)
+    return near.select("document_id", "block_id", *(F.array_join(c, "\n\n").alias(c) for c in ("before", "after")))
+
+
+def media_context(chunks: DataFrame, blocks: DataFrame, configs: DataFrame, default: str = "generic_structured") -> DataFrame:
+    """document_id, chunk_id, context_before, context_after of chunks of tables, figures and captions.
+
+    As many content blocks on either side as the template says for tables
+    (``table_context_blocks``) and for the rest (``image_context_blocks``);
+    captions of the block come first. Null where there is nothing.
+    """
+    from .validate import captions
+
+    sizes = configs.groupBy("template").agg(F.min("table_context_blocks").alias("_t"), F.min("image_context_blocks").alias("_i"))
+    most = configs.agg(F.greatest(F.max("table_context_blocks"), F.max("image_context_blocks"))).first()[0] or 0
+    other = sizes.where(F.col("template") == default).first()  # one row
+    near = neighbour_texts(blocks, max(1, most))
+    titles = captions(blocks, ("table", "figure", "caption")).select("document_id", "block_id", F.col("caption").alias("_caption"))
+    media = chunks.where(F.col("chunk_type").isin("table", "figure", "caption")).select("document_id", "chunk_id", "template", "chunk_type", F.col("block_ids")[0].alias("block_id")).join(sizes, "template", "left")
+    n = F.when(F.col("chunk_type") == "table", F.coalesce("_t", F.lit(other["_t"] if other else 0))).otherwise(F.coalesce("_i", F.lit(other["_i"] if other else 0)))
+    joined = media.join(near, ["document_id", "block_id"], "left").join(titles, ["document_id", "block_id"], "left")
+    nothing = F.array().cast("array<string>")
+    before = F.when(n > 0, F.slice("before", F.greatest(F.lit(1), F.size("before") - n + 1), F.greatest(n, F.lit(1)))).otherwise(nothing)
+    after = F.when(n > 0, F.slice("after", F.lit(1), F.greatest(n, F.lit(1)))).otherwise(nothing)
+    first = F.when(F.coalesce("_caption", F.lit("")) != "", F.array("_caption")).otherwise(nothing)
+    parts = {"context_before": F.concat(first, F.coalesce(before, nothing)), "context_after": F.coalesce(after, nothing)}
+    return joined.select("document_id", "chunk_id", *(F.when(F.size(c) > 0, F.array_join(c, "\n\n")).alias(name) for name, c in parts.items()))
+
+
+def neighbour_texts(blocks: DataFrame, n: int = 2, media: tuple[str, ...] = ("table", "figure", "caption")) -> DataFrame:
+    """document_id, block_id, before, after of media blocks as arrays, in reading order; see neighbour_context."""
     order = Window.partitionBy("document_id").orderBy(*ORDER)
     turn = F.coalesce((~F.col("section_id").eqNullSafe(F.lag("section_id").over(order))).cast("int"), F.lit(0))
     runs = blocks.withColumn("_turn", turn).withColumn("_run", F.sum("_turn").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -194,11 +225,11 @@ def neighbour_context(blocks: DataFrame, n: int = 2, media: tuple[str, ...] = ("
     earlier = F.when(F.col("_self"), F.col("_no") < F.col("_at")).otherwise(F.col("_no") <= F.col("_at"))
 
     def side(keep: Column) -> Column:
-        return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("_no", "_text")))), lambda x: x["_text"]), "\n\n")
+        return F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("_no", "_text")))), lambda x: x["_text"])
 
     shift = F.when(F.col("_self"), 1).otherwise(0)
     found = joined.groupBy("document_id", "block_id").agg(side(earlier & (F.col("_no") > F.col("_at") - n - shift)).alias("before"), side(~earlier & (F.col("_no") <= F.col("_at") + n)).alias("after"))
-    return source.select("document_id", "block_id").join(found, ["document_id", "block_id"], "left").select("document_id", "block_id", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"))
+    return source.select("document_id", "block_id").join(found, ["document_id", "block_id"], "left").select("document_id", "block_id", *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("before", "after")))
 
 
 def order_violations(blocks: DataFrame) -> DataFrame:

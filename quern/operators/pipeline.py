@@ -18,7 +18,8 @@ def answer_contexts(
 
     ``requests``: request_id, question, vector. ``chunks``: stored chunks;
     ``allowed`` is the predicate that is applied before anything is ranked.
-    ``vectors``: chunk_id, embedding. ``parents``: parent_key, parent_text.
+    ``vectors``: chunk_id, embedding. ``parents``: parent_key, parent_text, and
+    tenant_id and status, by which parents that may not be seen are hidden.
     ``titles``: document_id, title. A request that is empty or too short is
     rejected, one without a vector has no candidates. Without ``rerank`` the
     order is that of the vectors.
@@ -34,9 +35,9 @@ def answer_contexts(
     final = R.ranked(full.withColumn("score", score), "request_id", "chunk_id", "score", F.lit(final_k))
     decision = R.refusal(final, "request_id", "score", good, R.LEAST_RERANK if rerank else R.LEAST_VECTOR)
 
-    best = final.select("request_id", "chunk_id", "document_id", "content", "source_uri", "doc_type", "page_start", "page_end", "heading_path")
+    best = final.select("request_id", "chunk_id", "vector_rank", "document_id", "content", "source_uri", "doc_type", "page_start", "page_end", "heading_path")
     grown = R.references(R.expand_parents(final, parents, "request_id", "score"), "request_id").join(best, ["request_id", "chunk_id"]).join(titles, "document_id", "left")
-    parent = R.parent_window(F.col("parent_text"), F.lit(None).cast("int"), F.col("content"), F.lit(1), F.size("children"))
+    parent = R.parent_window(F.col("parent_text"), F.lit(None).cast("int"), F.col("content"), F.col("vector_rank"), F.size("children"))
     parts = [F.col(c) for c in ("ref_id", "source_uri", "page_start", "page_end", "doc_type", "heading_path")]
     blocks = grown.withColumn("whole", R.context_block(*parts, parent, F.col("content"))).withColumn("small", R.context_block(*parts, F.lit(None).cast("string"), F.col("content")))
     sized = blocks.withColumn("f", token_estimate(F.col("whole"))).withColumn("c", token_estimate(F.col("small")))

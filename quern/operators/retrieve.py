@@ -53,13 +53,21 @@ def refusal(ranked_rows: DataFrame, request: str, score: str, requests: DataFram
 
 
 def expand_parents(ranked_rows: DataFrame, parents: DataFrame, request: str, score: str) -> DataFrame:
-    """One row for each request and parent: its best child, all children in order, and the parent's text if it exists."""
-    grouped = ranked_rows.groupBy(request, "parent_key").agg(
+    """One row for each request and parent: its best child, all children in order, and the parent's text if it may be seen.
+
+    Where parents have a status, only active ones are; where both sides have a
+    tenant, only those of the row's own. Without those columns nothing is
+    hidden.
+    """
+    if "status" in parents.columns:
+        parents = parents.where("status = 'active'").drop("status")
+    on = ["parent_key", *(c for c in ("tenant_id",) if c in parents.columns and c in ranked_rows.columns)]
+    grouped = ranked_rows.groupBy(request, *on).agg(
         F.max_by("chunk_id", F.struct(F.col(score), -F.col("chunk_id"))).alias("chunk_id"),
         F.max(score).alias("score"),
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("children"),  # children of one parent
     )
-    return grouped.join(parents, "parent_key", "left").withColumn("parent_missing", F.col("parent_text").isNull())
+    return grouped.join(parents, on, "left").withColumn("parent_missing", F.col("parent_text").isNull())
 
 
 def parent_window(text: Column, tokens: Column, child: Column, rank: Column, children: Column, window: int = PARENT_TOKENS) -> Column:

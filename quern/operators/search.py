@@ -104,12 +104,26 @@ def full_text(chunks: DataFrame, key: str, content: str, query: str, k: int | No
     wanted = F.array_distinct(lexemes(F.lit(query)))
     tokens = lexemes(F.col(content))
     hit = chunks.withColumn("_t", tokens).where(F.size(F.array_intersect(wanted, F.col("_t"))) == F.size(wanted)).where(F.size(wanted) > 0)
-    first = F.transform(wanted, lambda w: F.array_position("_t", w))
-    span = F.array_max(first) - F.array_min(first) + 1
-    out = hit.select(key, (F.size(wanted) / span).alias("score"))
+    out = hit.select(key, (F.size(wanted) / least_cover(F.col("_t"), wanted)).alias("score"))
     return out.orderBy(F.desc("score"), F.asc(key)).limit(k) if k else out
 
 
+def least_cover(tokens: Column, wanted: Column) -> Column:
+    """Number of tokens of the shortest stretch that holds every wanted one; null if there is none.
+
+    A fold over the tokens that knows where each wanted one stood last.
+    """
+    start = F.struct(F.transform(wanted, lambda w: F.lit(0)).alias("last"), F.lit(None).cast("int").alias("best"), F.lit(0).alias("at"))
+
+    def step(state: Column, token: Column) -> Column:
+        at = state["at"] + 1
+        last = F.zip_with(state["last"], wanted, lambda x, w: F.when(w == token, at).otherwise(x))
+        span = F.when(F.array_min(last) > 0, at - F.array_min(last) + 1)
+        return F.struct(last.alias("last"), F.least(state["best"], span).alias("best"), at.alias("at"))
+
+    return F.aggregate(tokens, start, step, lambda s: s["best"])
+
+
 def lexical_score(query: Column, content: Column) -> Column:
     """Share of the query's words that the content holds: the built-in reranker."""
     q = F.array_distinct(words(F.lower(query)))

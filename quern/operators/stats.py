@@ -58,6 +58,12 @@ def quality(chunks: DataFrame, text: str = "text", limit: int = 450) -> DataFram
     )
 
 
+def context_coverage(context: DataFrame) -> DataFrame:
+    """coverage: share of media chunks (see media_context) with a context on either side; 1.0 where there are none."""
+    has = (F.col("context_before").isNotNull() | F.col("context_after").isNotNull()).cast("double")
+    return context.agg(F.coalesce(F.avg(has), F.lit(1.0)).alias("coverage"))
+
+
 def sessions(events: DataFrame, gap_seconds: int = 1800) -> DataFrame:
     """user_id, session, start, events: runs of a user's events without a longer gap."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")

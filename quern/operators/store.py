@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.text import compact_json, content_hash, page_or_null, strip, token_estimate
+
 SOURCE = ("tenant_id", "knowledge_base_id", "source_uri")
 
 
@@ -86,10 +88,78 @@ def restore(documents: DataFrame, chunks: DataFrame, ids: DataFrame, first_id: i
     numbered = chosen.withColumn("_new", F.lit(first_id) + F.dense_rank().over(Window.orderBy("d.id")))  # the chosen few
     docs = numbered.select(*({"id": F.col("_new").cast("bigint").alias("id"), "version": F.col("b.next_version").alias("version"), "status": F.lit("active").alias("status")}.get(c, F.col(f"d.{c}")) for c in documents.columns))
     map_ = numbered.select(F.col("d.id").alias("_old"), F.col("_new").cast("bigint").alias("_to"), F.col("b.next_version").alias("_v"))
-    copies = chunks.join(map_, chunks["document_id"] == F.col("_old")).select(
-        *({"document_id": F.col("_to").alias("document_id"), "version": F.col("_v").alias("version"), "status": F.lit("active").alias("status")}.get(c, F.col(c)) for c in chunks.columns)
-    )
-    return docs, copies
+    return docs, _copies(chunks, map_, "chunk")
+
+
+def number(*parts: Column) -> Column:
+    """A 60-bit number from the SHA-256 of the parts joined by colons: the id of a copy, the same wherever it is made."""
+    return F.conv(F.substring(F.sha2(F.concat_ws(":", *(p.cast("string") for p in parts)), 256), 1, 15), 16, 10).cast("bigint")
+
+
+def _copies(rows: DataFrame, map_: DataFrame, kind: str) -> DataFrame:
+    """Rows of the old documents of ``map_`` (_old, _to, _v) under the new ones: ids and references to chunks and parents are those of the copies."""
+    to = F.col("_to")
+    new = {
+        "document_id": to.alias("document_id"),
+        "version": F.col("_v").alias("version"),
+        "status": F.lit("active").alias("status"),
+        "id": number(F.lit(kind), to, F.col("id")).alias("id") if "id" in rows.columns else None,
+        "parent_id": F.when(F.col("parent_id").isNotNull(), number(F.lit("parent"), to, F.col("parent_id"))).alias("parent_id") if kind != "parent" and "parent_id" in rows.columns else None,
+        "chunk_id": number(F.lit("chunk"), to, F.col("chunk_id")).alias("chunk_id") if "chunk_id" in rows.columns else None,
+    }
+    return rows.join(map_, rows["document_id"] == F.col("_old")).select(*(new[c] if new.get(c) is not None else F.col(c) for c in rows.columns))
+
+
+def restore_tree(documents: DataFrame, parents: DataFrame, chunks: DataFrame, vectors: DataFrame, ids: DataFrame) -> dict[str, DataFrame]:
+    """documents, parents, chunks, vectors that are new when old documents become the active version of their sources again.
+
+    All have ids of their own; vectors and chunks refer to the new chunks and
+    parents. ``document_id`` of every table is ``id`` of documents; a chunk
+    that was deleted on its own comes back with its document. The present
+    versions have to be superseded (see ``supersede``).
+    """
+    base = next_versions(documents)
+    chosen = documents.join(ids.select("id").distinct(), "id", "left_semi").alias("d").join(base.alias("b"), same_key("d", "b", SOURCE))
+    new = chosen.withColumn("_to", number(F.lit("document"), F.col("d.id"), F.col("b.next_version"))).withColumn("_v", F.col("b.next_version"))
+    docs = new.select(*({"id": F.col("_to").alias("id"), "version": F.col("_v").alias("version"), "status": F.lit("active").alias("status")}.get(c, F.col(f"d.{c}")) for c in documents.columns))
+    map_ = new.select(F.col("d.id").alias("_old"), "_to", "_v")
+    return {"documents": docs, "parents": _copies(parents, map_, "parent"), "chunks": _copies(chunks, map_, "chunk"), "vectors": _copies(vectors, map_, "vector")}
+
+
+def read(rows: DataFrame, tenant: str | None = None, statuses: tuple[str, ...] = ("active",), ids: DataFrame | None = None, on: str = "id", **equal: object) -> DataFrame:
+    """Rows by id or by other columns, of one tenant and in one of the statuses; ``ids``: a table of the keys wanted.
+
+    The conditions are on plain columns, so they reach the scan. Without a
+    tenant rows of all are read, which only parents by key need.
+    """
+    out = rows.where(F.col("status").isin(*statuses))
+    if tenant is not None:
+        out = out.where(F.col("tenant_id") == tenant)
+    for name, value in equal.items():
+        out = out.where(F.col(name) == F.lit(value))
+    return out if ids is None else out.join(ids.select(on).distinct(), on, "left_semi")
+
+
+def versions_of(documents: DataFrame, tenant: str, base: int | None, uri: str) -> DataFrame:
+    """All versions of a source, newest first."""
+    rows = documents.where((F.col("tenant_id") == tenant) & F.col("knowledge_base_id").eqNullSafe(F.lit(base)) & (F.col("source_uri") == uri))
+    return rows.orderBy(F.desc("version"), F.desc("id"))
+
+
+def package_hashes(documents: DataFrame, blocks: DataFrame, parents: DataFrame) -> DataFrame:
+    """document_id, hash: of the content of a document's blocks in order, without any of its parents' texts, null without any.
+
+    ``documents``: document_id. Blank blocks don't count; blocks and parents
+    delivered twice count once.
+    """
+    def joined(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+        texts = F.transform(F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda x: x["text"])  # of one document
+        return rows.groupBy("document_id").agg(F.array_join(texts, "\n\n").alias(name))
+
+    own = blocks.where(strip(F.col("text")) != "").dropDuplicates(["document_id", "block_id"])
+    held = parents.where(F.col("text").isNotNull()).dropDuplicates(["document_id", "parent_id"])
+    both = documents.select("document_id").distinct().join(joined(own, ["page_number", "reading_order", "block_id"], "_b"), "document_id", "left").join(joined(held, ["page_start", "parent_id"], "_p"), "document_id", "left")
+    return both.select("document_id", content_hash(F.coalesce("_b", "_p")).alias("hash"))
 
 
 def patch(rows: DataFrame, changes: DataFrame, on: str) -> DataFrame:
@@ -115,6 +185,51 @@ def violations(documents: DataFrame) -> DataFrame:
     )
 
 
+def parent_rows(parents: DataFrame, documents: DataFrame) -> DataFrame:
+    """Rows to store of parent chunks: own ids, tenant and version of their document, token counts that are missing from the estimate."""
+    owners = documents.select(F.col("package_id").alias("document_id"), F.col("id").alias("_doc"), "tenant_id", "version", "status")
+    once = parents.dropDuplicates(["document_id", "parent_id"])
+    return once.join(owners, "document_id").select(
+        number(F.lit("parent"), F.col("_doc"), F.col("parent_id")).alias("id"), F.col("_doc").alias("document_id"), "tenant_id", F.col("parent_id").alias("parent_key"), "title", F.col("text").alias("content"),
+        page_or_null(F.col("page_start")).alias("page_start"), page_or_null(F.col("page_end")).alias("page_end"), F.coalesce("token_count", token_estimate(F.col("text"))).cast("int").alias("token_count"), "version", "status",
+    )
+
+
+def child_rows(chunks: DataFrame, parents: DataFrame, documents: DataFrame) -> DataFrame:
+    """Rows to store of child chunks under stored parents; chunks of an unknown parent or document give none (see chunk_faults)."""
+    owners = documents.select(F.col("package_id").alias("document_id"), F.col("id").alias("_doc"), "tenant_id", "version", "status")
+    held = parents.select(F.col("document_id").alias("_doc"), F.col("parent_key").alias("_key"), F.col("id").alias("_parent"))
+    rows = chunks.join(owners, "document_id").join(held, ["_doc"]).where(F.col("parent_id") == F.col("_key"))
+    return rows.select(
+        number(F.lit("chunk"), F.col("_doc"), F.col("chunk_id")).alias("id"), F.col("_doc").alias("document_id"), "tenant_id", F.col("_parent").alias("parent_id"), F.col("chunk_id").alias("chunk_key"), F.col("_key").alias("parent_key"),
+        "chunk_index", "chunk_type", F.col("text").alias("content"), content_hash(F.col("text")).alias("content_hash"), page_or_null(F.col("page_start")).alias("page_start"), page_or_null(F.col("page_end")).alias("page_end"),
+        compact_json(F.struct("token_count", "block_ids")).alias("metadata"), "version", "status",
+    )
+
+
+def vector_records(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Vectors with what a search filters by, from their chunk: the record that is kept for each chunk and model."""
+    own = [c for c in ("tenant_id", "document_id", "parent_id", "chunk_key", "parent_key") if c in vectors.columns]
+    wanted = ["tenant_id", "document_id", "parent_id", "chunk_key", "parent_key", "department", "access_level", "doc_type", "chunk_type", "template", "source_uri", "version", "status", "heading_path", "page_start", "page_end"]
+    held = chunks.select(F.col("id").alias("chunk_id"), *(c for c in wanted if c in chunks.columns)).dropDuplicates(["chunk_id"])
+    return vectors.drop(*own).join(held, "chunk_id")
+
+
+def put_vectors(table: DataFrame, changes: DataFrame, dims: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """(next state of ``table``, rules broken): vectors by chunk and model, the latest wins.
+
+    Vectors of an unknown model, of another length than registered, or not
+    finite change nothing and are named; so are keys that come twice.
+    """
+    from .search import usable
+
+    known = F.create_map(*(F.lit(x) for pair in dims.items() for x in pair))
+    good = changes.where(usable("embedding", "embedding_dim") & F.coalesce(F.col("embedding_dim") == F.try_element_at(known, F.col("embedding_model")), F.lit(False)))
+    twice = changes.groupBy("chunk_id", "embedding_model").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("twice").alias("rule"), F.col("chunk_id").cast("string").alias("key"))
+    bad = changes.join(good.select("chunk_id", "embedding_model").distinct(), ["chunk_id", "embedding_model"], "left_anti").select(F.lit("unusable").alias("rule"), F.col("chunk_id").cast("string").alias("key"))
+    return upsert(table, good, ["chunk_id", "embedding_model"], "created_at"), twice.unionByName(bad)
+
+
 def missing_vectors(chunks: DataFrame, vectors: DataFrame, model: str, force: bool = False) -> DataFrame:
     """Active chunks without a vector of the model: what a backfill takes next, in order of id."""
     rows = chunks.where(F.col("status") == "active")

@@ -12,7 +12,7 @@ from quern.functions.text import section_id
 
 #: Names that a vector's metadata may have.
 METADATA = frozenset(
-    "chunk_id document_id parent_id chunk_key parent_key tenant_id knowledge_base_id department access_level doc_type chunk_type template source_uri version status heading_path page_start page_end embedding_model embedding_dim created_at".split()
+    "tenant_id knowledge_base_id document_id chunk_id chunk_key parent_id parent_key doc_type chunk_type template access_level department heading_path page_start page_end source_uri version embedding_model embedding_provider embedding_dim status".split()
 )
 
 
@@ -100,6 +100,23 @@ def strange_metadata(metadata: Column) -> Column:
     return F.array_except(F.map_keys(metadata), F.array(*(F.lit(x) for x in sorted(METADATA))))
 
 
+def unknown_paths(blocks: DataFrame, tree: DataFrame) -> DataFrame:
+    """Blocks whose heading path is no section of ``tree`` (document_id, section_id)."""
+    some = blocks.where(F.size("heading_path") > 0).withColumn("section_id", section_id(F.col("document_id"), F.col("heading_path")))
+    return rule(some.join(tree.select("document_id", "section_id").distinct(), ["document_id", "section_id"], "left_anti"), "unknown_path", F.col("block_id"))
+
+
+def top_sections(blocks: DataFrame) -> DataFrame:
+    """document_id, block_id, section: the first level of a block's heading path, "Document" without one."""
+    return blocks.select("document_id", "block_id", F.coalesce(F.get("heading_path", F.lit(0)), F.lit("Document")).alias("section"))
+
+
+def shapeless_metadata(rows: DataFrame, metadata: str = "metadata") -> DataFrame:
+    """rows: how many rows have metadata that is no JSON object; null counts as none."""
+    kind = F.schema_of_variant(F.try_parse_json(metadata))
+    return rows.agg(F.count_if(F.col(metadata).isNotNull() & ~F.coalesce(kind.startswith("OBJECT"), F.lit(False))).alias("rows"))
+
+
 def captions(blocks: DataFrame, media: tuple[str, ...] = ("table", "figure")) -> DataFrame:
     """document_id, block_id, caption of media blocks: their own and that of a caption block right before or after on the page."""
     order = Window.partitionBy("document_id", "page_number").orderBy("reading_order", "block_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import layout as L
 from quern.functions import text as T
 from quern.operators import blocks as B
-from quern.operators import chunkers, postprocess, stats, validate
+from quern.operators import chunkers, postprocess, stats, store, validate
 from quern.sources import files, load
 
 from .registry import query
@@ -164,7 +164,16 @@ def heading_carry(spark, folder):
     return B.heading_carry(_blocks(spark, folder)).select("block_id", "section_title", F.coalesce("section_level", F.lit(0)).alias("section_level"))
 
 
-@query()
+_RUNS = f"""b AS {_BLOCKS}, o AS (SELECT *, CASE WHEN section_id IS DISTINCT FROM lag(section_id) OVER w AND row_number() OVER w > 1 THEN 1 ELSE 0 END AS turn, {_STRIP} AS t FROM b WINDOW w AS (PARTITION BY document_id ORDER BY page_number, reading_order, block_id)),
+r AS (SELECT *, sum(turn) OVER (PARTITION BY document_id ORDER BY page_number, reading_order, block_id ROWS UNBOUNDED PRECEDING) AS run FROM o),
+k AS (SELECT *, (page_number, reading_order, block_id) AS pos FROM r), c AS (SELECT * FROM k WHERE block_type NOT IN ('header', 'footer', 'page_number', 'table', 'figure') AND t <> ''),
+m AS (SELECT * FROM k WHERE block_type IN ('table', 'figure', 'caption')),
+x AS (SELECT m.document_id, m.block_id, c.t, c.pos, row_number() OVER (PARTITION BY m.document_id, m.block_id ORDER BY c.pos DESC) AS n FROM m JOIN c ON m.document_id = c.document_id AND m.run = c.run AND c.pos < m.pos),
+y AS (SELECT m.document_id, m.block_id, c.t, c.pos, row_number() OVER (PARTITION BY m.document_id, m.block_id ORDER BY c.pos) AS n FROM m JOIN c ON m.document_id = c.document_id AND m.run = c.run AND c.pos > m.pos)"""
+
+
+@query(f"""WITH {_RUNS} SELECT document_id, block_id, coalesce((SELECT string_agg(t, chr(10) || chr(10) ORDER BY pos) FROM x WHERE x.document_id = m.document_id AND x.block_id = m.block_id AND n <= 2), '') AS before,
+  coalesce((SELECT string_agg(t, chr(10) || chr(10) ORDER BY pos) FROM y WHERE y.document_id = m.document_id AND y.block_id = m.block_id AND n <= 2), '') AS after FROM m""")
 def neighbour_context(spark, folder):
     return B.neighbour_context(_blocks(spark, folder))
 
@@ -180,9 +189,15 @@ def page_groups(spark, folder):
     return B.page_texts(_blocks(spark, folder))
 
 
-@query()
+@query(f"""WITH b AS {_BLOCKS}, r AS (SELECT *, {_STRIP} AS t FROM b), q AS (SELECT *, (page_number, reading_order, block_id) AS pos, block_type = 'heading' AS ask FROM r WHERE t <> ''),
+n AS (SELECT *, sum(ask::INT) OVER (PARTITION BY document_id ORDER BY pos ROWS UNBOUNDED PRECEDING)::INT AS pair FROM q)
+SELECT document_id, pair, max(CASE WHEN ask THEN regexp_extract(t, '^[^\\n\\r]*', 0) END) AS question, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY pos) FILTER (WHERE NOT ask), '') AS answer
+FROM n WHERE pair > 0 AND (ask OR block_type <> 'heading') GROUP BY 1, 2""")
 def question_pairs(spark, folder):
-    return B.question_pairs(_blocks(spark, folder))
+    """Headings as questions, marked as such, and what follows them as answers."""
+    rows = _blocks(spark, folder)
+    asks = (F.col("block_type") == "heading") & (T.strip(F.coalesce("text", F.lit(""))) != "")
+    return B.question_pairs(rows.withColumn("text", F.when(asks, F.concat(F.lit("Q: "), T.strip(F.col("text")))).otherwise(F.col("text"))))
 
 
 @query(f"SELECT block_id, block_type, {_EST} AS tokens FROM {_BLOCKS} WHERE block_type IN ('table', 'code', 'formula')")
@@ -307,3 +322,88 @@ def article_parts(spark, folder):
 def clean_pages(spark, folder):
     rows = _blocks(spark, folder)
     return validate.without_running_lines(rows, B.header_footer_lines(rows)).select("block_id", "text")
+
+
+_HASH = _NORM.replace("(text,", "(t,")
+
+
+@query(rf"""WITH b AS (SELECT document_id, string_agg(text, chr(10) || chr(10) ORDER BY page_number, reading_order, block_id) AS t FROM {_BLOCKS} WHERE {_STRIP} <> '' GROUP BY 1),
+q AS (SELECT DISTINCT document_id, parent_id, text, page_start FROM parent_chunks WHERE text IS NOT NULL), p AS (SELECT document_id, string_agg(text, chr(10) || chr(10) ORDER BY page_start, parent_id) AS t FROM q GROUP BY 1),
+d AS (SELECT DISTINCT package_id AS document_id FROM rag_documents), a AS (SELECT document_id, coalesce(b.t, p.t) AS t FROM d LEFT JOIN b USING (document_id) LEFT JOIN p USING (document_id))
+SELECT document_id, sha256({_HASH}) AS hash FROM a""")
+def package_hashes(spark, folder):
+    docs = load(spark, folder, "rag_documents", "package_id").withColumnRenamed("package_id", "document_id")
+    blocks = load(spark, folder, "blocks", "document_id", "block_id", "page_number", "reading_order", "text")
+    return store.package_hashes(docs, blocks, load(spark, folder, "parent_chunks", "document_id", "parent_id", "page_start", "text"))
+
+
+@query(f"""WITH b AS {_BLOCKS}, d AS (SELECT DISTINCT block_id, heading_path FROM blocks), t AS (SELECT b.block_id, lower(array_to_string(coalesce(d.heading_path, []::VARCHAR[]), ' ') || ' ' || substr(coalesce(b.text, ''), 1, 1200)) AS s FROM b JOIN d USING (block_id))
+SELECT block_id, CASE WHEN regexp_matches(s, 'troubleshoot') THEN 'Troubleshooting' WHEN regexp_matches(s, 'removal|installation') THEN 'Engine' WHEN contains(s, 'generator') THEN 'Generator' WHEN regexp_matches(s, 'maintenance|lubrication|filter') THEN 'Maintenance'
+  WHEN regexp_matches(s, 'engine|fuel|coolant') THEN 'Engine' WHEN regexp_matches(s, 'electric|circuit|wiring') THEN 'Electrical' WHEN regexp_matches(s, 'repair|torque|adjustment') THEN 'Maintenance' WHEN regexp_matches(s, '责任免除|免责') THEN '责任免除'
+  WHEN regexp_matches(s, '保险责任|保险金|给付') THEN '保险责任' WHEN regexp_matches(s, '理赔|赔偿|赔付|申请保险金') THEN '理赔' WHEN regexp_matches(s, '合同成立|合同效力|合同解除|合同终止') THEN '合同条款' WHEN regexp_matches(s, '保险费|缴费|费率') THEN '保险费'
+  WHEN regexp_matches(s, '犹豫期|宽限期|等待期') THEN '期间条款' WHEN regexp_matches(s, '被保险人|投保人|受益人') THEN '保险条款' END AS domain FROM t""")
+def heading_domains(spark, folder):
+    return _blocks(spark, folder).select("block_id", L.heading_domain(F.col("heading_path"), F.col("text")).alias("domain"))
+
+
+@query("SELECT DISTINCT document_id, block_id, coalesce(heading_path[1], 'Document') AS section FROM blocks")
+def top_sections(spark, folder):
+    return validate.top_sections(_blocks(spark, folder))
+
+
+@query("""WITH b AS (SELECT DISTINCT document_id, block_id, page_number, heading_path FROM blocks), f AS (SELECT DISTINCT document_id, heading_path[1:n::BIGINT] AS p FROM b, unnest(range(1, len(heading_path) + 1)) AS u(n) WHERE page_number = 1)
+SELECT 'unknown_path' AS rule, block_id AS key FROM b WHERE len(heading_path) > 0 AND NOT EXISTS (SELECT 1 FROM f WHERE f.document_id = b.document_id AND f.p = b.heading_path)""")
+def unknown_paths(spark, folder):
+    """Blocks whose section is not met on the first page."""
+    rows = _blocks(spark, folder)
+    return validate.unknown_paths(rows, validate.section_tree(rows.where("page_number = 1")))
+
+
+@query("SELECT count(*) AS rows FROM blocks WHERE metadata IS NOT NULL AND coalesce(json_type(CASE WHEN json_valid(metadata) THEN metadata END), '') <> 'OBJECT'")
+def shapeless_metadata(spark, folder):
+    return validate.shapeless_metadata(load(spark, folder, "blocks", "metadata"))
+
+
+def _media_context(spark: SparkSession, folder: str) -> DataFrame:
+    names = ("document_id", "block_id", "page_number", "reading_order", "block_type", "text", "section_id", "caption")
+    return B.media_context(_drafts(spark, folder), B.deliver_once(load(spark, folder, "blocks", *names)), load(spark, folder, "chunker_configs"))
+
+
+@query()
+def media_context(spark, folder):
+    return _media_context(spark, folder)
+
+
+@query()
+def context_coverage(spark, folder):
+    return stats.context_coverage(_media_context(spark, folder)).select(F.round("coverage", 6).alias("coverage"))
+
+
+@query(f"""SELECT d.tenant_id, d.id AS document_id, p.parent_id AS parent_key, coalesce(p.token_count, {_EST.replace("text", "p.text")}) AS token_count FROM (SELECT DISTINCT document_id, parent_id, text, token_count FROM parent_chunks) p JOIN rag_documents d ON d.package_id = p.document_id""")
+def parent_rows(spark, folder):
+    rows = store.parent_rows(load(spark, folder, "parent_chunks"), load(spark, folder, "rag_documents", "id", "package_id", "tenant_id", "version", "status"))
+    return rows.select("tenant_id", "document_id", "parent_key", "token_count")
+
+
+@query()
+def child_rows(spark, folder):
+    """Chunks of the documents as rows to store, under the parents that come with them."""
+    docs = load(spark, folder, "rag_documents", "id", "package_id", "tenant_id", "version", "status")
+    drafts = _drafts(spark, folder)
+    parents = chunkers.parents_of(drafts).withColumn("title", F.col("heading")).withColumn("text", F.lit(None).cast("string")).withColumn("token_count", F.col("token_count").cast("int"))
+    return store.child_rows(drafts, store.parent_rows(parents, docs), docs)
+
+
+@query("""WITH u AS (SELECT chunk_id, embedding_model, created_at, embedding, embedding_dim FROM vector_chunks WHERE embedding IS NOT NULL AND len(embedding) = embedding_dim AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))
+  AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) AND embedding_dim = CASE embedding_model WHEN 'text-embed-64' THEN 64 WHEN 'compact-embed-48' THEN 48 END)
+SELECT chunk_id, embedding_model, epoch_us(max(created_at)) AS created_us FROM u GROUP BY 1, 2""")
+def put_vectors(spark, folder):
+    rows = load(spark, folder, "vector_chunks", "chunk_id", "embedding", "embedding_model", "embedding_dim", "created_at")
+    state, _ = store.put_vectors(rows.where("false"), rows, {"text-embed-64": 64, "compact-embed-48": 48})
+    return state.select("chunk_id", "embedding_model", F.unix_micros("created_at").alias("created_us"))
+
+
+@query("""WITH c AS (SELECT DISTINCT id, tenant_id, status, department, access_level FROM rag_chunks) SELECT DISTINCT v.chunk_id, v.embedding_model, c.tenant_id, c.department, c.access_level FROM vector_chunks v JOIN c ON c.id = v.chunk_id""")
+def vector_records(spark, folder):
+    chunks = load(spark, folder, "rag_chunks", "id", "tenant_id", "status", "department", "access_level")
+    return store.vector_records(load(spark, folder, "vector_chunks", "chunk_id", "tenant_id", "embedding_model"), chunks).select("chunk_id", "embedding_model", "tenant_id", "department", "access_level").distinct()

@@ -172,3 +172,58 @@ def embed_missing(spark, folder):
     chunks = load(spark, folder, "rag_chunks", "id", "status", "content").distinct()
     todo = store.missing_vectors(chunks, load(spark, folder, "vector_chunks", "chunk_id", "embedding_model"), "text-embed-64")
     return embed(todo, "id", "content")
+
+
+_ID = "('0x' || substr(sha256(concat_ws(':', {})), 1, 15))::BIGINT"
+_OLD = """o AS (SELECT * FROM rag_documents WHERE status = 'superseded' QUALIFY row_number() OVER (PARTITION BY tenant_id, knowledge_base_id, source_uri ORDER BY version DESC, id DESC) = 1),
+n AS (SELECT tenant_id, knowledge_base_id, source_uri, max(version) + 1 AS v FROM rag_documents GROUP BY 1, 2, 3),
+m AS (SELECT o.id AS old, """ + _ID.format("'document', o.id::VARCHAR, n.v::VARCHAR") + """ AS new, n.v FROM o JOIN n ON n.tenant_id = o.tenant_id AND n.source_uri = o.source_uri AND n.knowledge_base_id IS NOT DISTINCT FROM o.knowledge_base_id)"""
+
+
+def _restored(spark, folder):
+    docs = _documents(spark, folder)
+    chunks = load(spark, folder, "rag_chunks", "id", "document_id", "parent_id", "version", "status").dropDuplicates(["id"])
+    vectors = load(spark, folder, "vector_chunks", "chunk_id", "document_id", "parent_id", "embedding_model").distinct()
+    packages = docs.select(F.col("package_id").alias("document_id"), F.col("id").alias("_doc"))
+    parents = load(spark, folder, "parent_chunks", "id", "document_id", "title").dropDuplicates(["id"]).join(packages, "document_id").select("id", F.col("_doc").alias("document_id"), "title")
+    return store.restore_tree(docs, parents, chunks, vectors, store.latest_of_source(docs, ("superseded",)).select("id"))
+
+
+@query(f"""WITH {_OLD} SELECT {_ID.format("'chunk', m.new::VARCHAR, c.id::VARCHAR")} AS id, m.new AS document_id, {_ID.format("'parent', m.new::VARCHAR, c.parent_id::VARCHAR")} AS parent_id, m.v::INT AS version, 'active' AS status
+FROM (SELECT DISTINCT id, document_id, parent_id FROM rag_chunks) c JOIN m ON m.old = c.document_id""")
+def restored_chunks(spark, folder):
+    return _restored(spark, folder)["chunks"]
+
+
+@query(f"""WITH {_OLD} SELECT {_ID.format("'chunk', m.new::VARCHAR, c.chunk_id::VARCHAR")} AS chunk_id, m.new AS document_id, embedding_model FROM (SELECT DISTINCT chunk_id, document_id, embedding_model FROM vector_chunks) c JOIN m ON m.old = c.document_id""")
+def restored_vectors(spark, folder):
+    return _restored(spark, folder)["vectors"].select("chunk_id", "document_id", "embedding_model").distinct()
+
+
+@query(f"""WITH {_OLD} SELECT DISTINCT {_ID.format("'parent', m.new::VARCHAR, p.id::VARCHAR")} AS id, m.new AS document_id FROM (SELECT DISTINCT id, document_id FROM parent_chunks) p JOIN rag_documents d ON d.package_id = p.document_id JOIN m ON m.old = d.id""")
+def restored_parents(spark, folder):
+    return _restored(spark, folder)["parents"].select("id", "document_id").distinct()
+
+
+@query("SELECT DISTINCT id, tenant_id, status FROM rag_chunks WHERE tenant_id = (SELECT min(tenant_id) FROM rag_chunks) AND status IN ('active', 'superseded') AND id IN (SELECT chunk_id FROM ranked_candidates)")
+def chunks_by_ids(spark, folder):
+    rows = load(spark, folder, "rag_chunks", "id", "tenant_id", "status")
+    tenant = rows.agg(F.min("tenant_id")).first()[0]
+    wanted = load(spark, folder, "ranked_candidates", "chunk_id").withColumnRenamed("chunk_id", "id")
+    return store.read(rows, tenant, ("active", "superseded"), wanted).distinct()
+
+
+@query("SELECT DISTINCT id, parent_id, chunk_index FROM rag_chunks WHERE status = 'active' AND tenant_id = (SELECT min(tenant_id) FROM rag_chunks) AND parent_id IN (SELECT id FROM parent_chunks WHERE page_start = 1)")
+def children_of_parents(spark, folder):
+    rows = load(spark, folder, "rag_chunks", "id", "tenant_id", "parent_id", "chunk_index", "status")
+    first = load(spark, folder, "parent_chunks", "id", "page_start").where("page_start = 1").select(F.col("id").alias("parent_id"))
+    return store.read(rows, rows.agg(F.min("tenant_id")).first()[0], ids=first, on="parent_id").select("id", "parent_id", "chunk_index").distinct()
+
+
+@query("""WITH s AS (SELECT tenant_id, knowledge_base_id, source_uri FROM rag_documents WHERE source_uri IS NOT NULL GROUP BY ALL ORDER BY count(*) DESC, source_uri, tenant_id, knowledge_base_id NULLS FIRST LIMIT 1)
+SELECT d.id, d.version, d.status FROM rag_documents d, s WHERE d.tenant_id = s.tenant_id AND d.source_uri = s.source_uri AND d.knowledge_base_id IS NOT DISTINCT FROM s.knowledge_base_id""")
+def version_history(spark, folder):
+    """All versions of the source that has most of them."""
+    docs = _documents(spark, folder)
+    s = docs.where("source_uri is not null").groupBy(*store.SOURCE).count().orderBy(F.desc("count"), "source_uri", "tenant_id", F.asc_nulls_first("knowledge_base_id")).first()
+    return store.versions_of(docs, s.tenant_id, s.knowledge_base_id, s.source_uri).select("id", "version", "status")

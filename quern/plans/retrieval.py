@@ -16,7 +16,7 @@ TENANT, DEPARTMENT, LEVEL, REQUEST = "tenant-fjord", "claims", "confidential", 2
 _VISIBLE = "tenant_id = 'tenant-fjord' AND status = 'active' AND access_level IN ('public', 'internal', 'confidential') AND department IN ('claims', 'global')"
 _CHUNKS = "(SELECT DISTINCT id, document_id, parent_key, knowledge_base_id, tenant_id, content, doc_type, department, access_level, status, source_uri, page_start, page_end FROM rag_chunks)"
 _SQUASH = r"trim(regexp_replace(@@, '[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))"
-_CAND = """c AS (SELECT request_id, chunk_id, max(parent_key) AS parent_key, max(CASE WHEN NOT isnan(vector_score) THEN vector_score END) AS s, max(final_top_k) AS k
+_CAND = """c AS (SELECT request_id, chunk_id, max(tenant_id) AS tenant_id, max(parent_key) AS parent_key, max(CASE WHEN NOT isnan(vector_score) THEN vector_score END) AS s, max(final_top_k) AS k
   FROM ranked_candidates GROUP BY request_id, chunk_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY s DESC, chunk_id) AS rank FROM c WHERE s IS NOT NULL),
 f AS (SELECT * FROM r WHERE rank <= k)"""
@@ -36,10 +36,17 @@ _VECTORS = """(SELECT DISTINCT chunk_id, embedding::DOUBLE[] AS e FROM vector_ch
   AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)))"""
 
 
+def _parents(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of parents by key, with the tenant and the status of their document."""
+    owners = load(spark, folder, "rag_documents", "package_id", "tenant_id", "status").withColumnRenamed("package_id", "document_id")
+    rows = load(spark, folder, "parent_chunks", "parent_id", "document_id", "text").join(owners, "document_id")
+    return rows.groupBy(F.col("parent_id").alias("parent_key"), "tenant_id", "status").agg(F.max("text").alias("parent_text"))
+
+
 def _finals(spark: SparkSession, folder: str) -> DataFrame:
     """Candidates of every request once, ranked by vector score, the first final_top_k."""
-    rows = load(spark, folder, "ranked_candidates", "request_id", "chunk_id", "parent_key", "vector_score", "final_top_k")
-    once = rows.groupBy("request_id", "chunk_id").agg(F.max("parent_key").alias("parent_key"), F.max(F.when(~F.isnan("vector_score"), F.col("vector_score"))).alias("score"), F.max("final_top_k").alias("k"))
+    rows = load(spark, folder, "ranked_candidates", "request_id", "tenant_id", "chunk_id", "parent_key", "vector_score", "final_top_k")
+    once = rows.groupBy("request_id", "chunk_id").agg(F.max("tenant_id").alias("tenant_id"), F.max("parent_key").alias("parent_key"), F.max(F.when(~F.isnan("vector_score"), F.col("vector_score"))).alias("score"), F.max("final_top_k").alias("k"))
     return retrieve.ranked(once, "request_id", "chunk_id", "score", F.col("k"))
 
 
@@ -100,8 +107,8 @@ def fulltext_match(spark, folder):
     return search.full_text(load(spark, folder, "rag_chunks", "id", "content", "status").where("status = 'active'"), "id", "content", "Annual budget").select("id").distinct()
 
 
-@query(f"""SELECT id, round(2.0::DOUBLE / (abs(list_position(t, 'annual') - list_position(t, 'budget')) + 1), 6) AS score FROM (SELECT DISTINCT id, {_LEX} AS t FROM rag_chunks WHERE status = 'active')
-  WHERE list_has_all(t, ['annual', 'budget']) ORDER BY score DESC, id LIMIT 20""")
+@query(f"""WITH t AS (SELECT DISTINCT id, {_LEX} AS t FROM rag_chunks WHERE status = 'active'), w AS (SELECT id, t[i::BIGINT] AS word, i FROM t, unnest(range(1, len(t) + 1)) AS u(i))
+SELECT a.id, round(2.0::DOUBLE / (min(abs(a.i - b.i)) + 1), 6) AS score FROM w a JOIN w b ON a.id = b.id AND a.word = 'annual' AND b.word = 'budget' GROUP BY a.id ORDER BY score DESC, a.id LIMIT 20""")
 def fulltext_rank(spark, folder):
     rows = load(spark, folder, "rag_chunks", "id", "content", "status").where("status = 'active'").select("id", "content").distinct()
     return search.full_text(rows, "id", "content", "annual budget", 20).withColumn("score", F.round("score", 6))
@@ -124,13 +131,13 @@ def refusal_decision(spark, folder):
 
 
 def _expanded(spark: SparkSession, folder: str) -> DataFrame:
-    parents = load(spark, folder, "parent_chunks", "parent_id", "text").groupBy(F.col("parent_id").alias("parent_key")).agg(F.max("text").alias("parent_text"))
+    parents = _parents(spark, folder)
     return retrieve.expand_parents(_finals(spark, folder), parents, "request_id", "score")
 
 
-_EXP = f"""{_CAND}, p AS (SELECT parent_id AS parent_key, max(text) AS parent_text FROM parent_chunks GROUP BY 1),
-x AS (SELECT request_id, parent_key, arg_max(chunk_id, [s, -chunk_id]) AS chunk_id, max(s) AS score, list(chunk_id ORDER BY rank) AS children FROM f GROUP BY 1, 2),
-e AS (SELECT x.*, p.parent_text, p.parent_text IS NULL AS parent_missing FROM x LEFT JOIN p USING (parent_key))"""
+_EXP = f"""{_CAND}, p AS (SELECT parent_id AS parent_key, d.tenant_id, max(text) AS parent_text FROM parent_chunks JOIN rag_documents d ON d.package_id = document_id WHERE d.status = 'active' GROUP BY 1, 2),
+x AS (SELECT request_id, parent_key, tenant_id, arg_max(chunk_id, [s, -chunk_id]) AS chunk_id, max(s) AS score, list(chunk_id ORDER BY rank) AS children FROM f GROUP BY 1, 2, 3),
+e AS (SELECT x.*, p.parent_text, p.parent_text IS NULL AS parent_missing FROM x LEFT JOIN p USING (parent_key, tenant_id))"""
 
 
 @query(f"WITH {_EXP} SELECT request_id, parent_key, chunk_id, score, array_to_string(children, ',') AS children, parent_missing FROM e")
@@ -180,8 +187,9 @@ def context_budget(spark, folder):
 def context_text(spark, folder):
     """Whole contexts: the blocks of each request's references within the budget."""
     chunks = load(spark, folder, "rag_chunks", "id", "content", "source_uri", "doc_type", "page_start", "page_end", "heading_path").dropDuplicates(["id"]).withColumnRenamed("id", "chunk_id")
-    rows = retrieve.references(_expanded(spark, folder), "request_id").join(chunks, "chunk_id")
-    parent = retrieve.parent_window(F.col("parent_text"), F.lit(None).cast("int"), F.col("content"), F.lit(1), F.size("children"))
+    places = _finals(spark, folder).select("request_id", "chunk_id", "rank")  # the order of the vectors
+    rows = retrieve.references(_expanded(spark, folder), "request_id").join(chunks, "chunk_id").join(places, ["request_id", "chunk_id"])
+    parent = retrieve.parent_window(F.col("parent_text"), F.lit(None).cast("int"), F.col("content"), F.col("rank"), F.size("children"))
     args = [F.col(c) for c in ("ref_id", "source_uri", "page_start", "page_end", "doc_type", "heading_path")]
     rows = rows.withColumn("whole", retrieve.context_block(*args, parent, F.col("content"))).withColumn("small", retrieve.context_block(*args, F.lit(None).cast("string"), F.col("content")))
     sized = rows.withColumn("f", T.token_estimate(F.col("whole"))).withColumn("c", T.token_estimate(F.col("small")))
@@ -227,7 +235,7 @@ def retrieve_batch(spark, folder):
     requests = asked.join(embed(asked, "request_id", "question").select("request_id", F.col("embedding").alias("vector")), "request_id")
     chunks = load(spark, folder, "rag_chunks", "id", "document_id", "parent_key", "content", "tenant_id", "department", "access_level", "status", "source_uri", "doc_type", "page_start", "page_end", "heading_path")
     vectors = embed(chunks.select("id", "content").distinct(), "id", "content").select(F.col("id").alias("chunk_id"), "embedding")
-    parents = load(spark, folder, "parent_chunks", "parent_id", "text").groupBy(F.col("parent_id").alias("parent_key")).agg(F.max("text").alias("parent_text"))
+    parents = _parents(spark, folder)
     titles = load(spark, folder, "rag_documents", "id", "title").groupBy(F.col("id").alias("document_id")).agg(F.max("title").alias("title"))
     out = answer_contexts(requests, chunks, vectors, parents, titles, filters.visible(TENANT, DEPARTMENT, LEVEL), top_k=20)
     return out.select("request_id", "status", "reason", "confidence", "context", "tokens", F.size("references").alias("references"), F.size("hits").alias("hits"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators.blocks import BLOCK_TYPES, text_blocks
+from quern.operators.blocks import BLOCK_TYPES, block_type, text_blocks
 from quern.session import ship_package
 
 TEXT, TABLE = ("txt", "md", "markdown"), ("csv", "tsv", "xlsx", "xlsm")
@@ -147,6 +147,23 @@ def html_rows(fragment: str | None) -> list[list[str]]:
     return [r for r in p.rows if r]
 
 
+def structured_chunks(df: DataFrame, key: str, content: str) -> DataFrame:
+    """Blocks of JSON arrays of parsed chunks (raw_text, page_number, headings, chapter, section, content_type).
+
+    Blank chunks are left out; headings that are missing are chapter and
+    section; a page below 1 is 1; what is no JSON array gives no rows.
+    """
+    kind = "array<struct<raw_text:string,page_number:int,headings:array<string>,chapter:string,section:string,content_type:string>>"
+    items = df.select(F.col(key).alias("document_id"), F.posexplode(F.from_json(content, kind)).alias("reading_order", "c"))
+    clean = F.filter(F.transform(F.coalesce("c.headings", F.array().cast("array<string>")), T.strip), lambda x: x != "")
+    given = F.array_distinct(F.filter(F.array(T.strip(F.col("c.chapter")), T.strip(F.col("c.section"))), lambda x: x.isNotNull() & (x != "")))
+    page = F.when(F.col("c.page_number") > 0, F.col("c.page_number")).otherwise(1)
+    rows = items.withColumn("text", T.strip(F.col("c.raw_text"))).where("text <> ''").withColumn("block_type", block_type(F.col("c.content_type")))
+    return rows.select("document_id", page.cast("int").alias("page_number"), "reading_order", "block_type", "text", F.when(F.size(clean) > 0, clean).otherwise(given).alias("heading_path")).withColumn(
+        "block_id", T.block_id(F.col("document_id").cast("string"), F.col("page_number"), F.col("reading_order"), F.col("block_type"))
+    )
+
+
 def html_tables(blocks: DataFrame, key: str, html: str) -> DataFrame:
     """key, rows, markdown of every fragment that holds a table row."""
     ship_package(blocks.sparkSession)

@@ -5,6 +5,8 @@ import dataclasses
 import pytest
 from pyspark.sql import functions as F
 
+from quern.functions import layout as L
+from quern.functions import text as T
 from quern.operators import blocks as B
 from quern.operators import chunkers, filters, postprocess, retrieve, search, stats, store
 from quern.operators.embed import embed, hashed_embedding
@@ -303,3 +305,78 @@ def test_parent_granularity(spark):
         out = chunkers.chunk_blocks(frame(spark, rows), spark.createDataFrame([], "document_id string, template string"), configs).orderBy("parent_index", "chunk_index")
         got = out.collect()
         assert sorted(c.section for c in got for _ in c.block_ids) == sections
+
+
+def test_full_text_scores_the_least_cover(spark):
+    df = spark.createDataFrame([(1, "annual y y budget and annual budget"), (2, "annual x budget"), (3, "budget budget")], "id int, content string")
+    got = {r.id: round(r.score, 4) for r in search.full_text(df, "id", "content", "annual budget").collect()}
+    assert got == {1: 1.0, 2: 0.6667}
+
+
+def test_parents_of_other_tenants_or_inactive_are_hidden(spark):
+    rows = spark.createDataFrame([("q", "t1", i, str(i), 0.9) for i in (1, 2, 3)], "q string, tenant_id string, chunk_id long, parent_key string, s double")
+    parents = spark.createDataFrame([("1", "t1", "active", "own"), ("2", "t2", "active", "foreign"), ("3", "t1", "superseded", "old")], "parent_key string, tenant_id string, status string, parent_text string")
+    got = {r.parent_key: (r.parent_text, r.parent_missing) for r in retrieve.expand_parents(retrieve.ranked(rows, "q", "chunk_id", "s"), parents, "q", "s").collect()}
+    assert got == {"1": ("own", False), "2": (None, True), "3": (None, True)}
+
+
+def test_parent_window_guesses_by_rank(spark):
+    df = spark.createDataFrame([("word " * 600, "nowhere", r) for r in (1, 3)], "p string, c string, r int")
+    got = [r.w for r in df.select(retrieve.parent_window(F.col("p"), F.lit(None).cast("int"), F.col("c"), F.col("r"), F.lit(4), 20).alias("w")).collect()]
+    assert not got[0].startswith("[...]") and got[1].startswith("[...] ") and got[1].endswith(" [...]")
+
+
+def test_restored_trees_have_ids_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "t", 1, "u", 1, "superseded"), (2, "t", 1, "u", 2, "active")], "id long, tenant_id string, knowledge_base_id long, source_uri string, version int, status string")
+    parents = spark.createDataFrame([(7, 1, "P"), (8, 2, "Q")], "id long, document_id long, title string")
+    parts = spark.createDataFrame([(10, 1, 7, 1, "superseded"), (11, 1, None, 1, "deleted"), (12, 2, 8, 2, "active")], "id long, document_id long, parent_id long, version int, status string")
+    vectors = spark.createDataFrame([(10, 1, "m"), (12, 2, "m")], "chunk_id long, document_id long, embedding_model string")
+    out = {k: v.collect() for k, v in store.restore_tree(docs, parents, parts, vectors, docs.where("id = 1").select("id")).items()}
+    (doc,) = out["documents"]
+    assert (doc.version, doc.status) == (3, "active") and doc.id not in (1, 2)
+    assert {r.document_id for rows in (out["parents"], out["chunks"], out["vectors"]) for r in rows} == {doc.id} and len(out["chunks"]) == 2
+    ids = {r.id for r in out["chunks"]}
+    assert not ids & {10, 11, 12} and {r.chunk_id for r in out["vectors"]} <= ids and {r.parent_id for r in out["chunks"]} == {out["parents"][0].id, None}
+
+
+def test_package_hash_falls_back_to_parents(spark):
+    docs = spark.createDataFrame([("a",), ("b",), ("c",)], "document_id string")
+    rows = spark.createDataFrame([("a", "b1", 1, 2, "two"), ("a", "b0", 1, 1, "one  \r\n"), ("a", "b0", 1, 1, "one  \r\n"), ("b", "b2", 1, 1, "  ")], "document_id string, block_id string, page_number int, reading_order int, text string")
+    parents = spark.createDataFrame([("a", "p", 1, "other"), ("b", "p", 1, "held")], "document_id string, parent_id string, page_start int, text string")
+    got = {r.document_id: r.hash for r in store.package_hashes(docs, rows, parents).collect()}
+    expected = {r.k: r.h for r in spark.createDataFrame([("a", "one\n\ntwo"), ("b", "﻿held")], "k string, t string").select("k", T.content_hash(F.col("t")).alias("h")).collect()}
+    assert got == expected | {"c": None}
+
+
+def test_media_context_of_templates(spark):
+    rows = [block(0, "a", path=["A"]), block(1, "b", path=["A"]), block(2, "t", "table", path=["A"]), block(3, "Table 1", "caption", path=["A"]), block(4, "c", path=["A"]), block(5, "d", path=["A"])]
+    _, drafts, _ = chunks(spark, rows, "generic_structured")
+    source = frame(spark, rows).withColumn("caption", F.lit(None).cast("string")).withColumn("section_id", F.lit("s"))
+    for n, before, after in ((1, "Table 1\n\nb", "Table 1"), (2, "Table 1\n\na\n\nb", "Table 1\n\nc"), (0, "Table 1", None)):
+        configs = spark.createDataFrame([("generic_structured", n, 2)], "template string, table_context_blocks int, image_context_blocks int")
+        got = B.media_context(drafts.where("chunk_type = 'table'"), source, configs)
+        assert [(r.context_before, r.context_after) for r in got.collect()] == [(before, after)]
+    assert stats.context_coverage(got).first().coverage == 1.0 and stats.context_coverage(got.where("false")).first().coverage == 1.0
+
+
+def test_vectors_are_validated_before_they_are_kept(spark):
+    kind = "chunk_id long, embedding array<float>, embedding_model string, embedding_dim int, created_at int"
+    table = spark.createDataFrame([(1, [1.0, 0.0], "m", 2, 1)], kind)
+    changes = spark.createDataFrame([(1, [0.0, 1.0], "m", 2, 2), (2, [1.0], "m", 1, 2), (3, [1.0, float("nan")], "m", 2, 2), (4, [1.0, 1.0], "x", 2, 2), (5, [1.0, 1.0], "m", 2, 2), (5, [1.0, 1.0], "m", 2, 3)], kind)
+    state, faults = store.put_vectors(table.withColumn("created_at", F.timestamp_seconds("created_at")), changes.withColumn("created_at", F.timestamp_seconds("created_at")), {"m": 2})
+    assert {(r.chunk_id, tuple(r.embedding)) for r in state.collect()} == {(1, (0.0, 1.0)), (5, (1.0, 1.0))}
+    assert sorted((r.rule, r.key) for r in faults.collect()) == [("twice", "5"), ("unusable", "2"), ("unusable", "3"), ("unusable", "4")]
+
+
+def test_structured_chunks_and_small_expressions(spark):
+    raw = '[{"raw_text": " body ", "page_number": 0, "headings": [], "chapter": "C", "section": "S", "content_type": "text"}, {"raw_text": "  "}, {"raw_text": "t", "page_number": 2, "headings": ["H"], "content_type": "table"}]'
+    df = spark.createDataFrame([("d", raw), ("e", "no")], "id string, c string")
+    got = [(r.page_number, r.reading_order, r.block_type, r.text, r.heading_path) for r in files.structured_chunks(df, "id", "c").orderBy("reading_order").collect()]
+    assert got == [(1, 0, "paragraph", "body", ["C", "S"]), (2, 2, "table", "t", ["H"])]
+    one = spark.range(1).select(
+        L.heading_domain(F.array(F.lit("Engine removal")), F.lit("x")).alias("a"), L.heading_domain(F.lit(None).cast("array<string>"), F.lit("责任免除")).alias("b"), L.looks_like_heading(F.lit("1.2 Scope\nbody")).alias("c"),
+        L.looks_like_heading(F.lit("1.2 ends here.")).alias("d"), L.page_size(F.lit('{"w": 595, "page_height": "842"}')).alias("e"), T.warning(F.lit("odd")).alias("f"), T.warning(F.lit('{"level": "info", "message": "m", "source": "s"}')).alias("g"),
+        T.compact_json(F.struct(F.lit(None).cast("string").alias("x"), F.lit(1).alias("y"))).alias("h"),
+    ).first()
+    assert (one.a, one.b, one.c, one.d) == ("Engine", "责任免除", True, False) and (one.e.width, one.e.height) == (595.0, 842.0)
+    assert tuple(one.f) == ("warning", "odd", "ingest") and tuple(one.g) == ("info", "m", "s") and one.h == '{"y":1}'
