@@ -247,7 +247,7 @@ def chapterless(blocks: DataFrame) -> DataFrame:
 
     content = blocks.where((F.length("text") > 0) & ~F.coalesce(F.col("block_type").isin(*SKIP), F.lit(False)))
     seen = content.select("document_id", "page_number", "reading_order", "block_id", "block_type", "text").mapInArrow(look, "document_id string, page_number int, reading_order int, block_id string, start string, article boolean")
-    facts = seen.groupBy("document_id").agg(F.countDistinct("start").alias("chapters"), F.count_if("article").alias("articles"), F.min_by(F.col("start").isNull(), F.struct("page_number", "reading_order", "block_id")).alias("preamble"))
+    facts = seen.groupBy("document_id").agg(F.countDistinct("start").alias("chapters"), F.countDistinct(F.when(F.col("article"), F.col("block_id"))).alias("articles"), F.min_by(F.col("start").isNull(), F.struct("page_number", "reading_order", "block_id")).alias("preamble"))
     return facts.where("articles >= 3 and chapters + int(preamble) <= 1").select("document_id")
 
 
@@ -275,8 +275,8 @@ def chunk_blocks(blocks: DataFrame, templates: DataFrame, configs: DataFrame, de
         .withColumn("template", F.when(F.col("limit").isNull(), F.lit(default)).otherwise(F.col("template")))
         .withColumn("limit", F.coalesce("limit", F.lit(other.limit if other else 450)))
         .withColumn("granularity", F.coalesce("granularity", F.lit(other.granularity if other else None)))
-        .dropDuplicates(["document_id", "block_id"])
         .repartition("document_id")
+        .dropDuplicates(["document_id", "block_id"])  # within the documents' partitions: no shuffle of its own
         .sortWithinPartitions("document_id", "page_number", "reading_order", "block_id")
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +50,8 @@ def nearest_for_each(chunks: DataFrame, key: str, vector: str, requests: DataFra
     """request, key, score, rank of the k most similar rows to every request vector.
 
     Requests go to the workers in blocks of REQUEST_BYTES and are compared with
-    each batch of rows in one matrix product; a batch keeps k rows a request.
+    each batch of rows in one matrix product; a partition keeps k rows a
+    request, ties by key.
     """
     spark = chunks.sparkSession
     ship_package(spark)
@@ -64,17 +66,37 @@ def nearest_for_each(chunks: DataFrame, key: str, vector: str, requests: DataFra
 
         def run(batches, shared=shared):
             names, kind, q = shared.value
+            there = np.asarray(pa.array(names, kind))
+            best: list[tuple] = [(np.zeros(0, np.int64), None, np.zeros(0))] * -(-len(q) // 512)  # request, key, score
+            floor = np.full(len(q), -np.inf)  # the k-th best score so far
+            key_kind = None
             for batch in batches:
                 x = _unit(pa.chunked_array([batch.column(1)]), q.shape[1])
-                here, there = np.asarray(batch.column(0)), np.asarray(pa.array(names, kind))
-                for j in range(0, len(q), 512):
+                here, key_kind = np.asarray(batch.column(0)), batch.schema.field(0).type
+                for b in range(len(best)):
+                    j = b * 512
                     score = x @ q[j : j + 512].T
                     score[np.isnan(score)] = -np.inf
                     if not itself:
                         score[here[:, None] == there[None, j : j + 512]] = -np.inf
-                    cut = np.partition(score, -k, axis=0)[-k] if len(score) > k else np.full(score.shape[1], -np.inf)
-                    row, column = np.nonzero((score >= cut) & (score > -np.inf))  # ties at the cut all stay
-                    yield pa.RecordBatch.from_arrays([pa.array(names, kind).take(pa.array(j + column)), batch.column(0).take(pa.array(row)), pa.array(score[row, column])], ["request", "key", "score"])
+                    cut = floor[j : j + 512]
+                    if len(score) > k:
+                        cut = np.maximum(cut, np.partition(score, -k, axis=0)[-k])
+                    row, column = np.nonzero((score >= cut) & (score > -np.inf))
+                    request, key, value = best[b]
+                    request, value = np.append(request, j + column), np.append(value, score[row, column])
+                    key = here[row] if key is None else np.append(key, here[row])
+                    order = np.lexsort((key, -value, request))
+                    request, key, value = request[order], key[order], value[order]
+                    first = np.searchsorted(request, request)
+                    place = np.arange(len(request)) - first
+                    top = place < k
+                    best[b] = (request[top], key[top], value[top])
+                    full = place == k - 1
+                    floor[request[full]] = value[full]
+            for request, key, value in best:
+                if len(request):
+                    yield pa.RecordBatch.from_arrays([pa.array(names, kind).take(pa.array(request)), pa.array(key, key_kind), pa.array(value)], ["request", "key", "score"])
 
         part = chunks.select(key, vector).mapInArrow(run, f"request {kinds[0]}, key {kinds[1]}, score double")
         out = part if out is None else out.unionByName(part)
@@ -85,12 +107,13 @@ def nearest_for_each(chunks: DataFrame, key: str, vector: str, requests: DataFra
 def _unit(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     """Unit vectors in double precision; NaN rows for those that can't be compared."""
     out = np.full((len(column), dim), np.nan)
-    for i, v in enumerate(column.to_pylist()):
-        if v is not None and len(v) == dim:
-            a = np.asarray(v, np.float64)
-            n = np.sqrt((a * a).sum())
-            if np.isfinite(n) and n > 0:
-                out[i] = a / n
+    at = np.flatnonzero(pc.equal(pc.list_value_length(column), dim).fill_null(False).to_numpy(zero_copy_only=False))
+    if len(at):
+        flat = pc.list_flatten(column.take(pa.array(at))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim)
+        with np.errstate(over="ignore", invalid="ignore"):
+            n = np.sqrt((flat * flat).sum(axis=1))
+        good = np.isfinite(n) & (n > 0)
+        out[at[good]] = flat[good] / n[good, None]
     return out
 
 

@@ -207,7 +207,7 @@ def media_tokens(spark, folder):
 
 def _drafts(spark: SparkSession, folder: str) -> DataFrame:
     docs = load(spark, folder, "rag_documents", "package_id", "doc_type").select(F.col("package_id").alias("document_id"), F.col("doc_type").alias("template"))
-    return chunkers.chunk_blocks(_blocks(spark, folder), docs, load(spark, folder, "chunker_configs"))
+    return chunkers.chunk_blocks(load(spark, folder, "blocks"), docs, load(spark, folder, "chunker_configs"))
 
 
 @query()
