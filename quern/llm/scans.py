@@ -139,6 +139,7 @@ class Lexicon:
         self.words, self.letters, self.pairs = words, letters, pairs
         sum_letters = sum(letters.values())
         self.known = {c for c, n in letters.items() if n * 200_000 >= sum_letters}
+        self._alive: dict[tuple, bool] = {}
         self._memo: dict[tuple[str, bool], tuple[str, ...] | None] = {}
         self.chunks: dict[str, list] = {}
         self.costs: dict[str, float] = {}
@@ -155,6 +156,27 @@ class Lexicon:
     def has(self, word: str) -> bool:
         return word in self.words or word.lower() in self.words
 
+    def alive(self, run: str, blanks: tuple[int, ...]) -> bool:
+        """Whether ``run`` is the beginning of some row of lexicon words none of which ends at a blank, confusions allowed as in ``decode``."""
+        key = (run.lower(), blanks)
+        known = self._alive.get(key)
+        if known is None:
+            seen, todo, known = {0}, [0], False
+            while todo and not known:
+                i = todo.pop()
+                options, known = self._walk(key[0], i, 2 if i == 0 else 1)
+                for (j, word), wrong in options.items():
+                    short = j - i <= 2  # the conditions on parts of a run are those of decode
+                    if j in seen or j in blanks or j - i == 1 or (short and wrong) or wrong > 1 or self.words[word] < (self.common_short if short else self.common):
+                        continue
+                    if j - i >= 4 or not any(i < x < j for x in blanks):
+                        seen.add(j)
+                        todo.append(j)
+            if len(self._alive) > 300_000:
+                self._alive.clear()
+            self._alive[key] = known
+        return known
+
     def begins(self, form: str) -> bool:
         k = bisect_left(self.order, form)
         return k < len(self.order) and self.order[k].startswith(form)
@@ -169,7 +191,11 @@ class Lexicon:
 
         Only beginnings of words are followed, so neither the run nor the words have to be short.
         """
-        words, out = self.order, {}
+        return self._walk(run, at, most)[0]
+
+    def _walk(self, run: str, at: int, most: int) -> tuple[dict[tuple[int, str], int], bool]:
+        """What ``starts`` gives, and whether a word or the beginning of one reaches the end of the run."""
+        words, out, reached = self.order, {}, False
         seen = {(at, ""): 0}
         todo = [(at, "")]
         while todo:
@@ -179,6 +205,7 @@ class Lexicon:
             if form in self.words:
                 out[state] = wrong
             if pos == len(run):
+                reached = True
                 continue
             steps = [(pos + 1, form + run[pos], wrong)]
             for misread, true, n in _BY_FIRST.get(run[pos], ()):
@@ -189,7 +216,7 @@ class Lexicon:
                 if k < len(words) and words[k].startswith(longer) and n < seen.get((end, longer), most + 1):
                     seen[end, longer] = n
                     todo.append((end, longer))
-        return out
+        return out, reached
 
     def readings(self, segment: str, most: int = 2) -> list[tuple[int, str]]:
         """Lexicon words that ``segment`` can be a misreading of, with the least number of confusions."""
@@ -362,55 +389,55 @@ def _compound(a: str, b: str, lex: Lexicon) -> bool:
 
 
 def _segment(run: list[_Piece], lex: Lexicon) -> list[tuple[int, int, str, str]]:
-    """The cheapest segmentation of a stretch into words; those that are not as they stand are given back."""
+    """The cheapest segmentation of a stretch into words; those that are not as they stand are given back.
+
+    From every piece on, pieces are joined as long as what they spell can
+    still become words, so that the work grows with the length of the stretch.
+    """
     n = len(run)
-    best: list[tuple[float, int, str | None]] = [(0.0, 0, None)]
-    odd_upto = -1  # the last piece that gives a reason to join
-    for j in range(1, n + 1):
-        last = run[j - 1]
-        kept = 0.0
-        if j > 1 and last.gap == "hyphen":
-            kept = 0.0 if _compound(run[j - 2].letters, last.letters, lex) else _KEPT
-        now: tuple[float, int, str | None] = (best[j - 1][0] + last.cost + kept, j - 1, None)
-        if last.cost == _NO_WORD or last.gap == "hyphen":
-            odd_upto = j - 1
-        joined, dropped, odd, cut, blanks = last.letters, 0.0, last.cost == _NO_WORD, False, False
+    best: list[tuple[float, int, str | None]] = [(0.0, 0, None)] + [(float("inf"), 0, None)] * n
+    reason = max(k for k, p in enumerate(run) if p.cost == _NO_WORD or (k and p.gap == "hyphen"))  # nothing is joined beyond it
+    for i, first in enumerate(run):
+        base = best[i][0]
+        kept = _KEPT if i and first.gap == "hyphen" and not _compound(run[i - 1].letters, first.letters, lex) else 0.0
+        if base + first.cost + kept <= best[i + 1][0]:
+            best[i + 1] = (base + first.cost + kept, i, None)
+        if i > reason:
+            continue
+        joined, dropped, odd, cut = first.letters, 0.0, first.cost == _NO_WORD, False
         single, spaced = len(joined) == 1, True
-        ends: list[int] = []  # where the blanks were, from the end
-        for i in range(j - 2, -1, -1):
-            a, b = run[i], run[i + 1]
-            if odd_upto < 0:
-                break
-            single = single and len(a.letters) == 1
+        blanks: list[int] = []  # where they were in what is joined
+        for j in range(i + 2, n + 1):
+            a, b = run[j - 2], run[j - 1]
+            single = single and len(b.letters) == 1
             spaced = spaced and b.gap in ("blank", "line")
             if b.gap == "hyphen":
                 if _compound(a.letters, b.letters, lex):
                     break
                 cut = True
             else:
-                if a.solid or b.solid or not (b.letters.islower() or joined.isupper() and a.letters.isupper() or single):
+                if a.solid or b.solid or not (b.letters.islower() or joined.isupper() and b.letters.isupper() or single):
                     break
+                if j == i + 2 and first.cost == 1.0 and not single and not lex.goes_on(first.letters, b.letters):
+                    break  # no word goes on where this one ends
                 dropped += _DROPPED
-                blanks = True
-                ends.append(len(joined))
-            joined = a.letters + joined
-            odd |= a.cost == _NO_WORD
-            so_far = best[i][0] + dropped
+                blanks.append(len(joined))
+            joined += b.letters
+            odd |= b.cost == _NO_WORD
             spelt = single and spaced and len(joined) > 3
-            if spelt:
-                so_far -= dropped / 2  # a blank after every letter is one mistake
-            if not (odd or cut) or len(joined) < 3 or so_far + 1 >= now[0]:
-                continue
-            if spelt:
-                got = lex.decode(joined, single=True)
-                now = (so_far + 1, i, " ".join(got) if got else joined)
-            elif lex.has(joined):
-                now = (so_far + 1, i, joined)
-            elif odd and joined.islower() and (a.cost != 1.0 or b.gap == "hyphen" or lex.goes_on(a.letters, b.letters)) and (got := lex.decode(joined)) and so_far + len(got) + 1 < now[0] and _bridged(got, ends):
-                now = (so_far + len(got) + 1, i, " ".join(got))
-            elif cut and not blanks and so_far + _NO_WORD < now[0]:
-                now = (so_far + _NO_WORD, i, joined)
-        best.append(now)
+            so_far = base + (dropped / 2 if spelt else dropped)  # a blank after every letter is one mistake
+            if (odd or cut) and len(joined) >= 3 and so_far + 1 < best[j][0]:
+                if spelt:
+                    got = lex.decode(joined, single=True)
+                    best[j] = (so_far + 1, i, " ".join(got) if got else joined)
+                elif lex.has(joined):
+                    best[j] = (so_far + 1, i, joined)
+                elif odd and joined.islower() and (got := lex.decode(joined)) and so_far + len(got) + 1 < best[j][0] and _bridged(got, [len(joined) - x for x in blanks]):
+                    best[j] = (so_far + len(got) + 1, i, " ".join(got))
+                elif cut and not blanks and so_far + _NO_WORD < best[j][0]:
+                    best[j] = (so_far + _NO_WORD, i, joined)
+            if not single and not lex.alive(joined, tuple(blanks)):
+                break
     out, j = [], n
     while j:
         _, i, word = best[j]

@@ -1,5 +1,7 @@
 """Ranking, packing, markup and scans."""
 
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -332,3 +334,10 @@ def test_walk_of_a_large_group_keeps_its_order():
     higher = np.stack([rng.permutation(n), rng.permutation(n)], axis=1)
     share = walk(higher, 0.85, 100, 1e-10)
     assert len(np.unique(np.round(np.log(share), 8))) > 0.95 * n
+
+
+@pytest.mark.parametrize("text", ["the valve report " * 4000 + "certi ficate", "el perro come mucho pan " * 2500, "xqz brq zzz " * 3000, "a " * 6000, "report" * 3000])
+def test_very_long_stretches_take_time_in_proportion(text):
+    start = time.perf_counter()
+    word_faults(text, lexicon())
+    assert time.perf_counter() - start < 20
