@@ -112,7 +112,7 @@ def fit(u: np.ndarray, count: int, number: int, k: int, floor: float, recall: fl
     q, other = np.repeat(np.arange(n), near.shape[1]), near.reshape(-1)
     wanted = cosine[q, other] >= floor
     q, other = q[wanted], other[wanted]
-    ask_first, ask_cells = min(LEAST_FIRST, len(first)), min(LEAST_CELLS, len(second))
+    ask_first, ask_cells = min(LEAST_FIRST, len(first)), LEAST_CELLS  # there may be more cells than over the sample
     if len(q):
         place = np.argsort(np.argsort(-score[:n], axis=1, kind="stable"), axis=1)
         at = np.sort(place[q, owner[leaf[other]]])
