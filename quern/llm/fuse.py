@@ -1,7 +1,8 @@
 """One ranking from several scores that have nothing in common but their order.
 
-Scores are reduced to places within their group, then a walk over the group's
-items decides: from an item it picks a score at random and jumps to a random
+Scores are reduced to places within their group (``item_places``). The order is
+taken from the places as they are, or from a walk over the group's items
+(``rank_walk``): from an item it picks a score at random and jumps to a random
 item that is placed higher by it (staying where there is none); with
 probability 1 - ``damping`` it starts anew anywhere. Its stationary share of
 time orders the items. One step of the walk is a prefix sum per score over the
@@ -56,6 +57,18 @@ def rank_places(items: DataFrame, group: str, item: str, scores: list[str], wind
     return out.select("*", *((F.col(f"higher_{s}") + 1).alias(f"place_{s}") for s in scores))
 
 
+def item_places(df: DataFrame, group: str, item: str, scores: list[str], keep: dict[str, Column] | None = None) -> DataFrame:
+    """group, item, the scores, ``keep``, higher_<score>... and place_<score>... of every item of every group.
+
+    Rows of one (group, item) are one record, of which the highest valid value
+    of each score counts; null groups or items are left out. ``keep``: further
+    aggregates by name.
+    """
+    best = [F.max(F.when(~F.isnan(s), F.col(s))).cast("double").alias(s) for s in scores]
+    items = df.where(F.col(group).isNotNull() & F.col(item).isNotNull()).groupBy(group, item).agg(*best, *(c.alias(n) for n, c in (keep or {}).items()))
+    return rank_places(items, group, item, scores)
+
+
 def walk(higher: np.ndarray, damping: float, rounds: int, tolerance: float, group: np.ndarray | None = None) -> np.ndarray:
     """Stationary shares of the items of one group, or of many groups at once.
 
@@ -96,16 +109,13 @@ def rank_walk(
 ) -> DataFrame:
     """group, item, ``keep``, place_<score>... and ``stationarity`` of every item of every group.
 
-    Rows of one (group, item) are one record, of which the highest valid value
-    of each score counts; null groups or items are left out; a group of nulls
-    or ties has equal shares. ``keep``: further aggregates by name. Groups
-    beyond ``memory_items`` are walked by tables instead of in one task.
+    Items and places are those of ``item_places``; a group of nulls or ties has
+    equal shares. Groups beyond ``memory_items`` are walked by tables instead of
+    in one task.
     """
     spark = df.sparkSession
     ship_package(spark)
-    best = [F.max(F.when(~F.isnan(s), F.col(s))).cast("double").alias(s) for s in scores]
-    items = df.where(F.col(group).isNotNull() & F.col(item).isNotNull()).groupBy(group, item).agg(*best, *(c.alias(n) for n, c in (keep or {}).items()))
-    placed = settle(rank_places(items, group, item, scores), "places")
+    placed = settle(item_places(df, group, item, scores, keep), "places")
     large = placed.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > memory_items)
     many = large.limit(1).count() > 0
     small = placed.join(large, group, "left_anti") if many else placed

@@ -49,26 +49,25 @@ def p2_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.col("id").alias("chunk_id"), F.col("other").alias("other_id"), "place")
 
 
-def _walked(spark: SparkSession, folder: str) -> DataFrame:
-    from .fuse import rank_walk
-
+def _ranked(spark: SparkSession, folder: str, ranker: Callable[..., DataFrame]) -> DataFrame:
     table = load(spark, folder, "ranked_candidates", "request_id", "chunk_id", "rerank_score", "vector_score", "final_top_k")
-    return rank_walk(table, "request_id", "chunk_id", ["rerank_score", "vector_score"], {"final_top_k": F.max("final_top_k")})
+    return ranker(table, "request_id", "chunk_id", ["rerank_score", "vector_score"], {"final_top_k": F.max("final_top_k")})
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    from .fuse import first_of_group
+    """The first by the sum of two places; the walk has another order (p3_walk) and no part in this one."""
+    from .fuse import first_of_group, item_places
 
     order = [F.col("place_rerank_score") + F.col("place_vector_score"), F.col("place_rerank_score"), F.col("chunk_id")]
-    return first_of_group(_walked(spark, folder), "request_id", "chunk_id", order, "final_top_k").select("request_id", "chunk_id")
+    return first_of_group(_ranked(spark, folder, item_places), "request_id", "chunk_id", order, "final_top_k").select("request_id", "chunk_id")
 
 
 def p3_walk(spark: SparkSession, folder: str) -> DataFrame:
-    from .fuse import first_of_group
+    from .fuse import first_of_group, rank_walk
 
     # shares that differ by less than the walk's own accuracy are ties; the logarithm makes that relative to their size
     order = [F.desc(F.round(F.ln("stationarity"), 8)), F.asc("place_rerank_score"), F.asc("chunk_id")]
-    return first_of_group(_walked(spark, folder), "request_id", "chunk_id", order, "final_top_k").select("request_id", "chunk_id", "stationarity")
+    return first_of_group(_ranked(spark, folder, rank_walk), "request_id", "chunk_id", order, "final_top_k").select("request_id", "chunk_id", "stationarity")
 
 
 def _marked(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quern.llm import queries
 from quern.llm.fuse import first_of_group, rank_places, rank_walk, walk
 from quern.llm.markup import clean_text, label_texts, markup_residue, model, training_texts, with_source
 from quern.llm.pack import estimate, over, oversized_pieces, split
@@ -68,6 +69,33 @@ def test_first_of_group_uses_its_own_limit(spark):
     assert sorted((r.g, r.i) for r in out) == [("a", 0), ("a", 1), ("b", 1)]
 
 
+def test_p3_found_runs_no_walk_and_p3_walk_goes_by_it(spark, tmp_path):
+    """Each stage decides something: the walk the order of p3_walk, the places that of p3_found, which has no Python stage."""
+    nan = float("nan")
+    rng = np.random.default_rng(8)
+    rows = [("r", i, a, b, 3) for i, (a, b) in enumerate([(9.0, 1.0), (8.0, 2.0), (7.0, 3.0), (6.0, 4.0), (5.0, 5.0), (4.0, 6.0), (3.0, 7.0), (2.0, 8.0)])]
+    rows += [("odd", 1, None, nan, 2), ("odd", 2, nan, -0.0, 2), ("odd", 3, 1.0, 0.0, 2), ("odd", 4, 1.0, None, 2), ("odd", 4, nan, 0.0, 2), ("few", 1, nan, None, 5), ("none", 1, 1.0, 1.0, 0)]
+    rows += [(f"x{g}", i, float(rng.integers(0, 9)), float(rng.integers(0, 9)), 6) for g in range(8) for i in range(20)]
+    spark.createDataFrame(rows, "request_id string, chunk_id long, rerank_score double, vector_score double, final_top_k int").write.parquet(f"{tmp_path}/ranked_candidates.parquet")
+    best: dict = {}
+    for g, i, a, b, k in rows:
+        own = best.setdefault(g, {}).setdefault(i, [None, None, k])
+        for s, v in enumerate((a, b)):
+            own[s] = max((x for x in (own[s], v) if x is not None and x == x), default=None)
+    expected, walked = set(), set()
+    for g, items in best.items():
+        by = [places([v[s] for v in items.values()]) for s in range(2)]
+        limit = next(iter(items.values()))[2]
+        share = walk(np.array(by).T - 1, 0.85, 100, 1e-10)
+        expected |= {(g, i) for *_, i in sorted(zip(np.add(*by).tolist(), by[0], items, strict=True))[:limit]}
+        walked |= {(g, i) for *_, i in sorted(zip((-np.round(np.log(share), 8)).tolist(), by[0], items, strict=True))[:limit]}
+    found = queries.p3_found(spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == expected
+    assert {(r.request_id, r.chunk_id) for r in queries.p3_walk(spark, str(tmp_path)).collect()} == walked != expected
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "FileScan" in plan
+
+
 def check_split(text, limit, overlap):
     pieces = split(text, limit, overlap)
     assert "".join(text[s:e] for _, s, e, _ in pieces) == text
